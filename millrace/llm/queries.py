@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup
+from . import bpe, line_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(hashed, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op7_bpe)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn(quality_rules.labelled(docs, table(spark, sf_dir, "labels")))
+    return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op7_bpe, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
