@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality_rules
+from . import bpe, line_dedup, lz_fingerprint, quality_rules
+from .shared import public_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lz_fingerprint.compare_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(public_id().alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()
     ids = bpe.encode(docs, path).drop("text")
@@ -40,7 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op7_bpe, op9_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op4_lz_fingerprint, op7_bpe, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
