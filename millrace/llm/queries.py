@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, lz_fingerprint, quality_rules
+from . import bpe, line_dedup, lz_fingerprint, minhash, quality_rules
 from .shared import public_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op4_lz_fingerprint, op7_bpe, op9_quality_rules)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.labels(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(public_id().alias("doc_id"), "n_shingles", public_id("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op4_lz_fingerprint, op7_bpe, op9_quality_rules, op10_minhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
