@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, lz_fingerprint, minhash, quality_rules
+from . import bpe, line_dedup, lz_fingerprint, minhash, quality_rules, suffix_dedup
 from .shared import public_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(public_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -51,7 +56,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(public_id().alias("doc_id"), "n_shingles", public_id("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op4_lz_fingerprint, op7_bpe, op9_quality_rules, op10_minhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op4_lz_fingerprint, op7_bpe, op9_quality_rules, op10_minhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
