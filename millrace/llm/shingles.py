@@ -16,7 +16,7 @@ _INK = np.ones(256, bool)
 _INK[[32, 9, 10, 11, 12, 13]] = False
 _CODES = BYTE_CODES[_LOWER]  # upper-case ASCII letters count as lower-case
 _WEIGHTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
-BLOCK = 8_000_000  # bytes hashed at once
+BLOCK = 1_000_000  # bytes hashed at once
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
