@@ -215,7 +215,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(_id, _th, start, stop): byte ranges to remove; ranges of one document may overlap."""
     own = keyed(docs, id_col, text_col)
     found = written(own.mapInArrow(_anchors, "name long, span long, _id long, _th long, lo long, n int"), "anchors")
-    names = found.groupBy("name").agg(F.count("*").alias("c"), (F.min("span") == F.max("span")).alias("alike")).where("c > 1").select("name", "alike")
+    # written, so that the join reads both sides from a shuffle and a hot name's partition can be split
+    names = written(found.groupBy("name").agg(F.count("*").alias("c"), (F.min("span") == F.max("span")).alias("alike")).where("c > 1").select("name", "alike"), "names")
     hits = written(found.join(names, "name"), "repeated-anchors")
     mixed = hits.where("NOT alike")
     contexts = written(mixed.groupBy("name", "span").agg((F.count("*") > 1).alias("many"), F.min(F.struct("_id", "_th", "lo", "n")).alias("at")).select("name", "span", "many", "at.*"), "contexts")
