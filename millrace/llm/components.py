@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star.
 
 Edges stay a table of two longs; every node ends up linked to the smallest id it can reach. Each half-step is one
-aggregation (combined before the shuffle) and one join on the node, whose large groups adaptive execution splits; the
-edge table is written after each round, so a lost executor costs one round at most. Rounds grow with the logarithm of the
+aggregation (combined before the shuffle, its result written so that the join reads both sides from a shuffle) and one
+join on the node, whose large groups adaptive execution splits; the edge table is written after each round, so a lost executor costs one round at most. Rounds grow with the logarithm of the
 longest path.
 """
 
@@ -16,13 +16,13 @@ from .shared import written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     near = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return near.union(low.select("u", "m")).where("a <> b").distinct()
 

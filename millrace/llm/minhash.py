@@ -203,7 +203,8 @@ def labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     classes = written(ink.groupBy("d1", "d2").agg(F.min_by(F.struct("_id", "_th", "bands", "n"), F.struct("_id", "_th")).alias("r")).select("d1", "d2", "r.*"), "classes")
     # buckets: each member is linked to the smallest id there
     keys = classes.select("_id", F.explode("bands").alias("k"))
-    lows = keys.groupBy("k").agg(F.min("_id").alias("low"), F.count("*").alias("c")).where("c > 1").select("k", "low")
+    # written, so that the join reads both sides from a shuffle and a hot bucket's partition can be split
+    lows = written(keys.groupBy("k").agg(F.min("_id").alias("low"), F.count("*").alias("c")).where("c > 1").select("k", "low"), "buckets")
     star = keys.join(lows, "k").where("_id <> low").select("_id", "low").distinct()
     roots = components(star)
     nodes = roots.select(F.col("root").alias("cluster"), F.col("node").alias("_id"))
