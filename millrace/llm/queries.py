@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, lz_fingerprint, minhash, quality_rules, suffix_dedup
+from . import bpe, line_dedup, lz_fingerprint, minhash, quality_rules, suffix_dedup, toxicity, url_filter
 from .shared import public_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,18 @@ def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(public_id().alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model, lang_col="lang")
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.DECIDE).cast("int").alias("predicted"), "flagged")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "score", "verdict")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()
     ids = bpe.encode(docs, path).drop("text")
@@ -56,7 +68,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(public_id().alias("doc_id"), "n_shingles", public_id("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op4_lz_fingerprint, op7_bpe, op9_quality_rules, op10_minhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op4_lz_fingerprint, op5_toxicity, op6_url_filter, op7_bpe, op9_quality_rules, op10_minhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
