@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, lz_fingerprint, minhash, quality_rules, suffix_dedup, toxicity, url_filter
+from . import bpe, chat_pairs, line_dedup, lz_fingerprint, minhash, mixing, quality_rules, suffix_dedup, toxicity, url_filter
 from .shared import public_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: Target weights of the mixture; domains are groups of sources.
+WEIGHTS = {("d0",): 4, ("d1",): 3, ("d2",): 2, ("d3",): 1, ("*", "en"): 5, ("*", "de"): 2, ("*", "fr"): 2, ("*", "es"): 1}
+
+
+def domain() -> Column:
+    return F.concat(F.lit("d"), F.coalesce(F.regexp_extract("source", r"([0-9]+)$", 1).try_cast("int") % 4, F.lit(0)).cast("string"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix_sources(docs, domain(), WEIGHTS, share=(3, 5)).select("doc_id", "epoch", "domain", "lang", "source")
+
+
 def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lz_fingerprint.compare_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(public_id().alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -57,6 +70,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(hashed, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = chat_pairs.format_pairs(turns, chat_pairs.neighbours(turns))
+    hashed = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
+    counted = [F.aggregate(f"{c}_spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]).alias(f"{c}_counted") for c in ("chosen", "rejected")]
+    return found.select(F.col("pair").cast("long").alias("pair_id"), "n_prompt", "n_chosen", "n_rejected", *hashed, *counted)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn(quality_rules.labelled(docs, table(spark, sf_dir, "labels")))
@@ -68,7 +89,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(public_id().alias("doc_id"), "n_shingles", public_id("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op4_lz_fingerprint, op5_toxicity, op6_url_filter, op7_bpe, op9_quality_rules, op10_minhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_mixing, op4_lz_fingerprint, op5_toxicity, op6_url_filter, op7_bpe, op8_chat_pairs, op9_quality_rules, op10_minhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
@@ -81,5 +102,40 @@ common AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (top IS NOT NULL AND doc_id <> top) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (top IS NULL OR doc_id = top), '')) AS kept_sha256
 FROM lines LEFT JOIN common USING (key) GROUP BY doc_id
+""",
+    "op3_mixing": r"""
+WITH rows AS (
+  SELECT doc_id, 'd' || CAST(coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4, 0) AS VARCHAR) AS d, coalesce(lang, '') AS l, coalesce(source, '') AS s, lang, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS HUGEINT) AS t FROM documents),
+three AS (SELECT d, l, s, sum(t) AS tokens, sum(t) * 4 AS cap, CAST(1 AS HUGEINT) AS w FROM rows GROUP BY ALL),
+two AS (SELECT d, l, sum(cap) AS cap, CAST(CASE l WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS HUGEINT) AS w FROM three GROUP BY ALL),
+one AS (SELECT d, sum(cap) AS cap, CAST(CASE d WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS HUGEINT) AS w FROM two GROUP BY ALL),
+root AS (SELECT least((SELECT sum(tokens) * 3 // 5 FROM three), (SELECT sum(cap) FROM one)) AS b),
+one_f AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * w + cap * sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= b * w AS f
+  FROM one, root WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / CAST(w AS DOUBLE), d)),
+one_b AS (SELECT d, CASE WHEN f THEN cap ELSE (b - coalesce(sum(cap) FILTER (f) OVER (), 0)) * w // sum(w) FILTER (NOT f) OVER () END AS b FROM one_f),
+two_f AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * w + cap * sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= b * w AS f
+  FROM two JOIN one_b USING (d) WINDOW o AS (PARTITION BY d ORDER BY CAST(cap AS DOUBLE) / CAST(w AS DOUBLE), l)),
+two_b AS (SELECT d, l, CASE WHEN f THEN cap ELSE (b - coalesce(sum(cap) FILTER (f) OVER (PARTITION BY d), 0)) * w // sum(w) FILTER (NOT f) OVER (PARTITION BY d) END AS b FROM two_f),
+three_f AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * w + cap * sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= b * w AS f
+  FROM three JOIN two_b USING (d, l) WINDOW o AS (PARTITION BY d, l ORDER BY CAST(cap AS DOUBLE) / CAST(w AS DOUBLE), s)),
+three_b AS (SELECT d, l, s, tokens, CASE WHEN f THEN cap ELSE (b - coalesce(sum(cap) FILTER (f) OVER (PARTITION BY d, l), 0)) * w // sum(w) FILTER (NOT f) OVER (PARTITION BY d, l) END AS b FROM three_f),
+leaf AS (SELECT d, l, s, CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END AS e, b - CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END * tokens AS rest FROM three_b),
+ranked AS (SELECT rows.*, e, rest, sum(t) OVER (PARTITION BY d, l, s ORDER BY md5('17:' || CAST(e AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS upto FROM rows JOIN leaf USING (d, l, s)),
+times AS (SELECT *, CAST(e + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS n FROM ranked)
+SELECT doc_id, CAST(unnest(range(n)) AS INTEGER) AS epoch, d AS domain, lang, source FROM times
+""",
+    "op8_chat_pairs": r"""
+WITH said AS (
+  SELECT conv_id // 2 AS pair, conv_id % 2 AS side, turn, replace(coalesce(role, ''), '<|im_', '<| im_') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pair, side ORDER BY turn, role, text) AS pos FROM said WHERE pair IN (SELECT pair FROM said GROUP BY pair HAVING count(DISTINCT side) = 2)),
+compared AS (SELECT *, count(*) OVER p = 2 AND min(role) OVER p = max(role) OVER p AND min(text) OVER p = max(text) OVER p AS same FROM placed WINDOW p AS (PARTITION BY pair, pos)),
+split AS (SELECT *, coalesce(min(pos) FILTER (NOT same) OVER (PARTITION BY pair), 2147483647) AS cut FROM compared),
+parts AS (SELECT pair, CASE WHEN pos < cut THEN 0 ELSE side + 1 END AS part, pos, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line, length(text) + length('<|im_end|>') AS n FROM split WHERE pos >= cut OR side = 0)
+SELECT pair AS pair_id, count(*) FILTER (part = 0) AS n_prompt, count(*) FILTER (part = 1) AS n_chosen, count(*) FILTER (part = 2) AS n_rejected,
+  sha256(coalesce(string_agg(line, '' ORDER BY pos) FILTER (part = 0), '')) AS prompt_sha256, sha256(coalesce(string_agg(line, '' ORDER BY pos) FILTER (part = 1), '')) AS chosen_sha256,
+  sha256(coalesce(string_agg(line, '' ORDER BY pos) FILTER (part = 2), '')) AS rejected_sha256,
+  CAST(coalesce(sum(n) FILTER (part = 1 AND role = 'assistant'), 0) AS BIGINT) AS chosen_counted, CAST(coalesce(sum(n) FILTER (part = 2 AND role = 'assistant'), 0) AS BIGINT) AS rejected_counted
+FROM parts GROUP BY pair
 """,
 }
