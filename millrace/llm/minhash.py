@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import keyed, mix, packed, public_id, unpacked, written
+from .shared import Sieve, keyed, mix, packed, public_id, unpacked, unzip, written, zipped
 from .shingles import shingle_sets
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 PERCENT = 75
 SCREEN = 0.5  # least share of equal minima for an exact check: over six standard deviations under the threshold
-CLUSTER_DOCS, CLUSTER_SHINGLES = 2000, 4_000_000
+CLUSTER_DOCS, CLUSTER_SHINGLES = 4000, 4_000_000
 PIVOT_SHINGLES = 4_000_000
 _RNG = np.random.default_rng(75)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,24 +82,43 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links_within(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Confirmed links that join what is connected among these sets: screened by signature, checked on the full sets."""
-    sigs = np.stack([signature(s) for s in sets])
-    root = list(range(len(ids)))
+    """(id, root) for every id whose component among these sets, by confirmed links, has a smaller one.
 
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    out = []
+    A set is screened by signature against those not yet in its component, and checked on the full sets, likeliest first."""
+    sigs = np.stack([signature(s) for s in sets]).astype(np.uint16)
+    group = np.arange(len(ids))
     for k in range(1, len(ids)):
-        alike = np.flatnonzero((sigs[:k] == sigs[k]).mean(axis=1) >= SCREEN)
-        for j in alike.tolist():
-            if find(j) != find(k) and linked(sets[j], sets[k]):
-                root[find(k)] = find(j)
-                out.append((ids[j], ids[k]))
-    return out
+        alike = (sigs[:k] == sigs[k]).sum(axis=1)
+        for j in np.argsort(-alike, kind="stable").tolist():
+            if alike[j] < SCREEN * HASHES:
+                break
+            if group[j] != group[k] and linked(sets[j], sets[k]):
+                group[group == group[k]] = group[j]
+                if (group[:k] == group[k]).all():
+                    break
+    low: dict[int, int] = {}
+    for g, i in zip(group.tolist(), ids, strict=True):
+        low[g] = min(i, low.get(g, i))
+    return [(i, low[g]) for g, i in zip(group.tolist(), ids, strict=True) if i != low[g]]
+
+
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    return pa.array([unzip(z) for z in batch.column("zipped").to_pylist()], pa.binary())
+
+
+def _wanted(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` with their texts, zipped: a sieve keeps most other texts out of the shuffle."""
+    sieve = own.sparkSession.sparkContext.broadcast(Sieve(nodes.select("_id", "_th")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = sieve.value.passes(batch.column("h1").to_numpy(), batch.column("h2").to_numpy())
+            if ok.any():
+                yield from zipped(iter([batch.filter(pa.array(ok)).select(["_id", "_th", "_text"])]))
+
+    h1, h2 = Sieve.hashes()
+    texts = own.select("_id", "_th", h1.alias("h1"), h2.alias("h2"), "_text").mapInArrow(run, "_id long, _th long, zipped binary")
+    return texts.join(nodes, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +130,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for c, i, s in zip(batch.column("cluster").to_pylist(), batch.column("_id").to_pylist(), shingle_sets(batch.column("_text")), strict=True):
+        for c, i, s in zip(batch.column("cluster").to_pylist(), batch.column("_id").to_pylist(), shingle_sets(_texts(batch)), strict=True):
             if c != cluster:
                 if len(ids) > 1:
                     yield done()
@@ -140,7 +159,7 @@ class Pivots:
 
 
 def _large_clusters(members: DataFrame) -> DataFrame:
-    """Links of clusters that don't fit one task. ``members``: cluster, _id, shingles (array<long>), already written."""
+    """(id, root) within clusters that don't fit one task. ``members``: cluster, _id, shingles (array<long>), already written."""
     spark = members.sparkSession
     sizes = members.select("cluster", "_id", F.size("shingles").alias("n"))
     done: DataFrame | None = None  # _id of all pivots so far
@@ -164,7 +183,7 @@ def _large_clusters(members: DataFrame) -> DataFrame:
             batch.append(r["_id"])
             total += r["n"]
         if not batch:
-            return links if links is not None else spark.createDataFrame([], "a long, b long")
+            return roots if links is not None else spark.createDataFrame([], "a long, b long")
         chosen = members.where(F.col("_id").isin(batch)).select("cluster", "_id", "shingles").collect()
         by: dict[int, list] = {}
         for r in chosen:
@@ -191,7 +210,7 @@ def _large_clusters(members: DataFrame) -> DataFrame:
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [s.view(np.int64) for s in shingle_sets(b.column("_text"))]
+        sets = [s.view(np.int64) for s in shingle_sets(_texts(b))]
         yield pa.record_batch([b.column("cluster"), b.column("_id"), pa.array(sets, pa.list_(pa.int64()))], names=["cluster", "_id", "shingles"])
 
 
@@ -213,27 +232,23 @@ def labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sizes = nodes.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     fits = (F.col("docs") <= CLUSTER_DOCS) & (F.col("shingles") <= CLUSTER_SHINGLES)
     nodes = written(nodes.join(sizes, "cluster").select("cluster", "_id", "_th", fits.alias("fits")), "clusters")
-    texts = own.join(nodes, ["_id", "_th"]).dropDuplicates(["_id", "_th"]) if _repeats(sketch) else own.join(nodes, ["_id", "_th"])
-    small = texts.where("fits").repartition("cluster").sortWithinPartitions("cluster", "_id").select("cluster", "_id", "_text").mapInArrow(_confirm, "a long, b long")
+    texts = _wanted(own, nodes)
+    small = texts.where("fits").repartition("cluster").sortWithinPartitions("cluster", "_id").select("cluster", "_id", "zipped").mapInArrow(_confirm, "a long, b long")
     links = small
     if not nodes.where("NOT fits").isEmpty():
-        members = written(texts.where("NOT fits").select("cluster", "_id", "_text").mapInArrow(_with_sets, "cluster long, _id long, shingles array<long>"), "members")
+        members = written(texts.where("NOT fits").select("cluster", "_id", "zipped").mapInArrow(_with_sets, "cluster long, _id long, shingles array<long>"), "members")
         links = links.union(_large_clusters(members))
     # one id with several texts: its classes belong together
-    member = ink.select("_id", "_th", "d1", "d2", "n").join(classes.select("d1", "d2", F.col("_id").alias("rep")), ["d1", "d2"])
-    least = member.groupBy("_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("_id", "low")
-    own_links = member.join(least, "_id").where("rep <> low").select("rep", "low")
-    found = components(links.union(own_links))
+    member = written(ink.select("_id", "_th", "d1", "d2", "n").join(classes.select("d1", "d2", F.col("_id").alias("rep")), ["d1", "d2"]).select("_id", "_th", "n", "rep"), "members")
+    split = written(member.groupBy("_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("_id", "low"), "split-ids")
+    if not split.isEmpty():
+        links = links.union(member.join(split, "_id").where("rep <> low").select("rep", "low"))
+    found = components(links)
     labelled = member.join(found, member["rep"] == found["node"], "left").select("_id", "_th", "n", F.coalesce("root", "rep").alias("component"))
     blank = sketch.where(F.col("d1").isNull()).select("_id", "_th", "n", F.col("_id").alias("component"))
     return labelled.union(blank).withColumnRenamed("n", "n_shingles")
 
 
-def _repeats(sketch: DataFrame) -> bool:
-    """Whether a row of the same id and text occurs twice."""
-    return not sketch.groupBy("_id", "_th").count().where("count > 1").isEmpty()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all columns, n_shingles (long), component_id (like the id) and kept (boolean)."""
     found = labels(docs, id_col, text_col).dropDuplicates(["_id", "_th"])

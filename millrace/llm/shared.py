@@ -11,9 +11,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,36 @@ def unpacked(df: DataFrame, *new: str) -> DataFrame:
     return df.select(*(F.col(f"_row.`{c}`").alias(c) for c in names if c not in new), *new)
 
 
+SIEVE_BITS = 1 << 26
+
+
+class Sieve:
+    """A Bloom filter over (_id, _th) pairs of at most ``SIEVE_BITS`` bits (8 MB): keeps rows that can't match out of a shuffle.
+
+    It lets every wanted pair through, and others at a rate that rises as the wanted ones outgrow it; a join follows it."""
+
+    def __init__(self, wanted: DataFrame) -> None:
+        n = wanted.count()
+        self.bits = min(SIEVE_BITS, 1 << max(12, (16 * n).bit_length()))
+        h1, h2 = self.hashes()
+        at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.pmod(h1.bitwiseAND(F.lit(2**40 - 1)) + k * h2.bitwiseAND(F.lit(2**40 - 1)), F.lit(self.bits))))
+        words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
+        self.words = np.zeros(self.bits >> 6, np.int64)
+        self.words[words.column("word").to_numpy()] = words.column("set").to_numpy()
+
+    @staticmethod
+    def hashes() -> tuple[Column, Column]:
+        """Two hashes of a row; ``passes`` takes their values."""
+        return F.xxhash64("_id", "_th"), F.xxhash64(F.lit(7), "_th", "_id")
+
+    def passes(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(h1), bool)
+        for k in range(4):
+            at = ((h1 & (2**40 - 1)) + k * (h2 & (2**40 - 1))) % self.bits
+            ok &= (self.words[at >> 6] >> (at & 63)) & 1 == 1
+        return ok
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array without nulls, end to end, and the n + 1 offsets; no copy."""
     if isinstance(texts, pa.ChunkedArray):
@@ -100,6 +132,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_id, _th, zipped) of (_id, _th, _text) batches: each text compressed on its own, for the shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        data, offs = flat(batch.column("_text"))
+        view = memoryview(np.ascontiguousarray(data))
+        packed_texts = [pack(view[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        yield pa.record_batch([batch.column("_id"), batch.column("_th"), pa.array(packed_texts, pa.binary())], names=["_id", "_th", "zipped"])
+
+
+def unzip(zipped: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(zipped) if zipped else b""
+
+
 class Rolling:
     """Polynomial hashes modulo 2**64 of any slices of one flat array of symbols.
 

@@ -35,11 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_CODES, Rolling, flat, keyed, mix, written
+from .shared import BYTE_CODES, Rolling, flat, keyed, mix, unzip, written, zipped
 from .suffixes import MOST, suffix_order
 
 LENGTH, KGRAM = 200, 32
@@ -109,19 +108,6 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = b
 
 
-def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        data, offs = flat(batch.column("_text"))
-        view = memoryview(np.ascontiguousarray(data))
-        zipped = [pack(view[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-        yield pa.record_batch([batch.column("_id"), batch.column("_th"), pa.array(zipped, pa.binary())], names=["_id", "_th", "zipped"])
-
-
-def unzip(zipped: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(zipped) if zipped else b""
-
-
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each context: (name, span, many, _id, _th, lo, bytes)."""
     for batch in batches:
@@ -225,7 +211,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copied = mixed.join(contexts.where("many").select("name", "span"), ["name", "span"]).select(*span)
     # the bytes of one run for each context; runs of one text travel together
     wanted = contexts.groupBy("_id", "_th").agg(F.collect_list(F.struct("name", "span", "many", "lo", "n")).alias("runs"))
-    texts = own.mapInArrow(_zip, "_id long, _th long, zipped binary").join(wanted, ["_id", "_th"])
+    texts = own.mapInArrow(zipped, "_id long, _th long, zipped binary").join(wanted, ["_id", "_th"])
     cut = written(texts.mapInArrow(_contexts, "name long, span long, many boolean, _id long, _th long, lo long, bytes binary"), "context-bytes")
     size = cut.groupBy("name").agg(F.sum(F.length("bytes") + 1).alias("size")).where(F.col("size") > PORTION).select("name")
     large = written(size, "hot-names")
@@ -244,8 +230,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, removed, spans, sizes = [], [], [], []
-        for k, zipped in enumerate(batch.column("zipped").to_pylist()):
-            data = unzip(zipped)
+        for k, packed in enumerate(batch.column("zipped").to_pylist()):
+            data = unzip(packed)
             ranges = batch.column("ranges")[k]
             sizes.append(len(data))
             if not ranges.is_valid:
@@ -272,5 +258,5 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, n_bytes, n_removed, n_spans, kept binary, kept_sha256), one row per row of ``docs``."""
     ranges = repeated_ranges(docs, id_col, text_col).groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    texts = keyed(docs, id_col, text_col).mapInArrow(_zip, "_id long, _th long, zipped binary")
+    texts = keyed(docs, id_col, text_col).mapInArrow(zipped, "_id long, _th long, zipped binary")
     return texts.join(ranges, ["_id", "_th"], "left").mapInArrow(_cut, "_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
