@@ -43,7 +43,7 @@ from .suffixes import MOST, suffix_order
 
 LENGTH, KGRAM = 200, 32
 WIDTH = LENGTH - KGRAM + 1  # places of an anchor within a window
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 PORTION = 900_000
 AT = np.uint64((1 << 24) - 1)
 
