@@ -37,7 +37,7 @@ ODD_SPACE = regex.compile(r"[\x1c-\x1f]")  # str.split() would split there
 CHUNK = regex.compile(rf"[^{SPACE}]+")
 NONE = np.iinfo(np.int32).max
 CACHE_ENTRIES, CACHE_IDS = 400_000, 4_000_000
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def byte_symbols() -> list[str]:
