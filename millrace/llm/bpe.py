@@ -27,9 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import unpacked
+from .shared import bounded_batches, unpacked
 
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode White_Space
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -226,8 +227,7 @@ def _decode(path: str, ids_col: str):
 
 
 def _mapped(df: DataFrame, run, name: str, kind: T.DataType) -> DataFrame:
-    from pyspark.sql import functions as F
-
+    bounded_batches(df.sparkSession)
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
     return unpacked(rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField(name, kind)])), name)
 

@@ -55,7 +55,7 @@ def _keys(min_chars: int):
                     h = xxhash.xxh3_128_intdigest(key.encode())
                     for c, v in zip(cols, ((h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63, i, th, len(lines), where), strict=True):
                         c.append(v)
-                if len(cols[0]) >= 50_000:
+                if len(cols[0]) >= 10_000:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _ROWS, strict=True)], schema=_ROWS)
                     cols = [[] for _ in _ROWS]
             if cols[0]:

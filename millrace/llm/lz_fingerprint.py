@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Rolling, mix, row_id, unpacked
+from .shared import Rolling, bounded_batches, mix, row_id, unpacked
 
 SIZE = 64
 _RNG = np.random.default_rng(20240607)
@@ -108,6 +108,7 @@ def edit(text: str, following: str) -> str:
 
 def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with all columns and fingerprint (string): no shuffle."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +182,7 @@ def _partition_keys(docs: DataFrame, parts: int) -> list[int]:
 
 def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next), one row per row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(row_id(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     bounds = ranges(own.select("_id"), parts)

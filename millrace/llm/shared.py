@@ -55,8 +55,19 @@ def remove_written() -> None:
             return
 
 
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows an Arrow batch holds at most: whole texts can be long, and each Python worker holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id long, _th long, _text string): identity and whole text of every row, and nothing else."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(row_id(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
 
@@ -72,6 +83,7 @@ def public_id(id_col: str = "_id") -> Column:
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_row, _id, _th): every row as one struct, so that no column of the caller's clashes with an operator's own."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), row_id(id_col).alias("_id"), F.xxhash64(text).alias("_th"))
 
