@@ -116,7 +116,7 @@ def job_slug(slug: Column, title: Column, external_id: Column) -> Column:
 def number_text(c: Column) -> Column:
     """A double as a script prints it: no trailing ``.0``, no exponent below 1e21."""
     whole = c.cast("decimal(38,0)").cast("string")
-    return F.when(c == F.floor(c), whole).otherwise(F.regexp_replace(F.format_string("%.12f", c), "0+$", ""))
+    return F.when(c == F.floor(c), whole).when(c.isNotNull(), F.regexp_replace(F.format_string("%.12f", c), "0+$", ""))
 
 
 def content_hash(*parts: Column) -> Column:

@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-RAW_POSTING = StructType.fromDDL(
+_TYPES: dict[str, DataType] = {"string": StringType(), "double": DoubleType(), "boolean": BooleanType(), "timestamp": TimestampType(), "int": IntegerType(), "bigint": LongType()}
+
+
+def flat(ddl: str) -> StructType:
+    """A schema of scalar columns; needs no running session."""
+    return StructType([StructField(n, _TYPES[t]) for n, t in (c.split() for c in ddl.split(","))])
+
+
+RAW_POSTING = flat(
     "external_id string, title string, description_html string, description_text string, apply_url string, location_raw string, posted_at timestamp, updated_at timestamp, "
     "remote_type string, remote_hint boolean, employment_type string, salary_min double, salary_max double, salary_currency string, salary_period string"
 )
-COMPANIES = StructType.fromDDL(
+COMPANIES = flat(
     "id string, name string, slug string, domain string, ats_provider string, ats_token string, stage string, size string, logo_url string, description string, created_at timestamp"
 )
-SOURCES = StructType.fromDDL("id string, company_id string, ats_provider string, endpoint_url string, last_polled_at timestamp, status string")
-JOBS = StructType.fromDDL(
+SOURCES = flat("id string, company_id string, ats_provider string, endpoint_url string, last_polled_at timestamp, status string")
+JOBS = flat(
     "id string, company_id string, source_id string, external_id string, slug string, title string, normalized_title string, description_html string, description_text string, "
     "apply_url string, location_raw string, country string, region string, city string, remote_type string, seniority string, salary_min double, salary_max double, "
     "salary_currency string, salary_period string, classification string, classification_confidence double, is_featured boolean, is_direct boolean, is_new boolean, is_closed boolean, "
     "posted_at timestamp, updated_at timestamp, ingested_at timestamp, expires_at timestamp, content_hash string, dedup_key string, last_seen_at timestamp"
 )
-SKILLS = StructType.fromDDL("id string, name string, cluster string")
-JOB_SKILLS = StructType.fromDDL("job_id string, skill_id string")
-EMPLOYER_ORDERS = StructType.fromDDL("id string, company_id string, job_id string, product string, amount bigint, currency string, status string, created_at timestamp")
-SUBSCRIBERS = StructType.fromDDL("id string, email string, filters string, frequency string, created_at timestamp")
-USERS = StructType.fromDDL("id string, email string, role string, created_at timestamp")
+SKILLS = flat("id string, name string, cluster string")
+JOB_SKILLS = flat("job_id string, skill_id string")
+EMPLOYER_ORDERS = flat("id string, company_id string, job_id string, product string, amount bigint, currency string, status string, created_at timestamp")
+SUBSCRIBERS = flat("id string, email string, filters string, frequency string, created_at timestamp")
+USERS = flat("id string, email string, role string, created_at timestamp")
 
 #: Landed answers of boards: one row a page of a list, or one a detail.
-PAGES = StructType.fromDDL("slug string, query int, page int, url string, body string")
-DETAILS = StructType.fromDDL("slug string, key string, url string, body string")
+PAGES = flat("slug string, query int, page int, url string, body string")
+DETAILS = flat("slug string, key string, url string, body string")
 
 LIST = {
     "greenhouse": "jobs array<struct<id: bigint, title: string, location: struct<name: string>, absolute_url: string, updated_at: string, first_published: string, content: string>>",
