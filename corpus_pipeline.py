@@ -37,10 +37,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and a check that they decode to what the vocabulary makes of them."""
-    path = tokenizer_path()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return bpe.decode(ids, path).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, lang, source, n_tokens, ids and the digest of what they decode to."""
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), decoded=True)
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near_duplicates), ("mixing", mixture), ("encoding", tokens)]

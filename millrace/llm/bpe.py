@@ -37,7 +37,7 @@ PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")  # str.split() would split there
 CHUNK = regex.compile(rf"[^{SPACE}]+")
 NONE = np.iinfo(np.int32).max
-CACHE_ENTRIES, CACHE_IDS = 400_000, 4_000_000
+CACHE_ENTRIES, CACHE_IDS = 200_000, 2_000_000
 SLICE_CHARS = 1_000_000
 
 
@@ -200,15 +200,22 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def _encode(path: str, text_col: str):
+def _joined(v: Vocabulary, offsets: np.ndarray, ids: pa.Array) -> pa.Array:
+    """The tokens of each list of ids, joined by a space."""
+    tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), v.tokens.take(ids))
+    return pc.fill_null(pc.binary_join(tokens, " "), "")
+
+
+def _encode(path: str, text_col: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.at(path)
         for batch in batches:
             texts = pc.fill_null(batch.column("_row").field(text_col), "").to_pylist()
             for a, b in _slices(texts):
                 ids, count = v.encode(texts[a:b])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(ids))
-                yield pa.record_batch([batch.column("_row").slice(a, b - a), lists], names=["_row", "ids"])
+                offsets, ids = np.append(0, np.cumsum(count)), pa.array(ids)
+                out = {"_row": batch.column("_row").slice(a, b - a), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)}
+                yield pa.record_batch(out | ({"decoded": _joined(v, offsets, ids)} if decoded else {}))
 
     return run
 
@@ -220,23 +227,24 @@ def _decode(path: str, ids_col: str):
             for a in range(0, batch.num_rows, 256):
                 rows = batch.column("_row").slice(a, 256)
                 lists = rows.field(ids_col)
-                tokens = pa.ListArray.from_arrays(pa.array(np.asarray(lists.offsets) - lists.offsets[0].as_py()), v.tokens.take(lists.flatten()))
-                yield pa.record_batch([rows, pc.fill_null(pc.binary_join(tokens, " "), "")], names=["_row", "decoded"])
+                yield pa.record_batch({"_row": rows, "decoded": _joined(v, np.asarray(lists.offsets) - lists.offsets[0].as_py(), lists.flatten())})
 
     return run
 
 
-def _mapped(df: DataFrame, run, name: str, kind: T.DataType) -> DataFrame:
+def _mapped(df: DataFrame, run, **new: T.DataType) -> DataFrame:
     bounded_batches(df.sparkSession)
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
-    return unpacked(rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField(name, kind)])), name)
+    return unpacked(rows.mapInArrow(run, T.StructType([rows.schema["_row"], *(T.StructField(n, t) for n, t in new.items())])), *new)
+
 
+def encode(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``docs`` with ids (array<int>): the token ids of every whole text, without added special tokens.
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ids (array<int>): the token ids of every whole text, without added special tokens."""
-    return _mapped(docs, _encode(path, text_col), "ids", T.ArrayType(T.IntegerType()))
+    ``decoded``: also what ``decode`` makes of the ids, by the same worker, so that only one has to hold the vocabulary."""
+    return _mapped(docs, _encode(path, text_col, decoded), ids=T.ArrayType(T.IntegerType()), **({"decoded": T.StringType()} if decoded else {}))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``rows`` with decoded (string): tokens joined by a space, as a vocabulary file without a decoder asks for."""
-    return _mapped(rows, _decode(path, ids_col), "decoded", T.StringType())
+    return _mapped(rows, _decode(path, ids_col), decoded=T.StringType())

@@ -25,6 +25,8 @@ def test_encode_and_decode_like_the_library(spark):
         want = t.encode(x, add_special_tokens=False).ids
         assert got[i].ids == want, repr(x[:60])
         assert got[i].decoded == t.decode(want, skip_special_tokens=False)
+    once = {r.doc_id: r.decoded for r in bpe.encode(rows, PATH, decoded=True).collect()}
+    assert once == {i: r.decoded for i, r in got.items()}
 
 
 def test_whole_table_against_the_library(spark):
