@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import enrich
 from ..functions import vocabulary as v
@@ -54,3 +55,9 @@ def document(open_: DataFrame, companies: DataFrame, rates: dict[str, float], ge
 
 def write_document(doc: DataFrame, path: str) -> None:
     doc.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str, jobs: StructType, companies: StructType) -> tuple[DataFrame, DataFrame]:
+    """(jobs, companies) of a snapshot document, with the schemas given and ``ord`` the place in the document."""
+    one = spark.read.schema(StructType([StructField("jobs", ArrayType(jobs)), StructField("companies", ArrayType(companies))])).option("multiLine", True).json(path)
+    return tuple(one.select(F.posexplode(c).alias("ord", "r")).select("ord", "r.*") for c in ("jobs", "companies"))

@@ -15,6 +15,7 @@ from .functions import enrich, text
 from .operators import relational as rel
 from .operators import state
 from .plans import pages, stats
+from .sources import feeds, jsonld
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -548,3 +549,70 @@ def search_filter(spark, sf):
 @query("""SELECT c_custkey, CAST(json_object('name', c_name, 'n', CAST(c_nationkey AS INTEGER)) AS VARCHAR) AS json FROM customer""")
 def json_payload(spark, sf):
     return Tables(spark, sf).customer.select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"), F.lit(None).cast("string").alias("gone"))).alias("json"))
+
+
+# ---- feeds and structured data, over payloads built from the tables
+
+@query("SELECT 'board' AS slug, CAST(o_orderkey AS VARCHAR) AS external_id, o_orderpriority AS title, 'a & b' || chr(10) || chr(10) || '• ' || o_orderstatus AS description_text, 'u' || o_orderkey AS apply_url, o_orderstatus AS location_raw, CAST(o_orderdate AS TIMESTAMP) AS posted_at FROM orders")
+def feed_greenhouse(spark, sf):
+    job = F.struct(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit(" "), "o_orderpriority", F.lit("\n")).alias("title"), F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("absolute_url"), F.struct(F.col("o_orderstatus").alias("name")).alias("location"),
+        F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("first_published"), F.concat(F.lit("&lt;p&gt;a &amp;amp; b&lt;/p&gt;&lt;li&gt;"), "o_orderstatus").alias("content"),
+    )
+    page = Tables(spark, sf).orders.select(F.lit("board").alias("slug"), F.lit(0).alias("query"), F.lit(0).alias("page"), F.lit("").alias("url"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("body"))
+    got = feeds.greenhouse(page)
+    return got.select("slug", "external_id", "title", "description_text", "apply_url", "location_raw", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS external_id, CASE o_orderstatus WHEN 'F' THEN 'remote' WHEN 'O' THEN 'onsite' END AS remote_type, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'h' END AS apply_url FROM orders WHERE o_orderkey % 5 <> 0")
+def feed_lever(spark, sf):
+    k = F.col("o_orderkey")
+    job = F.struct(k.cast("string").alias("id"), F.lit("t").alias("text"), F.when(k % 5 != 0, F.lit("h")).alias("hostedUrl"), F.when((k % 2 == 0) & (k % 5 != 0), F.lit("a")).alias("applyUrl"), F.when(F.col("o_orderstatus") == "F", "Remote").when(F.col("o_orderstatus") == "O", "on-site").otherwise("unspecified").alias("workplaceType"))
+    page = Tables(spark, sf).orders.select(F.lit("b").alias("slug"), F.lit(0).alias("query"), F.lit(0).alias("page"), F.lit("").alias("url"), F.to_json(F.array(job)).alias("body"))
+    return feeds.lever(page).select("external_id", "remote_type", "apply_url")
+
+
+@query("SELECT p_partkey, p_name AS title, p_brand || CASE WHEN p_size % 2 = 0 THEN ', ' || p_type ELSE '' END AS location, CAST(p_size AS VARCHAR) AS identifier FROM part WHERE p_size % 3 <> 0")
+def json_ld(spark, sf):
+    place = F.struct(F.struct(F.col("p_brand").alias("addressLocality"), F.col("p_brand").alias("addressRegion"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("addressCountry")).alias("address"))
+    node = F.struct(F.when(F.col("p_size") % 3 != 0, "JobPosting").otherwise("Thing").alias("@type"), F.concat(F.lit(" "), "p_name").alias("title"), F.array(place).alias("jobLocation"), F.struct(F.col("p_size").alias("value")).alias("identifier"))
+    html = F.concat(F.lit("<p><script type='application/ld+json'>{oops</script><SCRIPT id=1 type=\"application/ld+json\">"), F.to_json(F.struct(F.array(node).alias("@graph"))), F.lit("</SCRIPT>"))
+    found = Tables(spark, sf).part.select("p_partkey", F.explode(jsonld.job_postings(html)).alias("j"))
+    return found.select("p_partkey", "j.title", "j.location", "j.identifier")
+
+
+@query("""
+WITH j AS (SELECT o_orderkey AS id, o_orderpriority AS page, o_totalprice AS lo, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 2 END AS hi FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice <> 0),
+m AS (SELECT page, CASE WHEN hi IS NULL THEN lo ELSE (lo + hi) / 2 END AS mid FROM j)
+SELECT id, count(mid) AS n, min(mid) AS low, median(mid) AS median, max(mid) AS high FROM (VALUES ('1-URGENT'), ('5-LOW'), ('none')) p(id) LEFT JOIN m ON page = id GROUP BY 1
+""")
+def salary_pages(spark, sf):
+    k = F.col("o_orderkey")
+    jobs = Tables(spark, sf).orders.select(F.array("o_orderpriority", F.lit("other")).alias("clusters"), F.col("o_totalprice").alias("salary_min"), F.when(k % 2 == 0, F.col("o_totalprice") * 2).alias("salary_max"), F.when(F.col("o_orderstatus") == "P", "EUR").when(k % 3 == 0, "USD").alias("salary_currency"), F.when(k % 7 == 0, "year").alias("salary_period"))
+    return stats.salary_pages(small(spark, [("1-URGENT",), ("5-LOW",), ("none",)], "id string"), jobs).select("id", "n", "low", "median", "high")
+
+
+@query("SELECT event_id, true AS in_scope, coalesce(CAST(json_extract(props, '$.k') AS DOUBLE), 0.6) AS confidence, upper(event_type) AS country FROM events")
+def scorer_record(spark, sf):
+    raw = F.to_json(F.struct(F.lit(True).alias("inScope"), F.get_json_object("props", "$.k").cast("double").alias("confidence"), F.concat(F.lit(" "), "event_type").alias("country")))
+    return Tables(spark, sf).events.select("event_id", enrich.scorer_record(raw).alias("x")).select("event_id", "x.in_scope", "x.confidence", "x.country")
+
+
+@query("""
+WITH c AS (SELECT o_custkey AS slug, count(*) AS n, count(*) FILTER (o_totalprice > 100000) AS with_pay FROM orders GROUP BY 1),
+s AS (SELECT o_custkey AS slug, o_orderpriority AS skill, min(o_orderkey) AS first_key FROM orders GROUP BY 1, 2)
+SELECT slug, c.n, with_pay, array_to_string(list(skill ORDER BY first_key), ',') AS stack FROM customer JOIN c ON c_custkey = slug JOIN s USING (slug) GROUP BY 1, 2, 3
+""")
+def company_pages(spark, sf):
+    t = Tables(spark, sf)
+    jobs = t.orders.select(F.col("o_custkey").alias("company_slug"), F.col("o_orderkey").alias("ord"), F.array("o_orderpriority").alias("skills"), F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("salary_min"))
+    return pages.company_pages(t.customer.select(F.col("c_custkey").alias("slug")), jobs).select("slug", "n", "with_pay", F.array_join("stack", ",").alias("stack"))
+
+
+@query("""
+WITH j AS (SELECT o_orderkey, unnest(list_distinct(string_split(o_orderpriority, '-'))) AS id FROM orders), p AS (SELECT id, o_orderkey, row_number() OVER (PARTITION BY id ORDER BY o_orderkey) AS position FROM j)
+SELECT t.id, o_orderkey AS job_id, position FROM (VALUES ('URGENT'), ('LOW'), ('NEVER')) t(id) LEFT JOIN p ON p.id = t.id
+""")
+def topic_positions(spark, sf):
+    jobs = Tables(spark, sf).orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderkey").alias("ord"), F.split("o_orderpriority", "-").alias("clusters"))
+    return pages.topic_pages(small(spark, [("URGENT",), ("LOW",), ("NEVER",)], "id string"), jobs).select("id", "job_id", "position")

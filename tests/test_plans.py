@@ -5,6 +5,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions.enrich import SKILLS
 from millrace.functions.text import slugify
@@ -57,6 +58,8 @@ def test_facets_and_document(site, spark, tmp_path):
     doc = snapshot.document(site[0], site[1], {"USD": 1.0}, F.lit("now"))
     snapshot.write_document(doc, str(tmp_path / "s"))
     got = json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "s"), wholetext=True).collect()))
+    jobs, companies = snapshot.read_document(spark, str(tmp_path / "s"), StructType.fromDDL("id string, skills array<string>"), StructType.fromDDL("id string, domain string"))
+    assert [(r.ord, r.id) for r in jobs.orderBy("ord").collect()] == [(0, "j9"), (1, "j1"), (2, "j2"), (3, "j3")] and companies.where("ord = 0").first().domain == "a.com"
     assert [j["id"] for j in got["jobs"]] == ["j9", "j1", "j2", "j3"] and "country" not in got["jobs"][0] and len(got["companies"]) == 3 and got["facets"]["clusters"][0]["label"] == "Languages"
 
 
