@@ -65,18 +65,20 @@ def share_out(children: DataFrame, parents: list[str], name: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, weights: Weights, share: tuple[int, int], max_epochs: int) -> DataFrame:
     """``leaves``: _domain, _lang, _source, tokens. Adds budget, epochs (whole ones) and rest (tokens of the last epoch)."""
     d, l, s = (f"_{x}" for x in LEVELS)
-    third = leaves.withColumns({"cap": (F.col("tokens") * max_epochs).cast("decimal(20,0)"), "w": weight_of(3, weights)})
+    whole = W.partitionBy()  # over the leaves, then over the domains: a handful of aggregated rows
+    target = F.expr(f"cast(sum(tokens) over () * {share[0]} div {share[1]} as decimal(20,0))")
+    third = leaves.withColumns({"cap": (F.col("tokens") * max_epochs).cast("decimal(20,0)"), "w": weight_of(3, weights), "target": target})
     able = F.sum(F.when(F.col("w") > 0, F.col("cap"))).cast("decimal(20,0)").alias("cap")
-    second = third.groupBy(d, l).agg(able).where("cap IS NOT NULL").withColumn("w", weight_of(2, weights))
-    first = second.groupBy(d).agg(able).where("cap IS NOT NULL").withColumn("w", weight_of(1, weights))
-    # capacity counts only what weights let through; the target is a share of all tokens
-    total = leaves.agg(F.expr(f"cast(coalesce(sum(tokens), 0) * {share[0]} div {share[1]} as decimal(20,0))").alias("target"))
-    root = first.where("w > 0").agg(F.coalesce(F.sum("cap"), F.lit(0)).cast("decimal(20,0)").alias("most")).crossJoin(total).select(F.least("target", "most").alias("budget"))
-    one = share_out(first.crossJoin(F.broadcast(root)), [], d).select(d, F.col("own").alias("budget"))
-    two = share_out(second.join(one, d), [d], l).select(d, l, F.col("own").alias("budget"))
-    three = share_out(third.join(two, [d, l]), [d, l], s)
-    whole = F.when(F.col("tokens") > 0, F.expr("own div tokens")).otherwise(F.lit(0)).cast("int")
-    out = three.select(d, l, s, "tokens", F.col("own").cast("long").alias("budget"), whole.alias("epochs"))
+    up = (able, F.max("target").alias("target"))
+    second = third.groupBy(d, l).agg(*up).where("cap IS NOT NULL").withColumn("w", weight_of(2, weights))
+    first = second.groupBy(d).agg(*up).where("cap IS NOT NULL").withColumn("w", weight_of(1, weights))
+    # the budget is the target, or all that weights let through if that is less
+    most = F.sum(F.when(F.col("w") > 0, F.col("cap"))).over(whole)
+    one = share_out(first.withColumn("budget", F.least("target", most).cast("decimal(20,0)")), [], d).select(d, F.col("own").alias("budget"))
+    two = share_out(second.drop("target").join(one, d), [d], l).select(d, l, F.col("own").alias("budget"))
+    three = share_out(third.drop("target").join(two, [d, l]), [d, l], s)
+    epochs = F.when(F.col("tokens") > 0, F.expr("own div tokens")).otherwise(F.lit(0)).cast("int")
+    out = three.select(d, l, s, "tokens", F.col("own").cast("long").alias("budget"), epochs.alias("epochs"))
     return out.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
 
 
