@@ -222,7 +222,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if hot:
         keys = written(cut.join(large, "name", "left_semi").mapInArrow(_window_keys, "k1 long, k2 long, many boolean, _id long, _th long, at long"), "windows")
         place = F.struct("_id", "_th", "at")
-        twice = keys.groupBy("k1", "k2").agg(F.max("many").alias("m"), F.min(place).alias("x"), F.max(place).alias("y")).where("m OR x <> y").select("k1", "k2")
+        twice = written(keys.groupBy("k1", "k2").agg(F.max("many").alias("m"), F.min(place).alias("x"), F.max(place).alias("y")).where("m OR x <> y").select("k1", "k2"), "hot-windows")
         out = out.union(keys.join(twice, ["k1", "k2"]).select("_id", "_th", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("stop")))
     return out
 
