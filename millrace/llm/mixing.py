@@ -9,7 +9,7 @@ prefix, in an order drawn from the seed, the epoch and the id, whose tokens fit
 The capped shares have a closed form, so there is no iteration: by rising capacity per weight, a child is full iff
 (capacities before it) * weight + capacity * (weights from it on) <= budget * weight. All sums are exact integers.
 
-Scale. The tree is an aggregate; its levels are windows over it. The prefix of a leaf is found from sums over ``2**16``
+Scale. The tree is an aggregate; its levels are windows over it. The prefix of a leaf is found from sums over ``2**12``
 ranges of the order key, which are combined before the shuffle, and a sort of the one range in which the prefix ends. So a source that holds a
 third of all rows is never sorted or gathered as one, and texts are not shuffled at all. Leaf table and cut table hold one row a leaf,
 are written, and are broadcast by Spark if it finds their files small enough.
@@ -101,7 +101,7 @@ def mix_sources(
     budgets = written(leaf_budgets(leaves, weights, share, max_epochs), "mix-leaves")
     # where in the last epoch's order each leaf's prefix ends
     keyed = narrow.join(budgets.select(*nodes, "epochs", "rest"), nodes).withColumn("_key", order_key(seed, F.col("epochs"), F.col("_id")))
-    keyed = keyed.withColumn("_range", F.substring("_key", 1, 4))
+    keyed = keyed.withColumn("_range", F.substring("_key", 1, 3))
     sums = keyed.groupBy(*nodes, "rest", "_range").agg(F.sum("tokens").alias("t"))
     up_to = W.partitionBy(*nodes).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = sums.withColumn("_sum", F.sum("t").over(up_to)).where("_sum > rest").groupBy(*nodes).agg(F.min(F.struct("_range", (F.col("_sum") - F.col("t")).alias("_before"))).alias("e")).select(*nodes, "e.*")
