@@ -6,7 +6,7 @@ returns ids). ``run`` writes each stage's result to the shared folder and reads
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, line_dedup, minhash, mixing, quality_rules
@@ -14,26 +14,36 @@ from millrace.llm.queries import WEIGHTS, domain, table, tokenizer_path
 from millrace.llm.shared import written
 
 
+def aside(docs: DataFrame, *outputs: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns that are named like an operator's outputs renamed, and the expressions that give all columns back."""
+    names = {c: f"_document_{c}" if c.lower() in outputs else c for c in docs.columns}
+    return docs.withColumnsRenamed(names), [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor a learned rule rejects."""
     rules = quality_rules.learn(quality_rules.labelled(docs, table(spark, sf_dir, "labels")))
-    return quality_rules.judge(docs, rules).where("kept").select(docs.columns)
+    docs, back = aside(docs, *quality_rules.STATS, "base_failed", "rule", "kept")
+    return quality_rules.judge(docs, rules).where("kept").select(back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that many documents share; n_chars follows the text."""
+    docs, back = aside(docs, "n_lines", "n_dropped", "kept_text")
     found = line_dedup.dedup_lines(docs).withColumn("text", F.col("kept_text"))
-    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of smallest id."""
-    return minhash.near_duplicates(docs).where("kept").select(docs.columns)
+    docs, back = aside(docs, "n_shingles", "component_id", "kept")
+    return minhash.near_duplicates(docs).where("kept").select(back)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of each source up to its share of as many tokens as there are, up to four times each."""
-    return mixing.mix_sources(docs, domain(), WEIGHTS).select(docs.columns)
+    docs, back = aside(docs, "epoch", "domain")
+    return mixing.mix_sources(docs, domain(), WEIGHTS).select(back)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,21 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_odd_rows_and_clashing_names(spark):
+    long = " ".join(f"word{k}" for k in range(30_000))
+    text = " ".join(f"w{k % 97}x{k}" for k in range(80))
+    rows = [(1, text, "en", "src1", 5), (1, text, "en", "src1", 5), (2, text + " more", None, None, None), (3, None, "en", "src0", 0), (None, text + "\n" + text, "de", "other", 1), (5, "", "fr", "src3", 0), (6, long, "en", "src2", 9)]
+    extra = ["kept", "rule", "kept_text", "component_id", "epoch", "domain", "_id", "_row", "ids"]
+    docs = spark.createDataFrame([(*r, *(f"{c}{k}" for c in extra)) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    seen = {(r.doc_id, r.ids) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns, name
+        docs = spark.createDataFrame(after.collect(), after.schema)
+        assert {(r.doc_id, r.ids) for r in docs.collect()} <= seen
+        assert all(r[c][: len(c)] == c for r in docs.collect() for c in extra)
+    assert {r.doc_id for r in docs.collect()} <= {1, 2, None, 6} and docs.count() > 0
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(got) == docs.count() and all(r.n_tokens == len(r.ids) > 0 for r in got)
