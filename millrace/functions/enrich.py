@@ -55,9 +55,9 @@ def term_pattern(term: str) -> str:
 
 
 def tag_terms(text: Column, terms: list[str]) -> Column:
-    """The terms that occur in the text, in the order of the list."""
+    """The terms that occur in the text, in the order of the list. A plain search goes before each pattern, as most terms aren't there."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*(F.when(low.rlike(term_pattern(t)), F.lit(t)) for t in terms)), lambda x: x.isNotNull())
+    return F.filter(F.array(*(F.when(F.contains(low, F.lit(t.lower())) & low.rlike(term_pattern(t)), F.lit(t)) for t in terms)), lambda x: x.isNotNull())
 
 
 SKILLS = [s for _, _, skills in v.CLUSTERS for s in skills]

@@ -28,7 +28,7 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def ranked(df: DataFrame, k: int, *order: Column, name: str = "rank", start: int = 0) -> DataFrame:
     """The first k rows with their rank; only those k are numbered."""
-    return top(df, k, *order).withColumn(name, F.row_number().over(W.orderBy(*order)) - 1 + start)
+    return top(df, k, *order).withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1 + start).cast("long"))
 
 
 def counts(df: DataFrame, key: str, name: str = "n") -> DataFrame:

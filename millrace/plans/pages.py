@@ -105,7 +105,7 @@ def company_pages(companies: DataFrame, jobs: DataFrame) -> DataFrame:
 def topic_pages(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     """Every topic page with its jobs and their position from 1; pages without jobs stay."""
     got = containing(pages, jobs, "id", "clusters") if "id" not in jobs.columns else containing(pages, jobs.withColumnRenamed("id", "job_id"), "id", "clusters")
-    return got.withColumn("position", F.when(F.col("job_id").isNotNull(), F.row_number().over(W.partitionBy("id").orderBy(F.col("ord").asc_nulls_last()))))
+    return got.withColumn("position", F.when(F.col("job_id").isNotNull(), F.row_number().over(W.partitionBy("id").orderBy(F.col("ord").asc_nulls_last())).cast("long")))
 
 
 def job_json(jobs: DataFrame) -> Column:

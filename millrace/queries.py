@@ -286,7 +286,7 @@ def pinned_last_order(spark, sf):
     named = rel.top(t.customer.select(F.col("c_mktsegment").alias("label")).distinct(), 3, F.asc("label")).withColumn("known", F.lit(True))
     df = t.customer.select(F.col("c_mktsegment").alias("label")).join(F.broadcast(named), "label", "left").select(F.when(F.col("known"), F.col("label")).otherwise("Other").alias("label"))
     order = (F.col("label") == "Other", F.desc("n"), F.col("label"))
-    return rel.counts(df, "label").withColumn("place", F.row_number().over(W.orderBy(*order)))
+    return rel.counts(df, "label").withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
