@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")  # str.split() would split there
 CHUNK = regex.compile(rf"[^{SPACE}]+")
 NONE = np.iinfo(np.int32).max
-CACHE_ENTRIES, CACHE_IDS = 200_000, 2_000_000
-SLICE_CHARS = 1_000_000
+CACHE_ENTRIES, CACHE_IDS = 400_000, 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -92,8 +93,8 @@ class Vocabulary:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.starts, self.lengths, self.n_ids = [], [], 0
-        self.blocks: list[np.ndarray] = []
+        self.starts = self.lengths = np.empty(0, np.int64)
+        self.table = np.empty(0, np.int32)
 
     def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, end to end, and each one's count."""
@@ -150,43 +151,41 @@ class Vocabulary:
 
     def learn(self, chunks: list[str]) -> None:
         split = [self.pieces(c) for c in chunks]
-        new = list(dict.fromkeys(p for ps in split for p in ps if isinstance(p, str)))
-        ids, count = self.merged(new) if new else (np.empty(0, np.int32), np.empty(0, np.int64))
-        start = np.cumsum(count) - count
-        place = {p: k for k, p in enumerate(new)}
-        block, n = [], self.n_ids
-        for chunk, ps in zip(chunks, split, strict=True):
-            own = 0
-            for p in ps:
-                got = np.array([p], np.int32) if isinstance(p, int) else ids[start[k := place[p]] : start[k] + count[k]]
-                block.append(got)
-                own += len(got)
-            self.index[chunk] = len(self.starts)
-            self.starts.append(n)
-            self.lengths.append(own)
-            n += own
-        self.n_ids = n
-        self.blocks.append(np.concatenate(block) if block else np.empty(0, np.int32))
+        flat = [p for ps in split for p in ps]
+        new = list(dict.fromkeys(flat))
+        words = [p for p in new if isinstance(p, str)]
+        ids, count = self.merged(words) if words else (np.empty(0, np.int32), np.empty(0, np.int64))
+        special = [p for p in new if isinstance(p, int)]
+        place = {p: k for k, p in enumerate(words + special)}
+        ids = np.concatenate([ids, np.array(special, np.int32)])
+        count = np.concatenate([count, np.ones(len(special), np.int64)])
+        own = np.fromiter((place[p] for p in flat), np.int64, len(flat))
+        got, size = gathered(ids, (np.cumsum(count) - count)[own], count[own])
+        ends = np.append(0, np.cumsum(size))[np.cumsum([0, *map(len, split)])]
+        self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.table) + ends[:-1]])
+        self.lengths = np.concatenate([self.lengths, np.diff(ends)])
+        self.table = np.concatenate([self.table, got])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and each one's count."""
-        if len(self.index) > CACHE_ENTRIES or self.n_ids > CACHE_IDS:
+        if len(self.index) > CACHE_ENTRIES or len(self.table) > CACHE_IDS:
             self.clear()
         split = [CHUNK.findall(t) if ODD_SPACE.search(t) else t.split() for t in texts]
         index = self.index
-        new = {c for ws in split for c in ws if c not in index}
+        new = set(chain.from_iterable(split)).difference(index)
         if new:
             self.learn(list(new))
-        at = np.fromiter((index[c] for ws in split for c in ws), np.int64, sum(map(len, split)))
-        starts, lengths = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
-        self.blocks = [np.concatenate(self.blocks)] if self.blocks else []
-        table = self.blocks[0] if self.blocks else np.empty(0, np.int32)
-        size = lengths[at] if len(at) else np.empty(0, np.int64)
-        out_at = np.cumsum(size) - size
-        take = np.arange(int(size.sum())) + np.repeat(starts[at] - out_at, size) if len(at) else np.empty(0, np.int64)
-        bounds = np.cumsum([0, *map(len, split)])
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        out, size = gathered(self.table, self.starts[at], self.lengths[at])
         total = np.append(0, np.cumsum(size))
-        return table[take], np.diff(total[bounds])
+        return out, np.diff(total[np.cumsum([0, *map(len, split)])])
+
+
+def gathered(table: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of ``table`` at ``start``, end to end, and their sizes."""
+    take = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+    return table[take], size
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
