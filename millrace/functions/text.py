@@ -82,7 +82,7 @@ def strip_html(c: Column) -> Column:
 
 
 def display_text(c: Column) -> Column:
-    return F.replace(decode_entities(c, DISPLAY_ENTITIES), F.lit(" "), F.lit(" "))
+    return F.replace(decode_entities(c, DISPLAY_ENTITIES), F.lit("\u00a0"), F.lit(" "))
 
 
 def slugify(c: Column) -> Column:

@@ -14,7 +14,7 @@ def run(spark, column, *values, kind="string"):
 
 def test_entities(spark):
     got = run(spark, text.decode_entities, "&amp;lt; &bogus; &#8364;", "&#x41;&#65;&#X41;", "&#ab; &#12ab; &nbsp;|", "", None, "&&amp;;&lt", "&#128512;&#99999999;", "&#xD800;")
-    assert got == ["&lt; &bogus; €", "AA&#X41;", "&#ab; \x0c \xa0|".replace("\xa0", " ") if v else "", "", None, "&&;&lt", "😀&#99999999;", "�"] or got[2] in ("&#ab; \x0c  |", "&#ab; \x0c  |")
+    assert got == ["&lt; &bogus; €", "AA&#X41;", "&#ab; \x0c  |", "", None, "&&amp;;&lt".replace("&amp;", "&"), "😀&#99999999;", "\ufffd"]
     assert run(spark, text.display_text, "a&mdash;b&nbsp;c&rsquo;") == ["a—b c’"]
 
 
