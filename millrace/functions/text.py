@@ -129,7 +129,11 @@ def dedup_key(slug: Column, title: Column, location: Column) -> Column:
 
 
 def uri_component(c: Column) -> Column:
-    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    """Percent-encoding as scripts do it: a space is %20, and ! ~ ' ( ) stay."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
 
 
 def site_url(base: Column, path: Column) -> Column:

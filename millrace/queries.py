@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .functions import enrich, text
+from .functions import enrich, text, vocabulary
 from .operators import relational as rel
 from .operators import state
 from .plans import pages, stats
@@ -616,3 +616,59 @@ SELECT t.id, o_orderkey AS job_id, position FROM (VALUES ('URGENT'), ('LOW'), ('
 def topic_positions(spark, sf):
     jobs = Tables(spark, sf).orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderkey").alias("ord"), F.split("o_orderpriority", "-").alias("clusters"))
     return pages.topic_pages(small(spark, [("URGENT",), ("LOW",), ("NEVER",)], "id string"), jobs).select("id", "job_id", "position")
+
+
+# ---- labels, gates, small scalars, counters
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Remote' WHEN 'O' THEN 'On-site' END AS remote, CASE o_orderkey % 3 WHEN 0 THEN 'Senior' WHEN 1 THEN 'Mid' END AS level FROM orders")
+def labels_of(spark, sf):
+    kind = F.when(F.col("o_orderstatus") == "F", "remote").when(F.col("o_orderstatus") == "O", "onsite").otherwise("x")
+    level = F.when(F.col("o_orderkey") % 3 == 0, "senior").when(F.col("o_orderkey") % 3 == 1, "mid")
+    return Tables(spark, sf).orders.select("o_orderkey", enrich.label(kind, vocabulary.REMOTE_LABELS).alias("remote"), enrich.label(level, vocabulary.SENIORITY_LABELS).alias("level"))
+
+
+@query(f"SELECT o_orderkey FROM (SELECT o_orderkey, {_chosen(TITLES, 0, 'o_orderkey')} AS t FROM orders) WHERE regexp_matches(t, '(?i){vocabulary.TECH_TITLE}')")
+def tech_gate(spark, sf):
+    return Tables(spark, sf).orders.select("o_orderkey", F.expr(_chosen(TITLES, 0, "o_orderkey")).alias("t")).where(feeds.tech(F.col("t"))).select("o_orderkey")
+
+
+@query("""
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), chr(160), ' ') AS shown FROM pages
+""")
+def display_entities(spark, sf):
+    return Tables(spark, sf).pages.select("page_id", text.display_text(F.col("html")).alias("shown"))
+
+
+@query("SELECT page_id, url_encode(url) AS encoded FROM pages")
+def uri_encoding(spark, sf):
+    return Tables(spark, sf).pages.select("page_id", text.uri_component(F.col("url")).alias("encoded"))
+
+
+@query("SELECT c_custkey, CAST(floor(c_acctbal / 1000 + 0.5) AS BIGINT) AS k, CAST(CASE WHEN c_nationkey = 0 THEN 0 ELSE floor(c_custkey * 100.0 / c_nationkey + 0.5) END AS BIGINT) AS pct FROM customer")
+def rounding(spark, sf):
+    return Tables(spark, sf).customer.select("c_custkey", text.thousands(F.col("c_acctbal")).cast("long").alias("k"), text.percent(F.col("c_custkey").cast("double"), F.col("c_nationkey").cast("double")).cast("long").alias("pct"))
+
+
+@query(f"WITH o AS ({_OLD}), b AS ({_BATCH}), g AS (SELECT NOT coalesce(o.content_hash = b.content_hash AND NOT o.is_closed, false) AS changed FROM b LEFT JOIN o ON o.id = b.id) SELECT count(*) AS fetched, count(*) FILTER (changed) AS processed, count(*) FILTER (NOT changed) AS unchanged FROM g")
+def run_counters(spark, sf):
+    t = Tables(spark, sf)
+    return state.change_gate(_batch(t), _old(t)).agg(F.count("*").alias("fetched"), F.count_if("changed").alias("processed"), F.count_if(~F.col("changed")).alias("unchanged"))
+
+
+@query("""
+SELECT '  <url><loc>https://site' || path || '</loc></url>' AS value FROM (SELECT '/' AS path UNION ALL SELECT '/companies/' || o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) UNION ALL SELECT '/jobs/' || o_orderkey FROM orders
+  UNION ALL SELECT '/a-jobs' UNION ALL SELECT '/salaries/a')
+UNION ALL SELECT '<?xml version="1.0" encoding="UTF-8"?>' UNION ALL SELECT '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' UNION ALL SELECT '</urlset>'
+""")
+def sitemap(spark, sf):
+    jobs = Tables(spark, sf).orders.select(F.col("o_custkey").cast("string").alias("company_slug"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").cast("string").alias("slug"))
+    return pages.sitemap(pages.sitemap_paths(jobs, small(spark, [("a", "a-jobs", "A")], "id string, path string, label string")), "https://site")
+
+
+@query("SELECT p_partkey, lower(p_name || ' ' || p_brand || ' ' || p_name || ' x ' || p_type) AS search, 'Other' AS role, 'x' AS first_skills FROM part WHERE NOT regexp_matches(lower(p_name), 'manager|lead|director|backend|data')")
+def search_cards(spark, sf):
+    part = Tables(spark, sf).part.where("NOT lower(p_name) RLIKE 'manager|lead|director|backend|data'")
+    none, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    jobs = part.select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("company_name"), F.array("p_name", F.lit("x")).alias("skills"), F.col("p_type").alias("location_raw"), F.lower("p_name").alias("normalized_title"),
+                       number.alias("salary_min"), number.alias("salary_max"), none.alias("salary_currency"), none.alias("salary_period"))
+    return pages.cards(jobs).select("p_partkey", "search", "role", F.get("card_skills", 1).alias("first_skills"))

@@ -40,7 +40,7 @@ def test_numbers_print_like_scripts(spark):
 def test_trim_and_boundaries(spark):
     assert run(spark, text.trim, " ﻿ a\n") == ["a"]
     assert run(spark, lambda c: text.matches(c, r"\brag\b", True), "ragé", "storage", "RAG!", None) == [True, False, True, False]
-    assert run(spark, text.uri_component, "a b&c") == ["a%20b%26c"]
+    assert run(spark, text.uri_component, "a b&c", "(it's)!~*-_.", "é+") == ["a%20b%26c", "(it's)!~*-_.", "%C3%A9%2B"]
     assert run(spark, lambda c: text.site_url(F.lit("https://x/y/"), c), "/a") == ["https://x/y/a"]
 
 
