@@ -126,9 +126,12 @@ def parse_salary(text: Column) -> Column:
         .when(matches(t, r"\b(day|daily|\/\s*day)\b", True), "day")
         .otherwise("year")
     )
-    low, high = F.array_min(amounts), F.array_max(amounts)
-    out = F.struct(low.alias("salary_min"), F.when(high != low, high).alias("salary_max"), currency.alias("salary_currency"), period.alias("salary_period"))
-    return F.when(F.coalesce(text, F.lit("")) != "", F.when(F.size(amounts) > 0, out))
+
+    def of(found: Column) -> Column:  # a lambda's variable, so that the numbers are extracted once
+        low, high = F.array_min(found), F.array_max(found)
+        return F.when(F.size(found) > 0, F.struct(low.alias("salary_min"), F.when(high != low, high).alias("salary_max"), currency.alias("salary_currency"), period.alias("salary_period")))
+
+    return F.when(F.coalesce(text, F.lit("")) != "", F.get(F.transform(F.array(amounts), of), 0))
 
 
 def _factor(c: Column, table: dict[str, float]) -> Column:
