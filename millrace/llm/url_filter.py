@@ -9,9 +9,12 @@ Which URLs are accepted and rejected examples is a parameter: ``examples`` by de
 words as rejected, one that a rule blocks as neither, any other as accepted. The counts cover every example in the
 table.
 
-Scale. Counts are made per batch in numpy, hashed to ``SLOTS`` slots an order and model, summed by Spark, and collected: at most
-2 * ORDERS * 2 * SLOTS numbers (21 MB), however many URLs there are. The threshold comes from two histograms of ``BINS``
-counts, also summed by Spark. Scoring is one pass without shuffle. Rules are Column expressions.
+Scale. Counts are exact: the longest n-gram that ends at each character is counted per batch in numpy and summed by Spark, shorter ones and
+contexts are sums over it. The table of counts is written and grows with the distinct n-grams; nothing is collected but the two
+totals and two histograms of ``BINS`` counts for the threshold. To score, the distinct n-grams of the texts look up their
+counts by a join, and each character of a distinct text then looks up its n-gram's ratio by another; Spark broadcasts these tables where they are
+small. Ratios are summed as whole numbers of 1 / ``UNIT``, so scores don't depend on the order of rows. Texts are told apart by two 64-bit hashes. Rules
+are Column expressions.
 
 Defined cases: null URLs and URLs without ``://`` have empty host and path and get the verdict of an empty string, allow; without rejected
 or accepted examples the method allows everything; repeated rows are judged row by row; other columns pass
@@ -27,13 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import BYTE_CODES, Rolling, flat, mix, unpacked
+from .shared import flat, unpacked, written
 
 ORDERS = 5  # longest n-gram
-SLOTS = 1 << 17
+LENGTH, CONTEXT = 8 * ORDERS, 1 << 8 * ORDERS + 3  # bits of a key: the bytes, their number, whether it is a context
 STRENGTH = 4.0
+UNIT = 1 << 32
 BINS, LOWEST, HIGHEST = 400, -5.0, 5.0
 #: Host words of unwanted sites that serve as rejected examples.
 SEEDS = ["casino", "pills", "spam", "adult", "bets", "ads-track", "porn", "viagra", "lottery", "payday", "warez", "malware", "phish"]
@@ -68,92 +71,108 @@ def examples(host: Column, verdict: Column, seeds: list[str] = SEEDS) -> Column:
     return F.when(host == "", F.lit(None)).when(seeded, F.lit(1)).when(F.coalesce(verdict, F.lit("")) == "block", F.lit(None)).otherwise(F.lit(0)).cast("int")
 
 
-def grams(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Of texts laid end to end, each closed by an end mark: slots of the n-gram that ends at each character, slots of its
-    context, for orders 1 to ORDERS (-1 where the text has too few characters before), and the text each belongs to."""
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts laid end to end, each closed by an end mark: the longest n-gram that ends at each character, and the text it belongs to.
+
+    An n-gram is the number of its up to ORDERS bytes, the last one lowest, with its length from bit ``LENGTH`` on, so no two are alike."""
     data, offs = flat(texts)
-    n = len(offs) - 1
     size = np.diff(offs) + 1
     first = np.cumsum(size) - size
-    owner = np.repeat(np.arange(n), size)
-    s = np.zeros(int(size.sum()), np.uint8)  # 0 is the end mark; a NUL in a text counts as one
+    owner = np.repeat(np.arange(len(size)), size)
+    s = np.zeros(int(size.sum()), np.int64)  # 0 is the end mark; a NUL in a text counts as one
     inner = np.arange(len(s)) - first[owner]
     s[inner < size[owner] - 1] = data
-    r = Rolling(s, BYTE_CODES)
-    every = np.arange(len(s))
-    full, context = [], []
+    out = np.minimum(inner + 1, ORDERS) << LENGTH
+    for j in range(ORDERS):
+        at = np.flatnonzero(inner >= j)
+        out[at] |= s[at - j] << (8 * j)
+    return out, owner
+
+
+def keys(context: bool, gram: str = "gram") -> list[Column]:
+    """Of an n-gram, for orders 1 to ORDERS: its end of that order, or that end's context; null where it is shorter."""
+    out = []
     for k in range(1, ORDERS + 1):
-        begin = every - k + 1
-        ok = inner >= k - 1
-        start = np.maximum(begin, 0)
-        full.append(np.where(ok, (mix(r.slices(start, every + 1)) % np.uint64(SLOTS)).astype(np.int64), -1))
-        context.append(np.where(ok, (mix(r.slices(start, np.maximum(every, start)) + np.uint64(k)) % np.uint64(SLOTS)).astype(np.int64), -1))
-    return full, context, owner
+        end = F.col(gram).bitwiseAND(F.lit((1 << 8 * k) - 1))
+        key = F.shiftright(end, 8) + F.lit(CONTEXT + (k - 1 << LENGTH)) if context else end + F.lit(k << LENGTH)
+        out.append(F.when(F.shiftright(gram, LENGTH) >= k, key))
+    return out
 
 
-@dataclass
-class Model:
-    """Counts of (kind, order, n-gram or context, slot) and the calibrated threshold; kind 0 is accepted, 1 rejected."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, owner = grams(batch.column("text"))
+        kind = batch.column("kind").to_numpy()[owner]
+        every, at = np.unique(found, return_inverse=True)
+        n = [pa.array(np.bincount(at[kind == t], minlength=len(every))) for t in (0, 1)]
+        yield pa.record_batch([pa.array(every), *n], names=["gram", "n0", "n1"])
 
-    counts: np.ndarray
-    threshold: float = np.inf
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        """Length-normalised log-likelihood, rejected minus accepted."""
-        full, context, owner = grams(texts)
-        out = np.zeros(len(owner))
-        for kind, sign in ((0, -1), (1, 1)):
-            p = np.full(len(owner), 1 / 256)
-            for k in range(ORDERS):
-                c = self.counts[kind, k]
-                ok = full[k] >= 0
-                p = np.where(ok, (c[0][full[k]] + STRENGTH * p) / (c[1][context[k]] + STRENGTH), p)
-            out += sign * np.log(p)
-        n = np.bincount(owner, minlength=len(texts))
-        return np.bincount(owner, weights=out, minlength=len(texts)) / np.maximum(n, 1)
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([pa.array(np.unique(grams(batch.column("text"))[0]))], names=["gram"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, ORDERS, 2, SLOTS), np.int64)
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        full, context, owner = grams(batch.column("text"))
+        found, owner = grams(batch.column("text"))
+        yield pa.record_batch([*(pa.array(batch.column(c).to_numpy()[owner]) for c in ("_h1", "_h2")), pa.array(found)], names=["_h1", "_h2", "gram"])
+
+
+@dataclass
+class Model:
+    """Counts (key, n0 of accepted, n1 of rejected) of every n-gram and context, the characters of both kinds, and the calibrated threshold."""
+
+    counts: DataFrame
+    totals: tuple[int, int]
+    threshold: float = np.inf
+
+    def ratios(self, needed: DataFrame) -> DataFrame:
+        """(gram, ratio) of distinct n-grams: log-likelihood of the last character, rejected minus accepted, in units of 1 / ``UNIT``."""
+        own = [*keys(False), *keys(True)[1:]]  # all contexts of order 1 are the same
+        looked = needed.select("gram", F.posexplode(F.array(*own)).alias("at", "key")).where("key IS NOT NULL").join(self.counts, "key", "left")
+        n = [[F.coalesce(F.sum(F.when(F.col("at") == i, F.col(f"n{t}"))), F.lit(0)).alias(f"n{t}_{i}") for i in range(len(own))] for t in (0, 1)]
+        logs = []
         for t in (0, 1):
-            own = kind[owner] == t
-            for k in range(ORDERS):
-                for j, slots in enumerate((full[k], context[k])):
-                    got = slots[own & (slots >= 0)]
-                    total[t, k, j] += np.bincount(got, minlength=SLOTS)
-    at = np.flatnonzero(total)
-    if len(at):
-        yield pa.record_batch([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+            p = F.lit(1 / 256)
+            for k in range(ORDERS):  # an order that the n-gram is too short for counts nothing and leaves p as it is
+                context = F.col(f"n{t}_{ORDERS + k - 1}") if k else F.lit(self.totals[t])
+                p = (F.col(f"n{t}_{k}") + F.lit(STRENGTH) * p) / (context + F.lit(STRENGTH))
+            logs.append(F.log(p))
+        return looked.groupBy("gram").agg(*n[0], *n[1]).select("gram", F.round((logs[1] - logs[0]) * UNIT).cast("long").alias("ratio"))
+
+    def scored(self, rows: DataFrame, text: str = "text") -> DataFrame:
+        """``rows`` and score: length-normalised log-likelihood of ``text`` (not null), rejected minus accepted."""
+        rows = rows.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit(7), text))
+        texts = rows.select(F.col(text).alias("text"), "_h1", "_h2").distinct()
+        ratios = written(self.ratios(texts.select("text").mapInArrow(_distinct, "gram long").distinct()), "url-ratios")
+        places = texts.mapInArrow(_places, "_h1 long, _h2 long, gram long").join(ratios, "gram")
+        found = written(places.groupBy("_h1", "_h2").agg((F.sum("ratio") / F.count("ratio") / UNIT).alias("score")), "url-scores")
+        return rows.join(found, ["_h1", "_h2"], "left").drop("_h1", "_h2")
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Scores of a few texts."""
+        rows = self.counts.sparkSession.createDataFrame(pa.table({"at": np.arange(len(texts)), "text": texts}))
+        return self.scored(rows).select("at", "score").toArrow().sort_by("at").column("score").to_numpy()
 
 
 def fit(urls: DataFrame) -> Model | None:
     """``urls``: text (string), kind (0 accepted, 1 rejected), kept_out (boolean: only for the threshold). None without both kinds."""
-    sums = urls.where("NOT kept_out").select("text", "kind").mapInArrow(_count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * ORDERS * 2 * SLOTS)
-    counts[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    counts = counts.reshape(2, ORDERS, 2, SLOTS)
-    if not counts[0].any() or not counts[1].any():
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1")]
+    longest = urls.where("NOT kept_out").select("text", "kind").mapInArrow(_count, "gram long, n0 long, n1 long").groupBy("gram").agg(*sums)
+    every = longest.select(F.explode(F.array_compact(F.array(*keys(False), *keys(True)))).alias("key"), "n0", "n1")
+    counts = written(every.groupBy("key").agg(*sums), "url-counts")
+    totals = counts.where(F.col("key") == CONTEXT).first()
+    if not totals or not totals["n0"] or not totals["n1"]:
         return None
-    model = Model(counts)
-    shared = urls.sparkSession.sparkContext.broadcast(model)
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * BINS, np.int64)
-        for batch in batches:
-            s = shared.value.scores(batch.column("text"))
-            bins = np.clip(((s - LOWEST) / (HIGHEST - LOWEST) * BINS).astype(np.int64), 0, BINS - 1)
-            total += np.bincount(batch.column("kind").to_numpy() * BINS + bins, minlength=2 * BINS)
-        yield pa.record_batch([pa.array(np.arange(2 * BINS)), pa.array(total)], names=["at", "n"])
+    model = Model(counts, (totals["n0"], totals["n1"]))
 
     def histograms(rows: DataFrame) -> np.ndarray:
-        got = rows.select("text", "kind").mapInArrow(histogram, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-        out = np.zeros(2 * BINS)
-        for r in got:
-            out[r["at"]] = r["n"]
-        return out.reshape(2, BINS)
+        at = ((F.col("score") - LOWEST) / (HIGHEST - LOWEST) * BINS).cast("long")
+        out = np.zeros((2, BINS))
+        for r in model.scored(rows.select("text", "kind")).groupBy("kind", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at)).alias("at")).count().collect():
+            out[r["kind"], r["at"]] = r["count"]
+        return out
 
     h = histograms(urls.where("kept_out"))
     if not h.sum(axis=1).all():  # too few examples to keep any out
@@ -175,17 +194,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, seeds: list[st
     rows = rows.select("_row", "host", "path", rule.alias("rule"), ruled.alias("_ruled"), F.concat("host", "path").alias("_text"), (F.crc32(F.coalesce("_url", F.lit("")).cast("binary")) % 4 == 0).alias("_out"))
     known = rows.select(F.col("_text").alias("text"), examples(F.col("host"), F.col("_ruled"), seeds).cast("long").alias("kind"), F.col("_out").alias("kept_out")).where("kind IS NOT NULL")
     model = fit(known)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            s = m.scores(batch.column("_text")) if m else np.zeros(batch.num_rows)
-            block = (s > m.threshold) & (np.array([len(x) for x in batch.column("host").to_pylist()]) > 0) if m else np.zeros(batch.num_rows, bool)
-            ruled = batch.column("_ruled").to_pylist()
-            verdict = [r or ("block" if b else "allow") for r, b in zip(ruled, block.tolist(), strict=True)]
-            yield pa.record_batch([*(batch.column(c) for c in ("_row", "host", "path", "rule")), pa.array(s), pa.array(verdict, pa.string())], names=["_row", "host", "path", "rule", "score", "verdict"])
-
-    kind = T.StringType()
-    out = T.StructType([rows.schema["_row"], *(T.StructField(c, kind) for c in ("host", "path", "rule")), T.StructField("score", T.DoubleType()), T.StructField("verdict", kind)])
-    return unpacked(rows.select("_row", "host", "path", "rule", "_ruled", "_text").mapInArrow(run, out), "host", "path", "rule", "score", "verdict")
+    found = model.scored(rows, "_text") if model else rows.withColumn("score", F.lit(0.0))
+    blocked = (F.col("score") > F.lit(model.threshold)) & (F.col("host") != "") if model else F.lit(False)
+    return unpacked(found.withColumn("verdict", F.coalesce("_ruled", F.when(blocked, "block").otherwise("allow"))), "host", "path", "rule", "score", "verdict")

@@ -1,8 +1,11 @@
 """Host, path and rules against a plain parser; the ratio on URLs it has not counted."""
 
+import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 
 from millrace.llm import url_filter as u
@@ -70,3 +73,38 @@ def test_without_examples(spark):
     df = spark.createDataFrame([(1, "http://a.example.com/en/1")], "page_id long, url string")
     assert u.judge(df).first().verdict == "allow"
     assert u.judge(df.where("false")).collect() == []
+
+
+def test_counts_stay_exact_with_many_ngrams(spark):
+    """More distinct 5-grams than 2**17, against plain dictionaries."""
+    rng = random.Random(6)
+
+    def word(letters):
+        return "".join(rng.choice(letters) for _ in range(rng.randrange(4, 12)))
+
+    known = [(f"{word(a)}.{word(a)}.com/{word(a)}/{word(a)}é{k}", kind, k % 4 == 0) for kind, a, many in ((0, "abcdefghijklmnop", 6000), (1, "ijklmnopqrstuvwxyz", 3000)) for k in range(many)]
+    full, context, longest = Counter(), Counter(), set()
+    for text, kind, out in known:
+        s = text.encode() + b"\0"
+        for i in range(len(s)):
+            for k in range(1, min(5, i + 1) + 1):
+                if not out:
+                    full[kind, s[i + 1 - k : i + 1]] += 1
+                    context[kind, k, s[i + 1 - k : i]] += 1
+                    if k == 5:
+                        longest.add(s[i - 4 : i + 1])
+    assert len(longest) > 1 << 17
+
+    def score(text):
+        s, total = text.encode() + b"\0", 0.0
+        for i in range(len(s)):
+            for kind, sign in ((0, -1), (1, 1)):
+                p = 1 / 256
+                for k in range(1, min(5, i + 1) + 1):
+                    p = (full[kind, s[i + 1 - k : i + 1]] + u.STRENGTH * p) / (context[kind, k, s[i + 1 - k : i]] + u.STRENGTH)
+                total += sign * math.log(p)
+        return total / len(s)
+
+    model = u.fit(spark.createDataFrame(known, "text string, kind long, kept_out boolean"))
+    some = [x for x, _, _ in known[::150]] + ["", "a", "zzz.qqq/ü", "unseen.UPPER/€", known[0][0], known[0][0]]
+    assert np.allclose(model.scores(pa.array(some)), [score(x) for x in some], atol=1e-8)
