@@ -1,6 +1,7 @@
 """URL filters (operator 6): rules by host and path, and a character language-model ratio for the rest.
 
-Method: two Markov models of variable order over the characters of host and path, one of accepted and one of rejected URLs.
+Method: two Markov models of variable order over the characters of the whole URL (query and fragment too; A-Z of scheme and host
+lower-cased), one of accepted and one of rejected URLs.
 Each order's n-gram counts are smoothed with the next lower order's estimate (the estimate of order k is
 (count + STRENGTH * lower estimate) / (context count + STRENGTH)), down to a uniform one. A URL's score is the difference of the two
 log-likelihoods divided by its length; it is blocked above a threshold calibrated on labelled URLs kept out of the counts.
@@ -53,6 +54,14 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), F.substring(before, F.length(host) + 1, F.length(before))
 
 
+def whole(url: Column, host: Column) -> Column:
+    """The URL with A-Z of scheme and host lower-cased; empty without ``://``."""
+    at = F.instr(url, "://")
+    head = at + 2 + F.length(host)
+    text = F.concat(F.translate(F.substring(url, F.lit(1), head), UPPER, LOWER), F.substring(url, head + 1, F.length(url)))
+    return F.when(F.coalesce(at, F.lit(0)) > 0, text).otherwise(F.lit(""))
+
+
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict; null where none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -191,7 +200,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, seeds: list[st
     host, path = host_path(F.col("_url"))
     rows = rows.select("_row", "_url", host.alias("host"), path.alias("path"))
     rule, ruled = matching_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("_row", "host", "path", rule.alias("rule"), ruled.alias("_ruled"), F.concat("host", "path").alias("_text"), (F.crc32(F.coalesce("_url", F.lit("")).cast("binary")) % 4 == 0).alias("_out"))
+    rows = rows.select("_row", "host", "path", rule.alias("rule"), ruled.alias("_ruled"), whole(F.col("_url"), F.col("host")).alias("_text"), (F.crc32(F.coalesce("_url", F.lit("")).cast("binary")) % 4 == 0).alias("_out"))
     known = rows.select(F.col("_text").alias("text"), examples(F.col("host"), F.col("_ruled"), seeds).cast("long").alias("kind"), F.col("_out").alias("kept_out")).where("kind IS NOT NULL")
     model = fit(known)
     found = model.scored(rows, "_text") if model else rows.withColumn("score", F.lit(0.0))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from millrace.llm import url_filter as u
 
@@ -108,3 +109,17 @@ def test_counts_stay_exact_with_many_ngrams(spark):
     model = u.fit(spark.createDataFrame(known, "text string, kind long, kept_out boolean"))
     some = [x for x, _, _ in known[::150]] + ["", "a", "zzz.qqq/ü", "unseen.UPPER/€", known[0][0], known[0][0]]
     assert np.allclose(model.scores(pa.array(some)), [score(x) for x in some], atol=1e-8)
+
+
+def test_models_read_query_and_fragment(spark):
+    text = u.whole(F.col("url"), F.lower(u.host_path(F.col("url"))[0]))
+    rows = [("HTTP://A.B/Cd?E=F#G", "http://a.b/Cd?E=F#G"), ("http://X?Y", "http://x?Y"), ("no scheme?a", ""), (None, ""), ("://h#Ü", "://h#Ü")]
+    assert [r.t for r in spark.createDataFrame(rows, "url string, t string").select(text.alias("t")).collect()] == [t for _, t in rows]
+    rng = random.Random(8)
+    good = [f"http://{rng.choice(['garden', 'river', 'music'])}.example.com/en/{k}?to={rng.choice(['notes', 'shop', 'club'])}" for k in range(300)]
+    bad = [f"http://{rng.choice(['casino', 'lottery'])}.example.com/en/{k}?to={rng.choice(['casino', 'lottery'])}-win" for k in range(150)]
+    new = [f"http://river.example.com/en/7{x}" for x in ("", "?to=shop", "?to=casino-win", "#lottery-win")]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(good + bad + new)], "page_id long, url string")
+    score = {r.url: r.score for r in u.judge(df).where(F.col("page_id") >= 450).collect()}
+    plain, clean, query, fragment = (score[x] for x in new)
+    assert query > plain and query > clean and fragment > plain
