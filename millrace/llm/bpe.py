@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, unpacked
+from .shared import pieces, unpacked
 
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode White_Space
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -208,7 +208,7 @@ def _joined(v: Vocabulary, offsets: np.ndarray, ids: pa.Array) -> pa.Array:
 def _encode(path: str, text_col: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.at(path)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = pc.fill_null(batch.column("_row").field(text_col), "").to_pylist()
             for a, b in _slices(texts):
                 ids, count = v.encode(texts[a:b])
@@ -232,7 +232,6 @@ def _decode(path: str, ids_col: str):
 
 
 def _mapped(df: DataFrame, run, **new: T.DataType) -> DataFrame:
-    bounded_batches(df.sparkSession)
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
     return unpacked(rows.mapInArrow(run, T.StructType([rows.schema["_row"], *(T.StructField(n, t) for n, t in new.items())])), *new)
 

@@ -12,8 +12,9 @@ their number is bounded by the number of partitions. At most ``min_docs - 1`` do
 
 Defined cases: null or empty text is one empty line; keys under ``min_chars`` code points never count; a line
 repeated within one document counts once, and all its occurrences share the verdict; rows with the same id count as one
-document; null ids count as one document, smaller than all others; an empty table gives an empty result; other columns are
-neither read nor touched.
+document; null ids count as one document, smaller than all others; documents can't tie, as the largest id keeps the lines; a very long text is held whole where its lines are
+split and where they are put together again; an empty table gives an empty result; other columns of ``dedup_lines`` pass through, one named like an output (n_lines, n_dropped, kept_text) is
+replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import keyed, packed, unpacked, written
+from .shared import keyed, packed, pieces, unpacked, written
 
 BLANK = " \t\n\x0b\x0c\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -43,7 +44,7 @@ def line_key(line: str) -> str:
 
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             cols: list[list] = [[] for _ in _ROWS]
             for i, th, text in zip(*(batch.column(k).to_pylist() for k in ("_id", "_th", "_text")), strict=True):
                 lines = text.split("\n")
@@ -159,7 +160,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _apply(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows, kept, total, dropped = batch.column("_row"), [], [], []
             for text, keep in zip(rows.field(text_col).to_pylist(), batch.column("keep").to_pylist(), strict=True):
                 text = text or ""

@@ -11,7 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, if all run on this machine (tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.millrace.shared.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master}): each machine would keep its part of a table to itself")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.millrace.shared.dir", folder)
     return folder.rstrip("/")
@@ -58,16 +61,15 @@ def remove_written() -> None:
 BATCH_ROWS = 1000
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Rows an Arrow batch holds at most: whole texts can be long, and each Python worker holds a batch several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Each batch in slices of at most ``rows`` rows, without a copy: whole texts can be long, and a worker holds what it works on several times over."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id long, _th long, _text string): identity and whole text of every row, and nothing else."""
-    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(row_id(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
 
@@ -83,7 +85,6 @@ def public_id(id_col: str = "_id") -> Column:
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_row, _id, _th): every row as one struct, so that no column of the caller's clashes with an operator's own."""
-    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), row_id(id_col).alias("_id"), F.xxhash64(text).alias("_th"))
 
@@ -154,6 +155,25 @@ def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("_id"), batch.column("_th"), pa.array(packed_texts, pa.binary())], names=["_id", "_th", "zipped"])
 
 
+def passing(own: DataFrame, sieve: Sieve, wanted: bool, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``run`` makes of the ``keyed`` rows (_id, _th, _text) that pass the sieve, or with ``wanted`` false of those that don't."""
+    shared = own.sparkSession.sparkContext.broadcast(sieve)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = shared.value.passes(batch.column("h1").to_numpy(), batch.column("h2").to_numpy()) == wanted
+            if ok.any():
+                yield batch.filter(pa.array(ok)).select(["_id", "_th", "_text"])
+
+    h1, h2 = Sieve.hashes()
+    return own.select("_id", "_th", h1.alias("h1"), h2.alias("h2"), "_text").mapInArrow(lambda batches: run(some(batches)), schema)
+
+
+def sieved(own: DataFrame, sieve: Sieve) -> DataFrame:
+    """(_id, _th, zipped) of the ``keyed`` rows that pass the sieve."""
+    return passing(own, sieve, True, zipped, "_id long, _th long, zipped binary")
+
+
 def unzip(zipped: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(zipped) if zipped else b""
 

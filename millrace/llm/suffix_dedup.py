@@ -4,24 +4,26 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts somewhere el
 removed; strings are judged on the input as it is.
 
 Method: difference-cover suffix sorting (``suffixes``: sampled triples are sorted and named, names are sorted recursively,
-the remaining suffixes are merged), then adjacent suffixes that agree on ``LENGTH`` bytes are repeats. To distribute
+the remaining suffixes are merged), then the bytes of adjacent suffixes are compared: those that agree on ``LENGTH`` bytes are repeats. To distribute
 it, suffixes that can have a partner are brought together first, and only they:
 
 1. Each window of LENGTH bytes picks an anchor from its own bytes: the KGRAM-byte string of least hash, leftmost on ties. Equal
-   windows pick equal anchors at the same place. Windows with the same anchor are a run, kept as (anchor name, name of
-   the run's whole span, place): one row for about 85 bytes of text.
-2. Anchor names that occur once end here: no window of theirs has a partner. Where all runs of a name have the same span name,
-   all their windows repeat, and no text is needed.
-3. For the other names, one run of each different span ("a context") is fetched from its text and sent to its anchor's partition.
-   There the contexts of many names are laid end to end, in portions of at most a million bytes, and suffix-sorted. A name with more
-   contexts than one portion holds has its windows hashed one by one, and the hashes are counted by Spark.
-4. Runs of repeated windows become byte ranges; they are gathered by document and cut out of the text.
-
-Names are 64-bit hashes; spans are only ever compared under the same anchor name, so a wrong match needs two collisions.
+   windows pick equal anchors at the same place. Windows with the same anchor are a run, kept as (anchor name, place): one row
+   for about 85 bytes of text.
+2. Anchor names that occur once end here: no window of theirs has a partner. The other runs are fetched as bytes ("contexts").
+3. Contexts of one name that are equal byte for byte are grouped by Spark: all their windows repeat, and one of them goes on.
+4. The different contexts of many names are laid end to end, in portions of at most a million bytes, and suffix-sorted.
+5. A name whose contexts outgrow a portion (the ends of a passage that very many documents share) is refined: by the place of the anchor within a
+   window, its windows fall into two halves; all windows of a half hold more of the bytes around the anchor, and that longer string names
+   the half. Halves go through steps 3 and 4, again refined if need be; after eight rounds at most a half is a single window, whose
+   name is all its bytes. So no name is too hot, whatever its size, and every name ends in steps 3 and 4.
+6. Runs of repeated windows become byte ranges; they are gathered by document and cut out of the text.
+
+Hashes only bring strings together; what is removed has been compared byte by byte.
 
 Scale. Names are counted by aggregation before the shuffle, the join back is split by adaptive execution where a name is
-hot, a context is sent once however many documents have it, and nothing is broadcast or collected. A text longer than
-``BLOCK`` bytes is scanned in overlapping blocks. Texts cross the shuffle compressed.
+hot, equal contexts are combined before the shuffle, and nothing is broadcast or collected but a Bloom filter of at most 8 MB, which keeps texts without repeats
+out of the shuffles. A text longer than ``BLOCK`` bytes is scanned in overlapping blocks; it is held whole, and its contexts with it, where it is cut. Texts cross the shuffle compressed.
 
 Defined cases: null and empty texts have no bytes and none removed; rows that repeat (same id and text) are
 different places, so they remove each other; null ids are ids like others; texts under LENGTH bytes stay whole; an empty
@@ -35,11 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_CODES, Rolling, flat, keyed, mix, unzip, written, zipped
-from .suffixes import MOST, suffix_order
+from .shared import BYTE_CODES, Rolling, Sieve, flat, keyed, mix, passing, sieved, unzip, written
+from .suffixes import suffix_order
 
 LENGTH, KGRAM = 200, 32
 WIDTH = LENGTH - KGRAM + 1  # places of an anchor within a window
@@ -61,7 +64,7 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: (text, start of the first window, windows, anchor name, span name) of each run."""
+    """Of texts laid end to end: (text, start of the first window, windows, anchor name, anchor's place in the first window) of each run."""
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, none, none
@@ -82,12 +85,11 @@ def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     ok = ~last[start]
     start, count = start[ok], count[ok]
     at = place[start]
-    span = mix(rolling.slices(start, start + count - 1 + LENGTH) + ((at - start) * 1000 + count).astype(np.uint64))
     text = np.searchsorted(offs, start, "right") - 1
-    return text, start - offs[text], count, h[at].view(np.int64), span.view(np.int64)
+    return text, start - offs[text], count, h[at].view(np.int64), at - start
 
 
-_RUNS = pa.schema([("name", pa.int64()), ("span", pa.int64()), ("_id", pa.int64()), ("_th", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
+_RUNS = pa.schema([("name", pa.int64()), ("_id", pa.int64()), ("_th", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("o", pa.int32())])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +104,18 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = offs[b] - offs[a]
                 pieces = [(np.array([0, min(BLOCK, size - k)]), offs[a] + k, offs[a] + min(k + BLOCK, size), k) for k in range(0, size, BLOCK - LENGTH + 1)]
             for own, lo, hi, shift in pieces:
-                text, start, count, name, span = runs(data[lo:hi], own)
+                text, start, count, name, place = runs(data[lo:hi], own)
                 if len(text):
-                    yield pa.record_batch([pa.array(name), pa.array(span), pa.array(ids[a + text]), pa.array(ths[a + text]), pa.array(start + shift), pa.array(count.astype(np.int32))], schema=_RUNS)
+                    yield pa.record_batch([pa.array(name), pa.array(ids[a + text]), pa.array(ths[a + text]), pa.array(start + shift), pa.array(count.astype(np.int32)), pa.array(place.astype(np.int32))], schema=_RUNS)
             a = b
 
 
+_PARTS = pa.schema([("name", pa.int64()), ("many", pa.bool_()), ("_id", pa.int64()), ("_th", pa.int64()), ("lo", pa.int64()), ("o", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("bytes", pa.binary())])
+_PARTS_DDL = "name long, many boolean, _id long, _th long, lo long, o int, a int, b int, bytes binary"
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each context: (name, span, many, _id, _th, lo, bytes)."""
+    """The bytes of each run; anchors may lie anywhere from a = 0 to before b = WIDTH in its windows."""
     for batch in batches:
         for k in range(batch.num_rows):
             data = unzip(batch.column("zipped")[k].as_py())
@@ -117,7 +123,58 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, n = runs_here.field("lo").to_pylist(), runs_here.field("n").to_pylist()
             cut = pa.array([data[a : a + m - 1 + LENGTH] for a, m in zip(lo, n, strict=True)], pa.binary())
             same = [pa.array(np.full(len(lo), batch.column(c)[k].as_py())) for c in ("_id", "_th")]
-            yield pa.record_batch([runs_here.field("name"), runs_here.field("span"), runs_here.field("many"), *same, runs_here.field("lo"), cut], names=["name", "span", "many", "_id", "_th", "lo", "bytes"])
+            ends = [pa.array(np.full(len(lo), x, np.int32)) for x in (0, WIDTH)]
+            yield pa.record_batch([runs_here.field("name"), runs_here.field("many"), *same, runs_here.field("lo"), runs_here.field("o"), *ends, cut], schema=_PARTS)
+
+
+def halves(o: int, a: int, b: int, data: bytes) -> list[tuple[int, int, int, int, bytes]]:
+    """Of a context whose first window has its anchor at ``o``, all anchors from a to before b: (first window, a, b, bytes, core) of each half.
+
+    The core is what all windows with an anchor there have in common."""
+    n, mid = len(data) - LENGTH + 1, (a + b) // 2 if b - a > 1 else a
+    k = min(max(o - mid + 1, 0), n)  # windows whose anchor lies at mid or after come first
+    out = []
+    for x, y, low, high in ((0, k, mid, b), (k, n, a, mid)):
+        if y > x:
+            part, at = data[x : y - 1 + LENGTH], o - x
+            out.append((x, low, high, part, part[at - low : at - high + 1 + LENGTH]))
+    return out
+
+
+def _refine(level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in _PARTS]
+            for name, many, i, th, lo, o, a, b, data in zip(*(batch.column(f.name).to_pylist() for f in _PARTS), strict=True):
+                for x, low, high, part, core in halves(o, a, b, data):
+                    new = xxhash.xxh3_64_intdigest(core + name.to_bytes(8, "little", signed=True) + low.to_bytes(2, "little"), level) - 2**63
+                    for c, v in zip(out, (new, many, i, th, lo + x, o - x, low, high, part), strict=True):
+                        c.append(v)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _PARTS, strict=True)], schema=_PARTS)
+
+    return run
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros after the end)."""
+    n = len(data)
+    padded = np.zeros(-(-n // 8) * 8 + 16, np.uint8)
+    padded[:n] = data
+    out = np.empty(len(padded) - 8, np.uint64)
+    for k in range(8):
+        out[k::8] = padded[k : k + len(out)].view(np.uint64)
+    return out[:n]
+
+
+def adjacent_equal(data: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each two neighbours in ``order`` whether their LENGTH bytes are the same; from the end, where neighbours differ first."""
+    word = _words(data)
+    live = np.arange(max(0, len(order) - 1))
+    for off in range(LENGTH - 8, -1, -8):
+        live = live[word[order[live] + off] == word[order[live + 1] + off]]
+    out = np.zeros(max(0, len(order) - 1), bool)
+    out[live] = True
+    return out
 
 
 def repeated_windows(spans: list[bytes], many: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
@@ -126,31 +183,24 @@ def repeated_windows(spans: list[bytes], many: np.ndarray, place: np.ndarray) ->
     ``place``: a number for where each span's first byte lies; windows at one place are the same window."""
     size = np.array([len(s) for s in spans], np.int64)
     first = np.cumsum(size + 1) - (size + 1)
-    s = np.ones(int(size.sum()) + len(spans), np.int64)  # bytes count from 2; 1 ends a span
-    data = np.frombuffer(b"".join(spans), np.uint8)
-    owner = np.repeat(np.arange(len(spans)), size)
-    where = np.arange(len(data)) + owner
-    s[where] = data.astype(np.int64) + 2
-    begins = np.zeros(len(s), bool)
-    inner = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-    begins[where[inner <= size[owner] - LENGTH]] = True
+    data = np.frombuffer(b"\0".join([*spans, b""]), np.uint8)
+    s = data.astype(np.int64) + 2  # bytes count from 2; 1 ends a span
+    s[first + size] = 1
+    owner = np.repeat(np.arange(len(spans)), size + 1)
+    inner = np.arange(len(data)) - first[owner]
     order = suffix_order(s, LENGTH)
-    order = order[begins[order]]
-    spot = np.searchsorted(first, order, "right") - 1  # the span of each window, in suffix order
-    at = place[spot] + order - first[spot]
-    r = Rolling(s.astype(np.uint16), _SYMBOLS)
-    key = r.slices(order, order + LENGTH)
-    fresh = np.append(True, key[1:] != key[:-1])
+    order = order[inner[order] <= size[owner[order]] - LENGTH]
+    at = place[owner[order]] + inner[order]
+    fresh = np.append(True, ~adjacent_equal(data, order)) if len(order) else np.empty(0, bool)
     group = np.cumsum(fresh) - 1
     low = np.minimum.reduceat(at, np.flatnonzero(fresh)) if len(at) else at
     high = np.maximum.reduceat(at, np.flatnonzero(fresh)) if len(at) else at
-    twice = (low != high) | (np.bincount(group, weights=many[spot], minlength=len(low)) > 0 if len(at) else np.empty(0, bool))
+    twice = (low != high) | (np.bincount(group, weights=many[owner[order]], minlength=len(low)) > 0 if len(at) else np.empty(0, bool))
     hit = np.zeros(len(s), bool)
     hit[order[twice[group]]] = True
     return [hit[a : a + n - LENGTH + 1] for a, n in zip(first.tolist(), size.tolist(), strict=True)]
 
 
-_SYMBOLS = mix(np.arange(1, 260, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _FOUND = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
@@ -168,63 +218,74 @@ def _ranges(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over contexts sorted by name: whole names are gathered into portions and each portion is suffix-sorted."""
+    """Over contexts sorted by name: whole names of two contexts or more are gathered into portions and each portion is suffix-sorted."""
     portion: list[tuple] = []
-    size, name, own = 0, None, 0  # own: bytes of the rows of the current name
+    own: list[tuple] = []  # rows of the current name
+    size, name = 0, None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal portion, size
+        if len(own) > 1:
+            need = sum(len(x[4]) + 1 for x in own)
+            if portion and size + need > PORTION:
+                yield _ranges(portion)
+                portion, size = [], 0
+            portion += own
+            size += need
+
     for batch in batches:
         for r in zip(*(batch.column(c).to_pylist() for c in ("name", "many", "_id", "_th", "lo", "bytes")), strict=True):
             if r[0] != name:
-                name, own = r[0], 0
-            need = len(r[5]) + 1
-            if size + need > PORTION and size > own:  # the names before this one are whole
-                keep = [x for x in portion if x[0] == name]
-                yield _ranges([x[1:] for x in portion[: len(portion) - len(keep)]])
-                portion, size = keep, own
-            portion.append(r)
-            size += need
-            own += need
+                yield from close()
+                name, own = r[0], []
+            own.append(r[1:])
+    yield from close()
     if portion:
-        yield _ranges([x[1:] for x in portion])
+        yield _ranges(portion)
 
 
-def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("many", "_id", "_th", "lo", "bytes")]
-        for many, i, th, lo, data in zip(*cols, strict=True):
-            r = Rolling(np.frombuffer(data, np.uint8), BYTE_CODES)
-            a, b = mix(r.windows(LENGTH)).view(np.int64), mix(r.slices(at := np.arange(len(data) - LENGTH + 1), at + LENGTH // 2)).view(np.int64)
-            n = len(a)
-            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(n, many)), pa.array(np.full(n, i)), pa.array(np.full(n, th)), pa.array(lo + at)], names=["k1", "k2", "many", "_id", "_th", "at"])
+def different(parts: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
+    """(one of each name's equal contexts, the byte ranges of all that have an equal one). Equal is equal in all bytes."""
+    # any of the equal ones may go on, as all are many; first values of one row, in fixed-width buffers, so that Spark hashes instead of sorting
+    same = parts.groupBy("name", "bytes").agg((F.max("many") | (F.count("*") > 1)).alias("many"), *(F.first(c).alias(c) for c in ("_id", "_th", "lo", "o", "a", "b")))
+    one = written(same, f"contexts-{step}")
+    copies = parts.join(one.where("many").select("name", "bytes"), ["name", "bytes"])
+    return one.select([f.name for f in _PARTS]), copies.select("_id", "_th", F.col("lo").alias("start"), (F.col("lo") + F.length("bytes")).alias("stop"))
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _th, start, stop): byte ranges to remove; ranges of one document may overlap."""
     own = keyed(docs, id_col, text_col)
-    found = written(own.mapInArrow(_anchors, "name long, span long, _id long, _th long, lo long, n int"), "anchors")
+    found = written(own.mapInArrow(_anchors, "name long, _id long, _th long, lo long, n int, o int"), "anchors")
     # written, so that the join reads both sides from a shuffle and a hot name's partition can be split
-    names = written(found.groupBy("name").agg(F.count("*").alias("c"), (F.min("span") == F.max("span")).alias("alike")).where("c > 1").select("name", "alike"), "names")
-    hits = written(found.join(names, "name"), "repeated-anchors")
-    mixed = hits.where("NOT alike")
-    contexts = written(mixed.groupBy("name", "span").agg((F.count("*") > 1).alias("many"), F.min(F.struct("_id", "_th", "lo", "n")).alias("at")).select("name", "span", "many", "at.*"), "contexts")
-    span = ("_id", "_th", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (LENGTH - 1)).alias("stop"))
-    alike = hits.where("alike").select(*span)
-    copied = mixed.join(contexts.where("many").select("name", "span"), ["name", "span"]).select(*span)
-    # the bytes of one run for each context; runs of one text travel together
-    wanted = contexts.groupBy("_id", "_th").agg(F.collect_list(F.struct("name", "span", "many", "lo", "n")).alias("runs"))
-    texts = own.mapInArrow(zipped, "_id long, _th long, zipped binary").join(wanted, ["_id", "_th"])
-    cut = written(texts.mapInArrow(_contexts, "name long, span long, many boolean, _id long, _th long, lo long, bytes binary"), "context-bytes")
-    size = cut.groupBy("name").agg(F.sum(F.length("bytes") + 1).alias("size")).where(F.col("size") > PORTION).select("name")
-    large = written(size, "hot-names")
-    hot = not large.isEmpty()
-    few = cut.join(large, "name", "left_anti") if hot else cut
-    sorted_out = few.repartition("name").sortWithinPartitions("name").mapInArrow(_sort, "_id long, _th long, start long, stop long")
-    out = alike.union(copied).union(sorted_out)
-    if hot:
-        keys = written(cut.join(large, "name", "left_semi").mapInArrow(_window_keys, "k1 long, k2 long, many boolean, _id long, _th long, at long"), "windows")
-        place = F.struct("_id", "_th", "at")
-        twice = written(keys.groupBy("k1", "k2").agg(F.max("many").alias("m"), F.min(place).alias("x"), F.max(place).alias("y")).where("m OR x <> y").select("k1", "k2"), "hot-windows")
-        out = out.union(keys.join(twice, ["k1", "k2"]).select("_id", "_th", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("stop")))
-    return out
+    names = written(found.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"), "names")
+    # a row that repeats has the same runs again: one of them goes on, as many. The keys aren't the join's, which leaves adaptive execution free to split it
+    runs_ = found.join(names, "name").groupBy("_id", "_th", "lo").agg((F.count("*") > 1).alias("many"), *(F.min(c).alias(c) for c in ("name", "n", "o")))
+    wanted = written(runs_.groupBy("_id", "_th").agg(F.collect_list(F.struct("name", "many", "lo", "n", "o")).alias("runs")), "repeated-anchors")
+    texts = sieved(own, Sieve(wanted.select("_id", "_th"))).dropDuplicates(["_id", "_th"]).join(wanted, ["_id", "_th"])
+    parts = written(texts.mapInArrow(_contexts, _PARTS_DDL), "context-bytes")
+    out, level = None, 0
+    while True:
+        one, copies = different(parts, str(level))
+        out = copies if out is None else out.union(copies)
+        size = one.groupBy("name").agg(F.sum(F.length("bytes") + 1).alias("size"), F.count("*").alias("c")).where(F.col("size") > PORTION).where("c > 1")
+        hot = written(size.select("name"), "hot-names")
+        last = hot.isEmpty()
+        few = one if last else one.join(hot, "name", "left_anti")
+        sorted_ = few.select("name", "many", "_id", "_th", "lo", "bytes").repartition("name").sortWithinPartitions("name")
+        out = out.union(sorted_.mapInArrow(_sort, "_id long, _th long, start long, stop long"))
+        if last:
+            return out
+        level += 1
+        parts = written(one.join(hot, "name", "left_semi").select([f.name for f in _PARTS]).mapInArrow(_refine(level), _PARTS_DDL), f"halves-{level}")
+
+
+_KEPT = "_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+
+
+def _kept(ids: pa.Array, sizes: list[int], removed: list[int], spans: list[int], kept: list) -> pa.RecordBatch:
+    digests = pa.array([hashlib.sha256(b).hexdigest() for b in kept], pa.string())
+    return pa.record_batch([ids, *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary()), digests], names=["_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,14 +310,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)))
             removed.append(int((hi - lo).sum()))
             spans.append(len(lo))
-        yield pa.record_batch(
-            [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(b).hexdigest() for b in kept])],
-            names=["_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
-        )
+        yield _kept(batch.column("_id"), sizes, removed, spans, kept)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offs = flat(batch.column("_text"))
+        view, ends = memoryview(np.ascontiguousarray(data)), offs.tolist()
+        texts = [view[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        none = [0] * len(texts)
+        yield _kept(batch.column("_id"), [len(t) for t in texts], none, none, [bytes(t) for t in texts])
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, n_bytes, n_removed, n_spans, kept binary, kept_sha256), one row per row of ``docs``."""
     ranges = repeated_ranges(docs, id_col, text_col).groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    texts = keyed(docs, id_col, text_col).mapInArrow(zipped, "_id long, _th long, zipped binary")
-    return texts.join(ranges, ["_id", "_th"], "left").mapInArrow(_cut, "_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    ranges = written(ranges, "ranges")
+    own, sieve = keyed(docs, id_col, text_col), Sieve(ranges.select("_id", "_th"))
+    cut = sieved(own, sieve).join(ranges, ["_id", "_th"], "left").mapInArrow(_cut, _KEPT)
+    return cut.union(passing(own, sieve, False, _whole, _KEPT))

@@ -1,14 +1,16 @@
 """Rolling hashes, flat views, the sieve, and shingle sets over blocks."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import shared, shingles
+from millrace.llm import lz_fingerprint, shared, shingles, toxicity
 
 
 @given(st.binary(max_size=60), st.data())
@@ -68,3 +70,25 @@ def test_identity_of_null_ids(spark):
     df = spark.createDataFrame([(None, None), (5, "a")], "doc_id long, text string")
     rows = shared.keyed(df).select(shared.public_id().alias("i"), "_text").collect()
     assert sorted(((r.i, r._text) for r in rows), key=str) == [(5, "a"), (None, "")]
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster():
+    def session(master, **conf):
+        context = SimpleNamespace(master=master, getConf=lambda: conf)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__))
+
+    assert shared.shared_folder(session("yarn", **{"spark.checkpoint.dir": "hdfs:///c/"})) == "hdfs:///c"
+    for master in ("yarn", "local-cluster[2,1,900]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_folder(session(master))
+    one = session("local[4]")
+    assert shared.shared_folder(one).startswith("file:///") and shared.shared_folder(one) == shared.shared_folder(one)
+
+
+def test_settings_of_the_session_stay(spark):
+    before = dict(spark.conf.getAll)
+    df = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
+    for made in (shared.keyed(df), shared.packed(df), lz_fingerprint.fingerprint(df), toxicity.score(df, None)):
+        made.collect()
+    assert {k: v for k, v in dict(spark.conf.getAll).items() if "millrace" not in k} == {k: v for k, v in before.items() if "millrace" not in k}
+    assert [b.num_rows for b in shared.pieces(iter([pa.record_batch({"x": [1] * 25})]), 10)] == [10, 10, 5]

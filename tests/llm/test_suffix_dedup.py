@@ -66,6 +66,42 @@ def test_random_tables(spark, monkeypatch, portion):
     check(spark, made(random.Random(portion), 150))
 
 
+def test_hot_names(spark, monkeypatch):
+    """The ends of a passage that all documents share: its anchors' contexts outgrow portions and are refined, down to single windows."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, tails = word(700), [word(rng.choice((3, 40, 150))) for _ in range(40)]
+    rows = [(i, word(rng.randrange(250)) + passage + rng.choice(tails) + word(rng.randrange(250))) for i in range(120)]
+    levels = []
+    refine = s._refine
+    monkeypatch.setattr(s, "_refine", lambda level: levels.append(level) or refine(level))
+    monkeypatch.setattr(s, "PORTION", 600)
+    check(spark, rows)
+    assert max(levels) >= 7
+
+
+def test_halves_keep_every_window_once():
+    data = bytes(np.random.default_rng(1).integers(0, 256, 300, dtype=np.uint8))
+    parts, seen = [(150, 0, s.WIDTH, 0, data)], []
+    while parts:
+        o, a, b, lo, x = parts.pop()
+        assert 0 <= b - a and x == data[lo : lo + len(x)] and b > o >= o - (len(x) - s.LENGTH) >= a
+        if b - a == 1:
+            assert len(x) == s.LENGTH
+            seen.append(lo)
+            continue
+        for first, low, high, part, core in s.halves(o, a, b, x):
+            assert core in part and len(core) == s.LENGTH - (high - 1 - low)
+            parts.append((o - first, low, high, lo + first, part))
+    assert sorted(seen) == list(range(101))
+
+
+def test_neighbours_are_compared_by_bytes():
+    data = np.frombuffer(b"a" * 200 + b"b" + b"a" * 200 + b"b" + b"a" * 199 + b"c", np.uint8)
+    assert s.adjacent_equal(data, np.array([0, 201, 402])).tolist() == [True, False]
+    assert s.adjacent_equal(data, np.array([0])).tolist() == [] and s.adjacent_equal(data[:0], np.array([], int)).tolist() == []
+
+
 def test_odd_rows(spark):
     a = "".join(chr(97 + k % 23) for k in range(180)) + "tail of the first text here"
     check(spark, [(1, None), (2, ""), (3, "short"), (4, "z" * 200), (5, "z" * 201), (6, "y" * 1000), (None, a), (7, a), (8, "é" * 99 + "ab"), (8, "é" * 99 + "ab"), (9, "é" * 150)])
