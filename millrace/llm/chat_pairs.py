@@ -28,9 +28,9 @@ def unmarked(c: Column) -> Column:
 
 
 def neighbours(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """(pair, chosen, rejected): conversations 2k and 2k + 1, for every k where both exist."""
+    """(pair, chosen, rejected): conversations 2k and 2k + 1, for every k where both exist; k is exact for every long."""
     ids = turns.select(F.col(conv_col).cast("long").alias("c")).where("c IS NOT NULL")
-    return ids.groupBy(F.floor(F.col("c") / 2).alias("pair")).agg(F.min("c").alias("chosen"), F.max("c").alias("rejected")).where("chosen < rejected")
+    return ids.groupBy(F.shiftright("c", 1).alias("pair")).agg(F.min("c").alias("chosen"), F.max("c").alias("rejected")).where("chosen < rejected")
 
 
 def format_pairs(turns: DataFrame, pairs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

@@ -70,3 +70,11 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert c.format_pairs(df, c.neighbours(df)).collect() == []
+
+
+def test_large_ids(spark):
+    ids = [2**60 + k for k in range(4)] + [-(2**60) + k for k in range(4)] + [2**63 - 2, 2**63 - 1, -(2**63), -(2**63) + 1, 2**53 + 1, 2**53 + 2]
+    rows = [(i, t, "user" if t == 0 else "assistant", "same" if t == 0 else str(i)) for i in ids for t in (0, 1)]
+    check(spark, rows)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    assert c.neighbours(df).count() == 6  # 2**53 + 1 and 2**53 + 2 belong to different pairs
