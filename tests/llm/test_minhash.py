@@ -3,10 +3,13 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from millrace.llm import minhash
+from millrace.llm import shingles as shingles_of
 from millrace.llm.components import components
+from millrace.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -63,7 +66,25 @@ def test_against_all_pairs(spark, monkeypatch, limits):
     for name, v in zip(("CLUSTER_DOCS", "CLUSTER_SHINGLES", "PIVOT_SHINGLES"), limits, strict=True):
         monkeypatch.setattr(minhash, name, v)
     rng = random.Random(6)
-    check(spark, made(rng, 250, 12))
+    template = [f"t{k}" for k in range(60)]  # documents that share this much and are no near-duplicates
+    check(spark, made(rng, 200, 12) + [(200_000 + i, " ".join(template + [f"own{i}-{k}" for k in range(rng.randrange(15, 60))])) for i in range(50)])
+
+
+def test_templates_are_split(spark):
+    """One cluster of a template with own endings and a few copies: only the copies stay together."""
+    rows = [(1, i, sorted([*range(100), *range(1000 * (i // 2), 1000 * (i // 2) + 40), 10**6 + i])) for i in range(1, 21)]
+    got = minhash.split_clusters(spark.createDataFrame(rows, "cluster long, _id long, shingles array<long>")).collect()
+    assert sorted((r.cluster, r._id) for r in got) == sorted([(2 * (i // 2), i) for i in range(2, 20)])
+
+
+def test_long_texts_in_blocks(spark, monkeypatch):
+    """Sets of texts that are hashed in blocks, words over several of them included, equal those of whole texts."""
+    rng = random.Random(3)
+    texts = ["", "x" * 500, " " * 300, "a b c", *(" ".join("é" * rng.choice((1, 3, 90)) + str(rng.randrange(50)) for _ in range(rng.randrange(200))) + " " * rng.randrange(80) for _ in range(30))]
+    want = [s.tolist() for s in shingle_sets(pa.array(texts))]
+    for block in (7, 64, 250):
+        monkeypatch.setattr(shingles_of, "BLOCK", block)
+        assert [s.tolist() for s in shingle_sets(pa.array(texts))] == want
 
 
 def test_odd_rows(spark):
