@@ -9,14 +9,15 @@ prefix, in an order drawn from the seed, the epoch and the id, whose tokens fit
 The capped shares have a closed form, so there is no iteration: by rising capacity per weight, a child is full iff
 (capacities before it) * weight + capacity * (weights from it on) <= budget * weight. All sums are exact integers.
 
-Scale. The tree is an aggregate; its levels are windows over it. The prefix of a leaf is found from sums over ``2**12``
-ranges of the order key, which are combined before the shuffle, and a sort of the one range in which the prefix ends. So a source that holds a
-third of all rows is never sorted or gathered as one, and texts are not shuffled at all. Leaf table and cut table hold one row a leaf,
+Scale. The tree is an aggregate; its levels are windows over it: the largest holds the sources of one language of one domain, the root's the domains.
+The prefix of a leaf is found from sums over 256 ranges of the order key, which are combined before the shuffle, then over 256 ranges of the one range in which the
+prefix ends, then by a sort within the last of these. So a source that holds a
+third of all rows is never sorted or gathered as one (a 65,536th of it is), and texts are not shuffled at all. Leaf table and cut table hold one row a leaf,
 are written, and are broadcast by Spark if it finds their files small enough.
 
 Defined cases: null source or language counts as the empty name, null text as no tokens; a document without tokens costs nothing and
 comes with the prefix of its leaf if its place in the order does; rows of one id are taken or left together; nodes of weight 0 get nothing; nodes that the
-weights don't name weigh 1; an empty table gives an empty result; other columns pass through, one named like an output is replaced.
+weights don't name weigh 1; nodes of equal capacity per weight are served in the order of their names; a text of any length is one row's count; an empty table gives an empty result; other columns pass through, one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -65,18 +66,18 @@ def share_out(children: DataFrame, parents: list[str], name: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, weights: Weights, share: tuple[int, int], max_epochs: int) -> DataFrame:
     """``leaves``: _domain, _lang, _source, tokens. Adds budget, epochs (whole ones) and rest (tokens of the last epoch)."""
     d, l, s = (f"_{x}" for x in LEVELS)
-    whole = W.partitionBy()  # over the leaves, then over the domains: a handful of aggregated rows
-    target = F.expr(f"cast(sum(tokens) over () * {share[0]} div {share[1]} as decimal(20,0))")
-    third = leaves.withColumns({"cap": (F.col("tokens") * max_epochs).cast("decimal(20,0)"), "w": weight_of(3, weights), "target": target})
-    able = F.sum(F.when(F.col("w") > 0, F.col("cap"))).cast("decimal(20,0)").alias("cap")
-    up = (able, F.max("target").alias("target"))
-    second = third.groupBy(d, l).agg(*up).where("cap IS NOT NULL").withColumn("w", weight_of(2, weights))
-    first = second.groupBy(d).agg(*up).where("cap IS NOT NULL").withColumn("w", weight_of(1, weights))
+    whole = W.partitionBy()  # over the domains
+    third = leaves.withColumns({"cap": (F.col("tokens") * max_epochs).cast("decimal(20,0)"), "w": weight_of(3, weights)})
+    up = (F.sum(F.when(F.col("w") > 0, F.col("cap"))).cast("decimal(20,0)").alias("cap"), F.sum("tokens").cast("decimal(20,0)").alias("tokens"))
+    second = third.groupBy(d, l).agg(*up).withColumn("w", weight_of(2, weights))
+    first = second.groupBy(d).agg(*up).withColumn("w", weight_of(1, weights))
     # the budget is the target, or all that weights let through if that is less
+    target = F.expr(f"cast(sum(tokens) over () * {share[0]} div {share[1]} as decimal(20,0))")
     most = F.sum(F.when(F.col("w") > 0, F.col("cap"))).over(whole)
-    one = share_out(first.withColumn("budget", F.least("target", most).cast("decimal(20,0)")), [], d).select(d, F.col("own").alias("budget"))
-    two = share_out(second.drop("target").join(one, d), [d], l).select(d, l, F.col("own").alias("budget"))
-    three = share_out(third.drop("target").join(two, [d, l]), [d, l], s)
+    first = first.withColumn("budget", F.least(target, most).cast("decimal(20,0)"))
+    one = share_out(first.where("cap IS NOT NULL"), [], d).select(d, F.col("own").alias("budget"))
+    two = share_out(second.where("cap IS NOT NULL").join(one, d), [d], l).select(d, l, F.col("own").alias("budget"))
+    three = share_out(third.join(two, [d, l]), [d, l], s)
     epochs = F.when(F.col("tokens") > 0, F.expr("own div tokens")).otherwise(F.lit(0)).cast("int")
     out = three.select(d, l, s, "tokens", F.col("own").cast("long").alias("budget"), epochs.alias("epochs"))
     return out.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
@@ -90,7 +91,7 @@ def mix_sources(
     docs: DataFrame, domain: Column, weights: Weights, share: tuple[int, int] = (1, 1), max_epochs: int = 4, seed: int = 17,
     lang: Column | None = None, source: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id",
 ) -> DataFrame:
-    """``docs`` with all columns, once for each epoch they are taken in, and epoch (int) and domain (string).
+    """``docs`` with all columns, once for each epoch they are taken in, and epoch (int), place (string: a source's rows by epoch, then place, are in seeded order) and domain (string).
 
     ``share``: the budget as a fraction of all tokens."""
     names = [F.coalesce(c.cast("string"), F.lit("")).alias(f"_{n}") for n, c in zip(LEVELS, (domain, F.col("lang") if lang is None else lang, F.col("source") if source is None else source), strict=True)]
@@ -99,14 +100,16 @@ def mix_sources(
     narrow = written(docs.select(F.col(id_col).alias("_id"), *names, F.coalesce(count, F.lit(0)).cast("long").alias("tokens")), "mix-rows")
     leaves = narrow.groupBy(*nodes).agg(F.sum("tokens").alias("tokens"))
     budgets = written(leaf_budgets(leaves, weights, share, max_epochs), "mix-leaves")
-    # where in the last epoch's order each leaf's prefix ends
-    keyed = narrow.join(budgets.select(*nodes, "epochs", "rest"), nodes).withColumn("_key", order_key(seed, F.col("epochs"), F.col("_id")))
-    keyed = keyed.withColumn("_range", F.substring("_key", 1, 3))
-    sums = keyed.groupBy(*nodes, "rest", "_range").agg(F.sum("tokens").alias("t"))
+    # where in the last epoch's order each leaf's prefix ends: the range of two digits of the key, then of four
+    rows = narrow.join(budgets.select(*nodes, "epochs", "rest"), nodes).withColumn("_key", order_key(seed, F.col("epochs"), F.col("_id"))).withColumn("_before", F.lit(0).cast("long"))
     up_to = W.partitionBy(*nodes).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = sums.withColumn("_sum", F.sum("t").over(up_to)).where("_sum > rest").groupBy(*nodes).agg(F.min(F.struct("_range", (F.col("_sum") - F.col("t")).alias("_before"))).alias("e")).select(*nodes, "e.*")
-    ends = written(ends, "mix-ends")
-    last = keyed.join(ends, [*nodes, "_range"]).groupBy(*nodes, "_key", "rest", "_before").agg(F.sum("tokens").alias("t"))
+    for digits in (2, 4):
+        ranged = rows.withColumn("_range", F.substring("_key", 1, digits))
+        sums = ranged.groupBy(*nodes, "rest", "_before", "_range").agg(F.sum("tokens").alias("t"))
+        over = sums.withColumn("_sum", F.col("_before") + F.sum("t").over(up_to)).where("_sum > rest")
+        ends = written(over.groupBy(*nodes).agg(F.min(F.struct("_range", (F.col("_sum") - F.col("t")).alias("_before"))).alias("e")).select(*nodes, "e.*"), f"mix-ends-{digits}")
+        rows = written(ranged.drop("_before").join(ends, [*nodes, "_range"]).select(*nodes, "_key", "rest", "tokens", "_before", "_range"), f"mix-ends-rows-{digits}")
+    last = rows.groupBy(*nodes, "_key", "rest", "_before").agg(F.sum("tokens").alias("t"))
     in_key = W.partitionBy(*nodes).orderBy("_key").rowsBetween(W.unboundedPreceding, W.currentRow)
     cut = last.withColumn("_sum", F.col("_before") + F.sum("t").over(in_key)).where("_sum <= rest").groupBy(*nodes).agg(F.max("_key").alias("_cut"))
     # without an end the whole order fits; with an end but no key of its range, all ranges before it fit
@@ -116,4 +119,4 @@ def mix_sources(
     taken = rows.join(cuts, nodes).withColumn("_in", order_key(seed, F.col("epochs"), F.col("_id")) <= F.col("_cut"))
     times = F.col("epochs") + F.col("_in").cast("int")
     taken = taken.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1))).withColumn("domain", F.col("_domain"))
-    return unpacked(taken, "epoch", "domain")
+    return unpacked(taken.withColumn("place", order_key(seed, F.col("epoch"), F.col("_id"))), "epoch", "place", "domain")

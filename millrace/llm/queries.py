@@ -52,7 +52,7 @@ def domain() -> Column:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix_sources(docs, domain(), WEIGHTS, share=(3, 5)).select("doc_id", "epoch", "domain", "lang", "source")
+    return mixing.mix_sources(docs, domain(), WEIGHTS, share=(3, 5)).select("doc_id", "epoch", "place", "domain", "lang", "source")
 
 
 def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", url_filter.page_kind(F.col("html")).alias("page_kind"))
+    found = url_filter.judge(pages, page=F.col("page_kind"))
     return found.select("page_id", "host", "path", "rule", "score", "verdict")
 
 
@@ -131,7 +132,7 @@ three_b AS (SELECT d, l, s, tokens, CASE WHEN f THEN cap ELSE (b - coalesce(sum(
 leaf AS (SELECT d, l, s, CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END AS e, b - CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END * tokens AS rest FROM three_b),
 ranked AS (SELECT rows.*, e, rest, sum(t) OVER (PARTITION BY d, l, s ORDER BY md5('17:' || CAST(e AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS upto FROM rows JOIN leaf USING (d, l, s)),
 times AS (SELECT *, CAST(e + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS n FROM ranked)
-SELECT doc_id, CAST(unnest(range(n)) AS INTEGER) AS epoch, d AS domain, lang, source FROM times
+SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, md5('17:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place, domain, lang, source FROM (SELECT doc_id, unnest(range(n)) AS epoch, d AS domain, lang, source FROM times)
 """,
     "op8_chat_pairs": r"""
 WITH said AS (

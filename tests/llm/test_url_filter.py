@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import url_filter as u
+from millrace.llm.queries import op6_url_filter
+
+SF = "/root/testdata/sf0.01"
 
 
 def plain(url):
@@ -27,10 +30,11 @@ def plain(url):
     return host, path, best
 
 
-def check(rows):
+def check(rows, urls=None):
     for r in rows:
-        host, path, best = plain(r.url)
-        assert (r.host, r.path, r.rule) == (host, path, best and best[0]), r.url
+        url = urls[r.page_id] if urls else r.url
+        host, path, best = plain(url)
+        assert (r.host, r.path, r.rule) == (host, path, best and best[0]), url
         if best:
             assert r.verdict == best[1]
 
@@ -49,25 +53,86 @@ def test_parts_and_rules(spark):
     assert all(r.verdict == "allow" for r in rows if r.host == "")
 
 
-def test_whole_table(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    rows = u.judge(pages).collect()
-    check(rows)
-    free = [r for r in rows if r.rule is None]
-    seeded = [r for r in free if any(s in r.host for s in u.SEEDS)]
-    clean = [r for r in free if not any(s in r.host for s in u.SEEDS)]
-    assert sum(r.verdict == "block" for r in seeded) >= 0.9 * len(seeded) > 0
-    assert sum(r.verdict == "block" for r in clean) <= 0.02 * len(clean)
+def counted(known):
+    """Plain counts of (text, kind, fold) rows: of n-grams and contexts, by kind and fold."""
+    full, context = Counter(), Counter()
+    for text, kind, fold in known:
+        s = text.encode() + b"\0"
+        for i in range(len(s)):
+            for k in range(1, min(5, i + 1) + 1):
+                full[kind, fold, s[i + 1 - k : i + 1]] += 1
+                context[kind, fold, k, s[i + 1 - k : i]] += 1
+    return full, context
+
+
+def plain_score(text, full, context, without):
+    folds = [f for f in range(u.FOLDS) if f != without]
+    s, total = text.encode() + b"\0", 0.0
+    for i in range(len(s)):
+        for kind, sign in ((0, -1), (1, 1)):
+            p = 1 / 256
+            for k in range(1, min(5, i + 1) + 1):
+                n, c = sum(full[kind, f, s[i + 1 - k : i + 1]] for f in folds), sum(context[kind, f, k, s[i + 1 - k : i]] for f in folds)
+                p = (n + u.STRENGTH * p) / (c + u.STRENGTH)
+            total += sign * math.log(p)
+    return total / len(s)
+
+
+def test_whole_table_against_plain_models(spark):
+    """Every verdict and score of the query on sf0.01, from plain Markov models and a plain calibration."""
+    rows = op6_url_filter(spark, SF).collect()
+    html = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").withColumn("k", u.page_kind(F.col("html"))).withColumn("f", u.fold_of(u.host_path(F.col("url"))[0])).collect()}
+    check(rows, {k: r.url for k, r in html.items()})
+    text = lambda r: html[r.page_id].url[: (n := html[r.page_id].url.index("://") + 3 + len(r.host))].lower() + html[r.page_id].url[n:]
+    kind = lambda r: {"block": 1, "allow": 0}[r.verdict] if r.rule else html[r.page_id].k
+    full, context = counted([(text(r), kind(r), html[r.page_id].f) for r in rows if kind(r) is not None])
+    scores = {}
+    for r in rows:
+        key = text(r), html[r.page_id].f
+        if key not in scores:
+            scores[key] = plain_score(key[0], full, context, key[1])
+        assert abs(r.score - scores[key]) < 1e-9
+    cut = lambda s: max(0, min(u.BINS - 1, int((s - u.LOWEST) / (u.HIGHEST - u.LOWEST) * u.BINS)))
+    free = [(kind(r), r.score) for r in rows if not r.rule and kind(r) is not None]
+    assert min(sum(k == t for k, _ in free) for t in (0, 1)) >= u.LEAST_EXAMPLES or len(rows) < 1000
+    if min(sum(k == t for k, _ in free) for t in (0, 1)) < u.LEAST_EXAMPLES:
+        free = [(kind(r), r.score) for r in rows if kind(r) is not None]
+    h = [np.bincount([cut(s) for k, s in free if k == t], minlength=u.BINS) for t in (0, 1)]
+    error = [2 * h[0][c:].sum() / h[0].sum() + h[1][:c].sum() / h[1].sum() for c in range(u.BINS + 1)]
+    threshold = u.LOWEST + (u.HIGHEST - u.LOWEST) * u.best_bin(*h) / u.BINS
+    assert error[int(u.best_bin(*h))] <= min(error) + 1e-9
+    for r in rows:
+        if not r.rule:
+            assert r.verdict == ("block" if r.host and r.score > threshold else "allow")
 
 
 def test_ratio_on_unseen_hosts(spark):
+    """Labels come from page text alone; hosts of one style have junk pages. Every host is judged by models that haven't counted it."""
     rng = random.Random(4)
-    good = [f"http://{rng.choice(['blog', 'm', 'www'])}.{rng.choice(['garden', 'river', 'music'])}{rng.choice(['notes', 'shop', 'club'])}.example.com/en/{k}" for k in range(600)]
-    bad = [f"http://{rng.choice(['casino', 'lottery'])}-{rng.choice(['win', 'big', 'cash'])}{rng.choice(['now', '4u', 'zone'])}.example.com/en/{k}" for k in range(300)]
-    new = ["win-bigcash4u.example.com/en/7", "cash-winzone.example.com/en/9", "rivergarden.example.com/en/3", "m.musicriver.example.com/en/5"]
-    known = [(x[7:], int("casino" in x or "lottery" in x), k % 4 == 0) for k, x in enumerate(good + bad)]
-    model = u.fit(spark.createDataFrame(known, "text string, kind long, kept_out boolean"))
-    assert (model.scores(pa.array(new)) > model.threshold).tolist() == [True, True, False, False]
+    name = lambda *parts: "".join(rng.choice(p) for p in parts)
+    good = sorted({name(["blog.", "m.", "www."], ["garden", "river", "music", "forest", "stone"], ["notes", "shop", "club", "house"]) for _ in range(400)})
+    bad = sorted({name(["win", "hot", "free"], ["4u", "24", "77", "x9"], ["-"], ["cash", "deal", "gold"], ["", "7", "99"]) for _ in range(400)})
+    rows = [(f"http://{h}.example.com/en/{k}", "<p>" + ("good words of a page " * 10 if h in good else "## $$ ** " * 10) + "</p>") for h in good + bad for k in range(6)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = u.judge(df, page=u.page_kind(F.col("html"))).collect()
+    wrong = [r.host for r in got if (r.verdict == "block") != ("#" in r.html)]
+    assert len(wrong) <= 0.02 * len(got)
+    listed = u.judge(df, kind=F.when(F.col("url").contains("garden"), 1).otherwise(0)).collect()  # labels of the caller's
+    assert {r.verdict for r in listed if "garden" in r.host} == {"block"}
+
+
+def test_page_kind(spark):
+    words = "word " * 30
+    rows = [(None, None), ("", None), ("<p> </p>", None), (f"<script>{'#' * 900}</script><p>{words}", 0), (words + "&amp;" * 9, 1), ("few words", 1), (words + "<!-- $$$$$$$$ -->", 0), (f"<STYLE>{'#' * 900}</style >{words}", 0)]
+    assert [r.k for r in spark.createDataFrame(rows, "h string, k int").select(u.page_kind(F.col("h")).alias("k"), "h").collect()] == [k for _, k in rows]
+
+
+def test_best_bin_takes_the_widest_range():
+    a, r = np.zeros(10), np.zeros(10)
+    a[3] = a[7] = 1
+    r[5] = r[9] = 1
+    assert u.best_bin(a, r) == 8.5  # cuts 8 and 9 cost a half; 4 and 5 cost one
 
 
 def test_without_examples(spark):
@@ -83,32 +148,13 @@ def test_counts_stay_exact_with_many_ngrams(spark):
     def word(letters):
         return "".join(rng.choice(letters) for _ in range(rng.randrange(4, 12)))
 
-    known = [(f"{word(a)}.{word(a)}.com/{word(a)}/{word(a)}é{k}", kind, k % 4 == 0) for kind, a, many in ((0, "abcdefghijklmnop", 6000), (1, "ijklmnopqrstuvwxyz", 3000)) for k in range(many)]
-    full, context, longest = Counter(), Counter(), set()
-    for text, kind, out in known:
-        s = text.encode() + b"\0"
-        for i in range(len(s)):
-            for k in range(1, min(5, i + 1) + 1):
-                if not out:
-                    full[kind, s[i + 1 - k : i + 1]] += 1
-                    context[kind, k, s[i + 1 - k : i]] += 1
-                    if k == 5:
-                        longest.add(s[i - 4 : i + 1])
-    assert len(longest) > 1 << 17
-
-    def score(text):
-        s, total = text.encode() + b"\0", 0.0
-        for i in range(len(s)):
-            for kind, sign in ((0, -1), (1, 1)):
-                p = 1 / 256
-                for k in range(1, min(5, i + 1) + 1):
-                    p = (full[kind, s[i + 1 - k : i + 1]] + u.STRENGTH * p) / (context[kind, k, s[i + 1 - k : i]] + u.STRENGTH)
-                total += sign * math.log(p)
-        return total / len(s)
-
-    model = u.fit(spark.createDataFrame(known, "text string, kind long, kept_out boolean"))
+    known = [(f"{word(a)}.{word(a)}.com/{word(a)}/{word(a)}é{k}", kind, k % u.FOLDS) for kind, a, many in ((0, "abcdefghijklmnop", 6000), (1, "ijklmnopqrstuvwxyz", 3000)) for k in range(many)]
+    full, context = counted(known)
+    assert len({g for _, _, g in full if len(g) == 5}) > 1 << 17
+    model = u.fit(spark.createDataFrame([(*k, False) for k in known], "text string, kind long, fold long, ruled boolean"))
     some = [x for x, _, _ in known[::150]] + ["", "a", "zzz.qqq/ü", "unseen.UPPER/€", known[0][0], known[0][0]]
-    assert np.allclose(model.scores(pa.array(some)), [score(x) for x in some], atol=1e-8)
+    for fold in (0, u.WHOLE):
+        assert np.allclose(model.scores(pa.array(some), fold), [plain_score(x, full, context, fold) for x in some], atol=1e-9)
 
 
 def test_models_read_query_and_fragment(spark):
@@ -116,10 +162,10 @@ def test_models_read_query_and_fragment(spark):
     rows = [("HTTP://A.B/Cd?E=F#G", "http://a.b/Cd?E=F#G"), ("http://X?Y", "http://x?Y"), ("no scheme?a", ""), (None, ""), ("://h#Ü", "://h#Ü")]
     assert [r.t for r in spark.createDataFrame(rows, "url string, t string").select(text.alias("t")).collect()] == [t for _, t in rows]
     rng = random.Random(8)
-    good = [f"http://{rng.choice(['garden', 'river', 'music'])}.example.com/en/{k}?to={rng.choice(['notes', 'shop', 'club'])}" for k in range(300)]
-    bad = [f"http://{rng.choice(['casino', 'lottery'])}.example.com/en/{k}?to={rng.choice(['casino', 'lottery'])}-win" for k in range(150)]
+    good = [f"http://{rng.choice(['garden', 'river', 'music'])}{k % 40}.example.com/en/{k}?to={rng.choice(['notes', 'shop', 'club'])}" for k in range(300)]
+    bad = [f"http://{rng.choice(['casino', 'lottery'])}{k % 40}.example.com/en/{k}?to={rng.choice(['casino', 'lottery'])}-win" for k in range(150)]
     new = [f"http://river.example.com/en/7{x}" for x in ("", "?to=shop", "?to=casino-win", "#lottery-win")]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(good + bad + new)], "page_id long, url string")
-    score = {r.url: r.score for r in u.judge(df).where(F.col("page_id") >= 450).collect()}
+    df = spark.createDataFrame([(i, x, 0 if i < 300 else 1 if i < 450 else None) for i, x in enumerate(good + bad + new)], "page_id long, url string, label int")
+    score = {r.url: r.score for r in u.judge(df, kind=F.col("label")).where(F.col("page_id") >= 450).collect()}
     plain, clean, query, fragment = (score[x] for x in new)
     assert query > plain and query > clean and fragment > plain
