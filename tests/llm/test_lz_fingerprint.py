@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from millrace.llm import lz_fingerprint as z
 
 
-def plain_phrases(text):
+def plain_phrases(text, most=10**9):
     seen, out, p = set(), [], ""
     for c in text:
         p += c
@@ -15,6 +16,8 @@ def plain_phrases(text):
             seen.add(p)
             out.append(p)
             p = ""
+            if len(seen) == most:
+                seen = set()
     return out + ([p] if p else [])
 
 
@@ -31,6 +34,20 @@ def test_parse_and_pair():
         assert (z.signature(a, ends) == z.signature(a + "", z.phrase_ends(a))).all()
 
 
+def test_long_texts_use_bounded_dictionaries_and_blocks(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abé") for _ in range(rng.randrange(400))) for _ in range(40)]
+    whole = [z.signature(t, z.phrase_ends(t)) for t in texts]
+    for block in (1, 5, 90):
+        monkeypatch.setattr(z, "BLOCK", block)
+        assert all((z.signature(t, z.phrase_ends(t)) == w).all() for t, w in zip(texts, whole, strict=True))
+    monkeypatch.setattr(z, "MOST", 7)
+    for t, n in zip(texts, texts[1:], strict=False):
+        e = z.edit(t, n)
+        for x, got in zip((t, e), z.parse_pair(t, e, len(t) - len(t) // 2), strict=True):
+            assert [x[i:j] for i, j in zip([0, *got[:-1]], got, strict=False)] == plain_phrases(x, 7) and got == z.phrase_ends(x)
+
+
 def test_likeness_follows_phrase_sets():
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
@@ -47,7 +64,8 @@ def test_likeness_follows_phrase_sets():
 def check(spark, rows, parts):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, edited int")
     got = sorted(((r._id, r.n_chars, r.edited, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in z.compare_next(df, parts=parts).collect()))
-    order = sorted((-(2**63) if i is None else i, t or "") for i, t in rows)
+    hashed = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    order = [(i, t) for i, _, t in sorted((-(2**63) if r.doc_id is None else r.doc_id, r.h, r.text or "") for r in hashed)]
     sig = lambda t: z.signature(t, z.phrase_ends(t))
     want = []
     for k, (i, t) in enumerate(order):
@@ -73,3 +91,12 @@ def test_empty_table_and_plain_fingerprint(spark):
     assert z.compare_next(none).collect() == [] and z.fingerprint(none).collect() == []
     got = z.fingerprint(spark.createDataFrame([("a b a b", 1), (None, 2), ("a b a b", 3)], "text string, fingerprint int")).collect()
     assert got[0].fingerprint == got[2].fingerprint == z.to_hex(z.signature("a b a b", z.phrase_ends("a b a b"))) and got[1].fingerprint == z.to_hex(z.EMPTY)
+
+
+def test_hot_ids_are_cut_by_hash(spark):
+    """A third of all rows without an id: they spread over several ranges and stay one chain."""
+    rng = random.Random(2)
+    rows = [(None if k % 3 == 0 else k, "".join(rng.choice("abc ") for _ in range(rng.randrange(40)))) for k in range(240)]
+    check(spark, rows, 12)
+    bounds = z.ranges(z.keyed(spark.createDataFrame(rows, "doc_id long, text string")).select("_id"), 12)
+    assert sum(i == -(2**63) for i, _ in bounds) >= 3 and len(set(bounds)) == len(bounds)
