@@ -26,16 +26,15 @@ from pyspark.sql import functions as F
 from .shared import row_id, unpacked
 
 BLANK = " \t\n\x0b\x0c\r"
-BLANKS, INK = r"[ \t-\r]+", r"[^ \t-\r]"
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BLANKS = r"[ \t-\r]+"
+SYMBOLS, UPPER, SHOUT = r"[#*$%&|<>]", "[A-Z]", "[!?]"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: What rules may test, as functions of the statistics.
 FEATURES = ["n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "shout_share"]
 
 
-def count_of(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+def count_of(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def share(a: Column, b: Column) -> Column:
@@ -46,17 +45,20 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(_row, the five STATS as long, the FEATURES as double): one row per input row, no shuffle."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text.alias("_text"))
-    df = df.select("*", F.filter(F.split("_text", BLANKS), lambda x: x != "").alias("_words"), F.filter(F.split("_text", "\n"), lambda x: x.rlike(INK)).alias("_lines"))
+    # without blanks at its ends a text splits into words alone; an empty text has none
+    inner = F.btrim("_text", F.lit(BLANK))
+    split = F.when(inner != "", F.split(inner, BLANKS)).otherwise(F.array().cast("array<string>"))
+    df = df.select("*", split.alias("_words"), F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "").alias("_lines"))
     windows = F.slice(F.transform("_words", lambda x, i: F.xxhash64(x, F.get("_words", i + 1), F.get("_words", i + 2))), F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0)))
     df = df.select(
         "_row",
         F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.translate("_text", BLANK, "")).cast("long").alias("word_chars"),
-        count_of(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        count_of(F.col("_text"), SYMBOLS).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").alias("_n_lines"),
         count_of(F.col("_text"), UPPER).alias("_upper"),
-        count_of(F.col("_text"), "!?").alias("_shout"),
+        count_of(F.col("_text"), SHOUT).alias("_shout"),
         windows.alias("_win"),
     )
     # windows found twice: neighbours with equal hashes once sorted; only texts that have any are sorted
