@@ -38,8 +38,8 @@ PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")  # str.split() would split there
 CHUNK = regex.compile(rf"[^{SPACE}]+")
 NONE = np.iinfo(np.int32).max
-CACHE_ENTRIES, CACHE_IDS = 400_000, 4_000_000
-SLICE_CHARS = 2_000_000
+CACHE_ENTRIES, CACHE_IDS = 250_000, 2_500_000
+SLICE_CHARS = 1_000_000
 
 
 def byte_symbols() -> list[str]:

@@ -34,6 +34,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.union(low.select("u", "m")).where("a <> b").distinct()
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """Few edges with the components of many: ``links`` tie each _id to several lows; each _id and its other lows are tied to the least of them."""
+    own = links.groupBy("_id").agg(F.min("low").alias("b"), F.collect_set("low").alias("lows"))
+    return own.select(F.explode(F.array_append("lows", F.col("_id"))).alias("a"), "b").where("a <> b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge that isn't itself the smallest of its component. ``edges``: two long columns."""
     now = written(edges.toDF("a", "b").where("a <> b").distinct(), "edges")

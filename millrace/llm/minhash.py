@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, stars
 from .shared import Sieve, keyed, mix, packed, public_id, sieved, unpacked, unzip, written
 from .shingles import shingle_sets
 
@@ -176,7 +176,7 @@ def split_clusters(members: DataFrame) -> DataFrame:
     most = F.size("s") - F.ceil(F.size("s") * PERCENT / 100).cast("int") + 1
     rare = written(ranked.select("cluster", "_id", F.explode(F.slice("s", F.lit(1), most)).alias("x")).where("x.f > 1").select("cluster", F.col("x.t").alias("t"), "_id"), "rare-shingles")
     low = written(rare.groupBy("cluster", "t").agg(F.min("_id").alias("low")), "rare-least")
-    roots = components(rare.join(low, ["cluster", "t"]).where("_id <> low").select("_id", "low"))
+    roots = components(stars(rare.join(low, ["cluster", "t"]).where("_id <> low").select("_id", "low")))
     named = roots.select(F.col("node").alias("_id"), F.col("root").alias("cluster")).union(roots.select(F.col("root"), "root").distinct())
     return written(members.select("_id", "shingles", F.size("shingles").alias("n")).join(named, "_id").select("cluster", "_id", "n", "shingles"), "split")
 
@@ -271,8 +271,7 @@ def labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keys = classes.select("_id", F.explode("bands").alias("k"))
     # written, so that the join reads both sides from a shuffle and a hot bucket's partition can be split
     lows = written(keys.groupBy("k").agg(F.min("_id").alias("low"), F.count("*").alias("c")).where("c > 1").select("k", "low"), "buckets")
-    star = keys.join(lows, "k").where("_id <> low").select("_id", "low").distinct()
-    roots = components(star)
+    roots = components(stars(keys.join(lows, "k").where("_id <> low").select("_id", "low")))
     nodes = roots.select(F.col("root").alias("cluster"), F.col("node").alias("_id"))
     nodes = nodes.union(nodes.select("cluster", F.col("cluster").alias("_id")).distinct())
     nodes = written(with_fit(nodes.join(classes.select("_id", "_th", "n"), "_id")).select("cluster", "_id", "_th", "fits"), "clusters")

@@ -12,6 +12,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
+BATCH_ROWS = 1000
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,11 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark sends Python workers at most BATCH_ROWS rows at once; the caller's setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(was)) if int(was) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts lineage, and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(remove_written)
     _written.append((spark, path))
@@ -58,9 +73,6 @@ def remove_written() -> None:
             return
 
 
-BATCH_ROWS = 1000
-
-
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Each batch in slices of at most ``rows`` rows, without a copy: whole texts can be long, and a worker holds what it works on several times over."""
     for batch in batches:

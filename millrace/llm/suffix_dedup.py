@@ -12,7 +12,7 @@ it, suffixes that can have a partner are brought together first, and only they:
    for about 85 bytes of text.
 2. Anchor names that occur once end here: no window of theirs has a partner. The other runs are fetched as bytes ("contexts").
 3. Contexts of one name that are equal byte for byte are grouped by Spark: all their windows repeat, and one of them goes on.
-4. The different contexts of many names are laid end to end, in portions of at most a million bytes, and suffix-sorted.
+4. The different contexts of many names are laid end to end, in portions of at most ``PORTION`` bytes, and suffix-sorted.
 5. A name whose contexts outgrow a portion (the ends of a passage that very many documents share) is refined: by the place of the anchor within a
    window, its windows fall into two halves; all windows of a half hold more of the bytes around the anchor, and that longer string names
    the half. Halves go through steps 3 and 4, again refined if need be; after eight rounds at most a half is a single window, whose
@@ -46,8 +46,8 @@ from .suffixes import suffix_order
 
 LENGTH, KGRAM = 200, 32
 WIDTH = LENGTH - KGRAM + 1  # places of an anchor within a window
-BLOCK = 1_000_000
-PORTION = 900_000
+BLOCK = 250_000
+PORTION = 400_000
 AT = np.uint64((1 << 24) - 1)
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from millrace.llm import minhash
 from millrace.llm import shingles as shingles_of
-from millrace.llm.components import components
+from millrace.llm.components import components, stars
 from millrace.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,3 +104,7 @@ def test_components(spark):
     want = union_find({n for e in edges for n in e}, edges)
     assert got == {n: r for n, r in want.items() if n != r}
     assert components(spark.createDataFrame([], "x long, y long")).collect() == []
+    links = spark.createDataFrame([(max(e), min(e)) for e in edges if e[0] != e[1]], "_id long, low long")
+    assert {r.node: r.root for r in components(stars(links)).collect()} == got
+    near_copies = spark.createDataFrame([(i, t) for i in range(20, 120) for t in range(20)], "_id long, low long")
+    assert stars(near_copies).count() == 119  # instead of 2000
