@@ -15,7 +15,7 @@ A larger one is first split exactly (``split_clusters``): two sets at the thresh
 the other lack, and one more. So documents that have only a template in common part here, whatever buckets chained them. What is still large is confirmed
 in rounds over all tasks: every member is compared with a broadcast batch of pivots (together at most ``PIVOT_SHINGLES`` shingles, 32 MB, and their signatures, or one document's
 set if that is larger); the next pivots are the members outside
-the cluster's largest component, until each of them has been a pivot. A link between two components would have one end outside
+the cluster's largest component, until each of them has been a pivot: one of a cluster at first, then eight times as many each round. A link between two components would have one end outside
 the largest, so no link is lost. Clusters of near copies need two or three rounds; else a round disposes of ``PIVOT_SHINGLES`` shingles of pivots, so rounds grow with the
 members that share a rare shingle and are still no near-duplicates.
 
@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .components import components, stars
 from .shared import Sieve, keyed, mix, packed, public_id, sieved, unpacked, unzip, written
@@ -192,12 +193,31 @@ class Pivots:
         return [self.ids[j] for j in alike(self.sigs, short(signature(s))).tolist() if linked(self.sets[j], s)]
 
 
+class Joined:
+    """Which ids have been joined so far, by union-find."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, i: int) -> int:
+        while (j := self.up.setdefault(i, i)) != i:
+            self.up[i] = i = self.up.setdefault(j, j)
+        return i
+
+    def join(self, a: int, b: int) -> bool:
+        """Join two ids; whether they weren't before."""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
+
+
 def _in_rounds(members: DataFrame) -> DataFrame:
     """(id, root) within clusters that don't fit one task. ``members``: cluster, _id, n, shingles (array<long>), already written."""
     spark = members.sparkSession
     sizes = members.select("cluster", "_id", "n")
     done: DataFrame | None = None  # _id of all pivots so far
     links: DataFrame | None = None
+    each = 1  # pivots of one cluster: few at first, as they leave few others outside the largest component where copies are many
     while True:
         if links is None:  # nothing is known: the smallest id of each cluster goes first
             todo = sizes.groupBy("cluster").agg(F.min_by(F.struct("_id", "n"), "_id").alias("p")).select("cluster", "p.*")
@@ -208,7 +228,8 @@ def _in_rounds(members: DataFrame) -> DataFrame:
             largest = count.groupBy("cluster").agg(F.max_by("root", F.struct("c", "root")).alias("top"))
             todo = label.join(largest, "cluster").where("root <> top").select("cluster", "_id", "n").join(done, "_id", "left_anti")
         # as many pivots as the broadcast's bound allows, smallest ids first; at least one
-        few = todo.orderBy("_id").limit(PIVOT_DOCS).collect()
+        todo = todo.withColumn("place", F.row_number().over(W.partitionBy("cluster").orderBy("_id"))).where(F.col("place") <= each)
+        few, each = todo.orderBy("place", "_id").limit(PIVOT_DOCS).collect(), 8 * each
         total, batch = 0, []
         for r in few:
             if batch and total + r["n"] > PIVOT_SHINGLES:
@@ -226,11 +247,12 @@ def _in_rounds(members: DataFrame) -> DataFrame:
         pivots = spark.sparkContext.broadcast({c: Pivots([i for i, _ in x], [s for _, s in x]) for c, x in by.items()})
 
         def run(batches: Iterator[pa.RecordBatch], pivots=pivots) -> Iterator[pa.RecordBatch]:
+            joined = Joined()  # a task tells only links that join what its links before haven't
             for b in batches:
                 out: tuple[list, list] = ([], [])
                 for c, i, s in zip(b.column("cluster").to_pylist(), b.column("_id").to_pylist(), _sets_of(b), strict=True):
                     for p in pivots.value[c].linked(s) if c in pivots.value else ():
-                        if p != i:
+                        if joined.join(p, i):
                             out[0].append(p)
                             out[1].append(i)
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
