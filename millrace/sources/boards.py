@@ -6,13 +6,29 @@ can't be read never looks empty. Nothing here opens a network connection by itse
 
 from __future__ import annotations
 
+import base64
+import importlib
 import time
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Fetch = Callable[[str], Iterator[tuple]]
-FETCHERS: dict[str, Fetch] = {}
+PICKLED = "pickle:"
+
+
+def pickled(fetch: Fetch) -> str:
+    """The option ``fetcher`` for a function that workers can't import, such as a closure."""
+    return PICKLED + base64.b64encode(cloudpickle.dumps(fetch)).decode()
+
+
+def fetcher(option: str) -> Fetch:
+    """The function that an option ``fetcher`` names; the source is made in a Python worker, which shares no memory with the driver."""
+    if option.startswith(PICKLED):
+        return cloudpickle.loads(base64.b64decode(option[len(PICKLED) :]))
+    module, _, name = option.partition(":")
+    return getattr(importlib.import_module(module), name)
 
 
 class TooManyRequests(Exception):
@@ -48,7 +64,7 @@ class BoardReader(DataSourceReader):
 
 
 class BoardSource(DataSource):
-    """Options: slugs (comma-separated), fetcher (a name in FETCHERS), pause (seconds, default 0.5)."""
+    """Options: slugs (comma-separated), fetcher (``module:function`` that workers can import, or what ``pickled`` returns), pause (seconds, default 0.5)."""
 
     @classmethod
     def name(cls) -> str:
@@ -58,4 +74,4 @@ class BoardSource(DataSource):
         return "slug string, query int, page int, url string, body string"
 
     def reader(self, schema) -> BoardReader:
-        return BoardReader([s for s in self.options.get("slugs", "").split(",") if s], FETCHERS[self.options["fetcher"]], float(self.options.get("pause", 0.5)))
+        return BoardReader([s for s in self.options.get("slugs", "").split(",") if s], fetcher(self.options["fetcher"]), float(self.options.get("pause", 0.5)))

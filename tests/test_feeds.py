@@ -132,6 +132,19 @@ def test_fx(spark):
     assert seeds.fx_rates(spark, None)["SEK"] == 0.095 and seeds.fx_rates(spark, '{"result": "no"}')["INR"] == 0.012
 
 
+def test_board_source_reads_through_spark(spark):
+    spark.dataSource.register(boards.BoardSource)
+    body = json.dumps({"jobs": [{"id": 7, "title": "A", "absolute_url": "u"}]})
+
+    def fetch(slug):
+        yield slug, 0, 0, f"https://{slug}", body
+
+    read = spark.read.format("boards").option("slugs", "acme,beta").option("pause", "0").option("fetcher", boards.pickled(fetch)).load()
+    assert sorted((r.slug, r.url) for r in read.collect()) == [("acme", "https://acme"), ("beta", "https://beta")]
+    assert sorted(r.slug for r in feeds.greenhouse(read).collect()) == ["acme", "beta"]
+    assert boards.fetcher("json:dumps") is json.dumps
+
+
 def test_board_source_retries():
     calls = []
 
