@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import enrich
 from ..functions.text import content_hash, dedup_key, job_id, job_slug, normalized_title, number_text, present, slugify, strip_html
@@ -57,16 +58,30 @@ def skill_id(name: Column) -> Column:
     return F.concat(F.lit("sk_"), slugify(name))
 
 
+def run_counters(postings: DataFrame, gated: DataFrame, processed: DataFrame, before: DataFrame, after: DataFrame, targets: DataFrame, polled: DataFrame) -> DataFrame:
+    """One row: fetched, processed, unchanged, in_scope, closed, feeds_failed; each is an aggregate, and six rows are joined."""
+    gone = before.agg(F.count_if("is_closed").alias("was")).crossJoin(after.agg(F.count_if("is_closed").alias("now"))).select((F.col("now") - F.col("was")).alias("closed"))
+    failed = targets.select("source_id").distinct().join(polled.select(F.col(polled.columns[0]).alias("source_id")), "source_id", "left_anti").agg(F.count("*").alias("feeds_failed"))
+    out = postings.agg(F.count("*").alias("fetched"))
+    for one in (gated.agg(F.count_if("changed").alias("processed"), F.count_if(~F.col("changed")).alias("unchanged")), processed.agg(F.count_if(F.col("cls.classification") == "in").alias("in_scope")), gone, failed):
+        out = out.crossJoin(one)
+    return out
+
+
 def run(jobs: DataFrame, bridge: DataFrame, postings: DataFrame, targets: DataFrame, polled: DataFrame, run_start: Column, scorer: Scorer | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(jobs, job_skills, counters) after one run. ``polled``: source ids whose feeds answered."""
+    """(jobs, job_skills, counters) after one run. ``polled``: source ids whose feeds answered.
+
+    Postings of one id count in their order (``ord`` where the feed gives one, else by their dates and content): one that says the same as the one before it is
+    unchanged, and the last changed one stays. ``fetched`` counts postings as they came, before any is left out."""
     ready = prepared(postings, targets)
-    gated = state.change_gate(ready.dropDuplicates(["id"]), jobs)
-    new = jobs_of(classified(gated.where("changed"), scorer), run_start)
+    place = ["ord"] if "ord" in ready.columns else ["updated_at", "posted_at", "content_hash", "apply_url", "title"]
+    forth, back = (W.partitionBy("id").orderBy(*(way(c) for c in place)) for way in (F.asc_nulls_first, F.desc_nulls_last))
+    before = F.lag("content_hash").over(forth)
+    gated = state.change_gate(ready, jobs).withColumn("changed", F.when(before.isNull(), F.col("changed")).otherwise(before != F.col("content_hash")))
+    processed = classified(gated.where("changed").withColumn("_place", F.row_number().over(back)), scorer)
+    new = jobs_of(processed.where("_place = 1"), run_start)
     after = state.upsert_jobs(jobs, new.drop("skills"))
     after = state.mark_seen(after, gated.where("NOT changed"), run_start)
     closed = state.close_stale(after, polled, run_start)
     links = state.replace_bridge(bridge, new.select(F.col("id").alias("job_id")), new.select(F.col("id").alias("job_id"), F.explode("skills").alias("s")).select("job_id", skill_id(F.col("s")).alias("skill_id")), "job_id")
-    counters = gated.agg(F.count("*").alias("fetched"), F.count_if("changed").alias("processed"), F.count_if(~F.col("changed")).alias("unchanged")).crossJoin(
-        new.agg(F.count_if(F.col("classification") == "in").alias("in_scope"))
-    )
-    return closed, links, counters
+    return closed, links, run_counters(postings, gated, processed, after, closed, targets, polled)

@@ -40,6 +40,11 @@ def test_runs(spark):
     assert rows["1"].is_new and not rows["1"].is_closed and rows["1"].ingested_at == T(1) and rows["1"].country == "GB" and rows["2"].classification == "out"
     assert sorted(r.skill_id for r in bridge.collect()) == ["sk_go", "sk_python", "sk_rag"]
 
+    twice = [*first, ("1", "LLM Engineer", "RAG and Python"), ("2", "Data Analyst", "Zig")]  # repeated as it was; with another text
+    other, _, n = run(spark, spark.createDataFrame([], JOBS), spark.createDataFrame([], JOB_SKILLS), twice, 1, polled=("c_acme_lever", "x"))
+    assert (n.fetched, n.processed, n.unchanged, n.in_scope, n.closed, n.feeds_failed) == (6, 4, 1, 2, 0, 0)
+    assert other.count() == 3
+
     again, same, n = run(spark, jobs, bridge, first, 2)  # the same batch: only last_seen_at moves
     assert (n.processed, n.unchanged) == (0, 3) and all(r.last_seen_at == T(2) and r.ingested_at == T(1) for r in again.collect())
     assert sorted(same.collect()) == sorted(bridge.collect())
