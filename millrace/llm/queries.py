@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_pairs, line_dedup, lz_fingerprint, minhash, mixing, quality_rules, suffix_dedup, toxicity, url_filter
-from .shared import public_id
+from .shared import public_id, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +69,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", url_filter.page_kind(F.col("html")).alias("page_kind"))
-    found = url_filter.judge(pages, page=F.col("page_kind"))
+    found = url_filter.judge(written(pages, "page-kinds"), page=F.col("page_kind"))  # written, so that every page is read once
     return found.select("page_id", "host", "path", "rule", "score", "verdict")
 
 

@@ -81,10 +81,13 @@ def page_kind(html: Column) -> Column:
     """What a page's own text says of it: 1 where it is junk, 0 where it reads as text, null without any."""
     shown = F.regexp_replace(F.coalesce(html.cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
     shown = F.regexp_replace(shown, "&(amp|lt|gt);", "&")
-    ink = F.char_length(F.regexp_replace(shown, r"[ \t-\r]+", ""))
-    symbols = F.char_length(shown) - F.char_length(F.translate(shown, "#*$%&|<>", ""))
-    junk = (symbols >= JUNK_SHARE * ink) | (F.regexp_count(shown, F.lit(r"[^ \t-\r]+")) < LEAST_WORDS)
-    return F.when(ink > 0, junk.cast("int"))
+
+    def kind(text: Column) -> Column:  # a lambda's variable, so that the markup is taken out once
+        ink = F.char_length(F.regexp_replace(text, r"[ \t-\r]+", ""))
+        junk = (F.regexp_count(text, F.lit(r"[#*$%&|<>]")) >= JUNK_SHARE * ink) | (F.regexp_count(text, F.lit(r"[^ \t-\r]+")) < LEAST_WORDS)
+        return F.when(ink > 0, junk.cast("int"))
+
+    return F.get(F.transform(F.array(shown), kind), 0)
 
 
 def examples(host: Column, ruled: Column, page: Column) -> Column:
