@@ -37,13 +37,50 @@ def counts(df: DataFrame, key: str, name: str = "n") -> DataFrame:
 
 
 def facets(df: DataFrame, plain: list[str], exploded: list[str]) -> DataFrame:
-    """(facet, value, n): counts of scalar columns and of array elements; each from its own explode, so they don't multiply."""
-    out = None
-    for c in plain + exploded:
-        own = df.select(F.explode(c).alias("value")) if c in exploded else df.select(F.col(c).alias("value"))
-        part = counts(own, "value").select(F.lit(c).alias("facet"), "value", "n")
-        out = part if out is None else out.union(part)
-    return out
+    """(facet, value, n): counts of scalar columns and of array elements, values as strings. One scan and one aggregate: each row
+    gives one entry for every value it has, so facets don't multiply; nulls are skipped."""
+
+    def entries(c: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values.cast("array<string>"), F.array().cast("array<string>")), lambda x: F.struct(F.lit(c).alias("facet"), x.alias("value")))
+
+    own = [entries(c, F.array(c)) for c in plain] + [entries(c, F.col(c)) for c in exploded]
+    return df.select(F.explode(F.concat(*own)).alias("e")).select("e.*").where("value IS NOT NULL").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+BINS = 4096
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, name): the exact median of ``value`` (double) for each key; keys without values are absent, no keys give one row or none.
+
+    No group's values are gathered: rows are counted by value first, values are dealt to ``BINS`` equal ranges between a key's least and largest,
+    the counts of the ranges tell where the middle is, and only the values of that range are ordered."""
+    ks = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
+    own = df.select(*(F.col(k).alias(a) for k, a in zip(keys or [None], ks, strict=True) if k), *([] if keys else [F.lit(0).alias("_k0")]), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    each = own.groupBy(*ks, "_v").agg(F.count("*").alias("_c"))
+    span = own.groupBy(*ks).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_all"))
+
+    def beside(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
+        """``a`` with the columns of ``b`` for the same values of ``cols``, null keys included."""
+        other = {c: f"{c}_" for c in cols}
+        return a.join(b.withColumnsRenamed(other), [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()]).drop(*other.values())
+
+    place = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
+    dealt = beside(each, span, ks).select(*ks, "_v", "_c", "_all", F.floor(F.coalesce(F.nanvl(place, F.lit(0.0)), F.lit(0.0)) * (BINS - 1)).alias("_bin"))
+    lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+
+    def middle(rows: DataFrame, by: list[str], order: str, before: Column) -> DataFrame:
+        """The rows that hold the lower or the upper middle, by running counts."""
+        upto = before + F.sum("_c").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+        rows = rows.withColumn("_upto", upto)
+        held = lambda at: (F.col("_upto") >= at) & (F.col("_upto") - F.col("_c") < at)
+        return rows.withColumns({"_lo": held(lower), "_hi": held(upper)}).where("_lo OR _hi")
+
+    found = middle(dealt.groupBy(*ks, "_bin").agg(F.sum("_c").alias("_c"), F.max("_all").alias("_all")), ks, "_bin", F.lit(0))
+    found = found.select(*ks, "_bin", (F.col("_upto") - F.col("_c")).alias("_before"))
+    near = beside(dealt, found, [*ks, "_bin"])
+    ends = middle(near, [*ks, "_bin"], "_v", F.col("_before")).groupBy(*ks).agg(F.max(F.when(F.col("_lo"), F.col("_v"))).alias("_a"), F.max(F.when(F.col("_hi"), F.col("_v"))).alias("_b"))
+    return ends.select(*(F.col(a).alias(k) for k, a in zip(keys, ks, strict=False)), ((F.col("_a") + F.col("_b")) / 2).alias(name))
 
 
 def share_of_max(df: DataFrame, value: str, name: str = "share") -> DataFrame:

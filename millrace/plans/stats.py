@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import enrich
 from ..functions import vocabulary as v
 from ..functions.text import percent, rounded
-from ..operators.relational import counts, keep_first, share_of_max, top, zero_filled
+from ..operators.relational import counts, keep_first, medians, share_of_max, top, zero_filled
 
 
 def paid(jobs: DataFrame, rates: dict[str, float] | None = None) -> DataFrame:
@@ -18,14 +18,15 @@ def paid(jobs: DataFrame, rates: dict[str, float] | None = None) -> DataFrame:
     return jobs.withColumn("pay", pay).where("pay IS NOT NULL")
 
 
-def exact_median(c: Column) -> Column:
-    """The exact median; 0 for no rows."""
-    return F.coalesce(F.median(c), F.lit(0.0))
+def exact_median(df: DataFrame, value: str, name: str = "median") -> DataFrame:
+    """One row with the exact median of a column; 0 for no rows."""
+    return df.sparkSession.range(1).select().join(medians(df, [], value, name), how="left").select(F.coalesce(name, F.lit(0.0)).alias(name))
 
 
-def median_by(df: DataFrame, key: str, value: str, least: int, k: int | None = None, *keep: str) -> DataFrame:
+def median_by(df: DataFrame, key: str, value: str, least: int, k: int | None = None) -> DataFrame:
     """Exact median and count by key, for keys with at least ``least`` rows, highest first; ties by key."""
-    got = df.groupBy(key).agg(*(F.first(c).alias(c) for c in keep), F.median(value).alias("value"), F.count(value).alias("n")).where(F.col("n") >= least)
+    n = df.groupBy(key).agg(F.count(value).alias("n")).where(F.col("n") >= least)
+    got = medians(df.where(F.col(key).isNotNull()), [key], value, "value").join(n, key).select(key, "value", "n")
     return got if k is None else top(got, k, F.desc("value"), F.asc(key))
 
 
@@ -34,10 +35,11 @@ def headline(jobs: DataFrame, generated_at: Column, rates: dict[str, float] | No
     pay = enrich.midpoint_usd(*(F.col(c) for c in ("salary_min", "salary_max", "salary_currency", "salary_period")), F.create_map(*(F.lit(x) for kv in rates.items() for x in kv)) if rates else None)
     recent = F.coalesce(generated_at - F.col("posted_at") <= F.expr("INTERVAL 7 DAYS"), F.lit(False))
     total = F.count("*")
-    return jobs.agg(
+    got = jobs.agg(
         total.alias("roles"), F.countDistinct("company_slug").alias("companies"), kind("remote").alias("remote"), kind("hybrid").alias("hybrid"), kind("onsite").alias("onsite"),
-        percent(kind("remote"), total).alias("remote_percent"), exact_median(pay).alias("median_pay"), F.count_if(recent).alias("posted_this_week"),
+        percent(kind("remote"), total).alias("remote_percent"), F.count_if(recent).alias("posted_this_week"),
     )
+    return got.crossJoin(exact_median(jobs.select(pay.alias("pay")), "pay", "median_pay"))
 
 
 def company_names(df: DataFrame) -> DataFrame:
@@ -61,6 +63,12 @@ def stats(jobs: DataFrame, generated_at: Column, rates: dict[str, float] | None
     }
 
 
+def spread(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, low, median, high) of a column."""
+    ends = df.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return ends.join(medians(df, [key], value), key, "left").select(key, "n", "low", "median", "high")
+
+
 def salary_pages(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     """For each page id the count, least, median and largest midpoint of its USD yearly jobs; pages without any stay, with count 0.
 
@@ -68,8 +76,7 @@ def salary_pages(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     some = F.coalesce("salary_min", F.lit(0)) != 0
     ok = jobs.where(some & F.coalesce("salary_currency", F.lit("")).isin("", "USD") & F.coalesce("salary_period", F.lit("")).isin("", "year"))
     mid = F.when(F.coalesce("salary_max", F.lit(0)) != 0, (F.col("salary_min") + F.col("salary_max")) / 2).otherwise(F.col("salary_min"))
-    got = ok.select(F.explode("clusters").alias("id"), mid.alias("mid")).groupBy("id").agg(F.count("*").alias("n"), F.min("mid").alias("low"), F.median("mid").alias("median"), F.max("mid").alias("high"))
-    return zero_filled(pages, got, "id")
+    return zero_filled(pages, spread(ok.select(F.explode("clusters").alias("id"), mid.alias("mid")), "id", "mid"), "id")
 
 
 def salary_json(stats_: DataFrame, noun: str = "label") -> DataFrame:

@@ -230,13 +230,13 @@ def median_by_group_having(spark, sf):
 
 @query("SELECT p_type, count(*) AS n, min(p_retailprice) AS low, median(p_retailprice) AS median, max(p_retailprice) AS high FROM part GROUP BY 1")
 def price_summary(spark, sf):
-    return Tables(spark, sf).part.groupBy("p_type").agg(F.count("*").alias("n"), F.min("p_retailprice").alias("low"), F.median("p_retailprice").alias("median"), F.max("p_retailprice").alias("high"))
+    return stats.spread(Tables(spark, sf).part.select("p_type", "p_retailprice"), "p_type", "p_retailprice")
 
 
 @query("SELECT coalesce(median(o_totalprice), 0.0) AS none, (SELECT coalesce(median(o_totalprice), 0.0) FROM orders) AS whole FROM orders WHERE o_totalprice < 0")
 def median_of_nothing(spark, sf):
     o = Tables(spark, sf).orders
-    return o.where("o_totalprice < 0").agg(stats.exact_median(F.col("o_totalprice")).alias("none")).crossJoin(o.agg(stats.exact_median(F.col("o_totalprice")).alias("whole")))
+    return stats.exact_median(o.where("o_totalprice < 0"), "o_totalprice", "none").crossJoin(stats.exact_median(o, "o_totalprice", "whole"))
 
 
 @query("SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS orders_of, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS statuses FROM orders GROUP BY 1")
@@ -354,10 +354,10 @@ def semi_join(spark, sf):
     return t.customer.select("c_custkey", "c_name").join(t.orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderkey % 3 = 0)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def anti_join(spark, sf):
     t = Tables(spark, sf)
-    some = t.orders.where("o_orderstatus = 'F' AND o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    some = t.orders.where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return t.customer.select("c_custkey", "c_name").join(some, "c_custkey", "left_anti")
 
 
@@ -451,22 +451,22 @@ def array_union(spark, sf):
     return Tables(spark, sf).part.select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.concat(F.split(F.lower("p_name"), " "), F.split(F.lower("p_type"), " ")))), " ").alias("words"))
 
 
-# ---- state: old rows are orders of even customers, the batch those with key % 3 = 0, at a changed price
+# ---- state: old rows are orders not in process, the batch those in process or urgent, at a changed price; every order is in one of them
 
-_OLD = "SELECT o_orderkey AS id, o_custkey AS source_id, o_orderstatus AS title, o_totalprice AS price, o_custkey % 5 = 0 AS is_closed, o_custkey % 7 = 0 AS is_direct, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 100 END AS last_seen_at, sha256(o_orderstatus || o_orderpriority) AS content_hash FROM orders WHERE o_custkey % 2 = 0"
-_BATCH = "SELECT o_orderkey AS id, o_custkey AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus || '!' ELSE o_orderstatus END AS title, o_totalprice * 2 AS price, CAST(1000 AS BIGINT) AS last_seen_at, sha256(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus || '!' ELSE o_orderstatus END || o_orderpriority) AS content_hash FROM orders WHERE o_orderkey % 3 = 0"
+_OLD = "SELECT o_orderkey AS id, o_custkey AS source_id, o_orderstatus AS title, o_totalprice AS price, o_custkey % 5 = 0 AS is_closed, o_custkey % 7 = 0 AS is_direct, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 100 END AS last_seen_at, sha256(o_orderstatus || o_orderpriority) AS content_hash FROM orders WHERE o_orderstatus <> 'P'"
+_BATCH = "SELECT o_orderkey AS id, o_custkey AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus || '!' ELSE o_orderstatus END AS title, o_totalprice * 2 AS price, CAST(1000 AS BIGINT) AS last_seen_at, sha256(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus || '!' ELSE o_orderstatus END || o_orderpriority) AS content_hash FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority < '3'"
 
 
 def _old(t: Tables) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     seen = F.when(k % 11 == 0, None).otherwise(k % 100)
-    return t.orders.where(c % 2 == 0).select(k.alias("id"), c.alias("source_id"), F.col("o_orderstatus").alias("title"), F.col("o_totalprice").alias("price"), (c % 5 == 0).alias("is_closed"), (c % 7 == 0).alias("is_direct"), seen.alias("last_seen_at"), text.content_hash(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("content_hash"))
+    return t.orders.where("o_orderstatus <> 'P'").select(k.alias("id"), c.alias("source_id"), F.col("o_orderstatus").alias("title"), F.col("o_totalprice").alias("price"), (c % 5 == 0).alias("is_closed"), (c % 7 == 0).alias("is_direct"), seen.alias("last_seen_at"), text.content_hash(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("content_hash"))
 
 
 def _batch(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     title = F.when(k % 2 == 0, F.concat("o_orderstatus", F.lit("!"))).otherwise(F.col("o_orderstatus"))
-    return t.orders.where(k % 3 == 0).select(k.alias("id"), F.col("o_custkey").alias("source_id"), title.alias("title"), (F.col("o_totalprice") * 2).alias("price"), F.lit(1000).cast("long").alias("last_seen_at"), text.content_hash(title, F.col("o_orderpriority")).alias("content_hash"))
+    return t.orders.where("o_orderstatus = 'P' OR o_orderpriority < '3'").select(k.alias("id"), F.col("o_custkey").alias("source_id"), title.alias("title"), (F.col("o_totalprice") * 2).alias("price"), F.lit(1000).cast("long").alias("last_seen_at"), text.content_hash(title, F.col("o_orderpriority")).alias("content_hash"))
 
 
 @query(f"""
@@ -493,30 +493,30 @@ def mark_seen(spark, sf):
     return state.mark_seen(_old(t), _batch(t), F.lit(1000).cast("long")).select("id", "last_seen_at", "is_closed")
 
 
-@query(f"WITH o AS ({_OLD}) SELECT id, is_closed OR (source_id % 4 = 0 AND NOT is_direct AND (last_seen_at IS NULL OR last_seen_at < 50)) AS is_closed FROM o")
+@query(f"WITH o AS ({_OLD}) SELECT id, is_closed OR (source_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND NOT is_direct AND (last_seen_at IS NULL OR last_seen_at < 50)) AS is_closed FROM o")
 def close_stale(spark, sf):
     t = Tables(spark, sf)
-    polled = t.customer.where("c_custkey % 4 = 0").select("c_custkey")
+    polled = t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey")
     return state.close_stale(_old(t), polled, F.lit(50)).select("id", "is_closed")
 
 
 @query("""
-WITH o AS (SELECT DISTINCT l_orderkey AS job_id, l_partkey AS skill_id FROM lineitem WHERE l_linenumber <= 2), p AS (SELECT DISTINCT l_orderkey AS job_id FROM lineitem WHERE l_orderkey % 3 = 0),
-b AS (SELECT DISTINCT l_orderkey AS job_id, l_suppkey AS skill_id FROM lineitem WHERE l_orderkey % 6 = 0)
+WITH o AS (SELECT DISTINCT l_orderkey AS job_id, l_partkey AS skill_id FROM lineitem WHERE l_linenumber <= 2), p AS (SELECT DISTINCT l_orderkey AS job_id FROM lineitem WHERE l_returnflag = 'R'),
+b AS (SELECT DISTINCT l_orderkey AS job_id, l_suppkey AS skill_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25)
 SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.job_id = o.job_id) UNION ALL SELECT * FROM b
 """)
 def replace_bridge(spark, sf):
     line = Tables(spark, sf).lineitem
     old = line.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("job_id"), F.col("l_partkey").alias("skill_id")).distinct()
-    processed = line.where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("job_id"))
-    new = line.where("l_orderkey % 6 = 0").select(F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("skill_id"))
+    processed = line.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("job_id"))
+    new = line.where("l_returnflag = 'R' AND l_quantity > 25").select(F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("skill_id"))
     return state.replace_bridge(old, processed, new, "job_id")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0")
+@query("SELECT p_partkey, p_name FROM part WHERE p_size <= 25 UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_size > 25")
 def insert_absent(spark, sf):
     part = Tables(spark, sf).part
-    return state.insert_absent(part.where("p_partkey % 2 = 0").select("p_partkey", "p_name"), part.where("p_partkey % 3 = 0").select("p_partkey", F.upper("p_name").alias("p_name")), "p_partkey")
+    return state.insert_absent(part.where("p_size <= 25").select("p_partkey", "p_name"), part.where("p_size > 15").select("p_partkey", F.upper("p_name").alias("p_name")), "p_partkey")
 
 
 @query("SELECT s_suppkey AS company_id, s_name AS name, coalesce(NULLIF(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, ''), lower(s_name)) AS ats_token, n_nationkey AS source_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3")
@@ -535,10 +535,10 @@ def cross_source_duplicates(spark, sf):
 
 # ---- pages
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand || '  ' || p_type), 'an') AND p_brand = (SELECT min(p_brand) FROM part)")
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand || '  ' || p_type), 'an') AND p_brand = 'Brand#11'")
 def search_filter(spark, sf):
     part = Tables(spark, sf).part
-    brand = part.agg(F.min("p_brand")).first()[0]
+    brand = "Brand#11"
     empty = F.array().cast("array<string>")
     none, number = F.lit(None).cast("string"), F.lit(None).cast("double")
     jobs = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company_name"), empty.alias("skills"), F.col("p_type").alias("location_raw"), F.lower("p_name").alias("normalized_title"),
