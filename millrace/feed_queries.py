@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .plans import pages, stats
+from .functions.text import content_hash, job_id
+from .plans import ingest, pages, stats
 from .sources import feeds
+from .sources.schemas import JOB_SKILLS, JOBS, RAW_POSTING
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -280,3 +282,51 @@ SELECT doc_id, CAST(block AS BIGINT) AS block, CASE WHEN bool_and(bullet) THEN '
 def description_blocks(spark, sf):
     got = pages.blocks(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
     return got.select("doc_id", F.col("block").cast("long"), "type", F.when(F.col("type") == "ul", F.size("items")).otherwise(1).cast("long").alias("lines"))
+
+
+# ---- one run of ingest: orders above a price are postings, orders not in process are old jobs, some changed, closed or not posted again
+
+_RUN = """
+o AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'Sales LLM ' WHEN 'O' THEN 'AI Engineer ' ELSE 'Cook ' END || o_orderpriority AS t, 'j_' || substr(sha1(o_custkey || '|' || o_orderkey), 1, 16) AS id, o_totalprice > 50000 AS posted, o_orderstatus <> 'P' AS was,
+  o_orderstatus <> 'P' AND o_orderpriority = '1-URGENT' AS closed, o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') AS polled FROM orders),
+g AS (SELECT *, posted AND NOT (was AND o_orderpriority < '4' AND NOT closed) AS changed FROM o)
+"""
+
+
+def _run(spark, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    o = orders(spark, sf)
+    title = text(F.when(is_("F"), "Sales LLM ").when(is_("O"), "AI Engineer ").otherwise("Cook "), "o_orderpriority")
+    at, before = F.to_timestamp(F.lit("2025-06-10 00:00:00")), F.to_timestamp(F.lit("2025-06-01 00:00:00"))
+    digest = content_hash(title, F.lit("Python"), F.col("o_orderpriority"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    has = {
+        "id": job_id(F.col("c"), F.col("k")), "source_id": text("=s", "c"), "title": F.lit("old"), "is_closed": F.col("o_orderpriority") == "1-URGENT", "is_direct": F.lit(False), "is_new": F.lit(False), "is_featured": F.lit(False),
+        "last_seen_at": before, "ingested_at": before, "content_hash": F.when(F.col("o_orderpriority") < "4", digest).otherwise("x"),
+    }
+    jobs_ = o.where(~is_("P")).select(*(has.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in JOBS))
+    says = {"external_id": F.col("k"), "title": title, "description_text": F.lit("Python"), "apply_url": text("=u", "k"), "location_raw": F.col("o_orderpriority")}
+    postings = o.where("o_totalprice > 50000").select(F.col("c").alias("slug"), F.lit("lever").alias("ats_provider"), *(says.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_POSTING))
+    customers = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("string").alias("c"), "c_mktsegment")
+    targets = customers.select(F.col("c").alias("ats_token"), F.lit("lever").alias("ats_provider"), text("=c", "c").alias("company_id"), text("=s", "c").alias("source_id"), F.col("c").alias("slug"))
+    polled = customers.where("c_mktsegment <> 'BUILDING'").select(text("=s", "c").alias("source_id"))
+    return ingest.run(jobs_, spark.createDataFrame([], JOB_SKILLS), postings, targets, polled, at)
+
+
+@query(f"""
+WITH {_RUN} SELECT id, CASE WHEN changed THEN t ELSE 'old' END AS title, CASE WHEN posted THEN false ELSE closed OR polled END AS is_closed, NOT was AS is_new, CASE WHEN posted THEN 10 ELSE 1 END AS seen_day,
+  CASE WHEN changed THEN CASE o_orderstatus WHEN 'F' THEN 'out' WHEN 'O' THEN 'in' ELSE 'out' END END AS classification FROM g WHERE was OR posted
+""")
+def ingest_jobs(spark, sf):
+    return _run(spark, sf)[0].select("id", "title", "is_closed", "is_new", F.dayofmonth("last_seen_at").alias("seen_day"), "classification")
+
+
+@query(f"WITH {_RUN} SELECT id AS job_id, 'sk_python' AS skill_id FROM g WHERE changed AND o_orderstatus = 'O'")
+def ingest_skills(spark, sf):
+    return _run(spark, sf)[1]
+
+
+@query(f"""
+WITH {_RUN} SELECT count(*) FILTER (posted) AS fetched, count(*) FILTER (changed) AS processed, count(*) FILTER (posted AND NOT changed) AS unchanged, count(*) FILTER (changed AND o_orderstatus = 'O') AS in_scope,
+  count(*) FILTER (was AND NOT posted AND NOT closed AND polled) AS closed, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS feeds_failed FROM g
+""")
+def ingest_counters(spark, sf):
+    return _run(spark, sf)[2]

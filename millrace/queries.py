@@ -5,6 +5,7 @@ The tables hold no postings, so an operator is applied to a column of like shape
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -163,36 +164,72 @@ def json_field(spark, sf):
     return Tables(spark, sf).events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-PLACES = [("London, Ontario, Canada", "GB", "London", "onsite"), ("Hamburg, DE", "US", "Hamburg", "onsite"), ("Remote - US", "US", None, "remote"), ("MÜNCHEN / hybrid", "DE", "MÜNCHEN", "hybrid"),
-          ("Paris|Lyon", "FR", "Paris", "onsite"), ("  ", None, None, None), ("Anywhere", None, None, "onsite"), ("Austin, tx", None, "Austin", "onsite")]
-TITLES = [("Senior Data Scientist", "senior", "Data Scientist", None), ("Staff Engineering Manager", "staff", "Management", None), ("Internal Tools Engineer", None, "Other", None), ("AI Sales Engineer, LLM", None, "AI Engineer", "out"),
-          ("Sr. ML Engineer, Inference", "senior", "ML Engineer", "in"), ("Research Scientist Intern", "intern", "Research", "in"), ("Backend Developer", None, "Software Engineer", None), ("Head of Agents", "manager", "AI Engineer", "in")]
+#: Words by which a table's own columns spell places, titles and skills; SQL evaluates the rules' patterns on the same text.
+CITIES = ["London, Ontario", "Hamburg, DE", "Paris|Lyon", "Berlin", "MÜNCHEN", "U.S.", "usa", "Toronto", "Austin, TX", "Austin, tx", "Dublin", "Bengaluru", "Singapore", "Sydney", "Amsterdam", "Leeds, England", "Indiana", "IN", "Portland, OR", "", "Anywhere", "Global", "Lagos", "U.K.", " Mumbai "]
+MODES = {"MACHINERY": " / Remote", "BUILDING": " (hybrid)", "AUTOMOBILE": ", United States", "HOUSEHOLD": " remotely"}
+LEVELS = {"1-URGENT": "Senior ", "2-HIGH": "Staff ", "3-MEDIUM": "Sr. ", "4-NOT SPECIFIED": "Head of ", "5-LOW": "Associate "}
+NOUNS = ["Data Scientist", "Engineering Manager", "Internal Tools Engineer", "Sales Engineer", "ML Engineer", "Research Scientist", "Backend Developer", "Agents", "Data Engineer", "Product Manager", "Prompt Engineer", "Site Reliability Engineer", "Intern", "Recruiter",
+         "AI Architect", "Member of Technical Staff", "Cook", "Principal Designer", "Evaluation Lead", "Post-training Researcher", "Storage", "Forward Deployed Engineer", "Data Analyst", "Director, Strategy", "New Grad, NLP"]
+FIELDS = {"MACHINERY": ", Inference", "BUILDING": " (LLM)", "AUTOMOBILE": ", Platform"}
+STACKS = ["RAG with C++", "cloud storage category", "Fine-tuning: LoRA/PEFT", "azure ml", "PyTorch; CI/CD.", "go to market", "Azure", "gpus", "GPU", "tool use, MCP", "multi-agent", "LLM-as-judge", "no-python", "JavaScript", "Typescript", "OpenAI  API", "openai api", "vLLM/Ray", "array", "Rust.", "deep learning", "Vertex AI", "DPO+RLHF", "nlp", "Docker"]
 
 
-def _chosen(rows: list[tuple], k: int, key: str) -> str:
-    value = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-    return f"CASE {key} % {len(rows)} " + " ".join(f"WHEN {n} THEN {value(r[k])}" for n, r in enumerate(rows)) + " END"
+def _by(column: str, words: dict[str, str] | list[str]) -> str:
+    """SQL for the word that a column's value stands for."""
+    of = words.items() if isinstance(words, dict) else enumerate(words)
+    return f"CASE {column} " + " ".join(f"WHEN {k!r} THEN '{w}'" for k, w in of) + " ELSE '' END"
 
 
-@query(f"SELECT o_orderkey, {_chosen(PLACES, 1, 'o_orderkey')} AS country, {_chosen(PLACES, 2, 'o_orderkey')} AS city, {_chosen(PLACES, 3, 'o_orderkey')} AS remote_type FROM orders")
+def _matched(value: str, cases: list[tuple[str, str]], otherwise: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({value}, '{p}') THEN '{n}'" for n, p in cases) + f" ELSE {otherwise} END"
+
+
+_PLACES = f"SELECT c_custkey, {_by('c_nationkey', CITIES)} || {_by('c_mktsegment', MODES)} AS p FROM customer"
+_TITLES = f"SELECT o_orderkey, {_by('o_orderpriority', LEVELS)} || {_by('c_nationkey', NOUNS)} || {_by('c_mktsegment', FIELDS)} AS t FROM orders JOIN customer ON o_custkey = c_custkey"
+_TEXTS = f"SELECT c_custkey, {_by('c_nationkey', STACKS)} || ' ' || {_by('c_mktsegment', {'MACHINERY': 'Python', 'BUILDING': 'on AWS', 'AUTOMOBILE': 'and RAG', 'HOUSEHOLD': 'go'})} AS t FROM customer"
+
+
+def _titles(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    df = t.orders.select("o_orderkey", "o_orderpriority", F.col("o_custkey").alias("c_custkey")).join(t.customer.select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
+    return df.select("o_orderkey", F.concat(*(F.expr(_by(c, w)) for c, w in (("o_orderpriority", LEVELS), ("c_nationkey", NOUNS), ("c_mktsegment", FIELDS)))).alias("t"))
+
+
+_COUNTRIES = [(n, "(?i)" + p) for n, p in vocabulary.COUNTRIES] + [("US", rf"\b({'|'.join(vocabulary.STATES)})\b")]
+
+
+@query(rf"""
+WITH l AS ({_PLACES}), f AS (SELECT *, trim(regexp_extract(p, '^[^,|/]*')) AS first FROM l)
+SELECT c_custkey, CASE WHEN trim(p) <> '' THEN {_matched("p", _COUNTRIES)} END AS country, CASE WHEN first <> '' AND NOT regexp_matches(first, '(?i)remote|hybrid|onsite|anywhere|global') THEN first END AS city,
+  CASE WHEN regexp_matches(lower(p), '\bhybrid\b') THEN 'hybrid' WHEN regexp_matches(lower(p), '\bremote\b') THEN 'remote' WHEN trim(p) <> '' THEN 'onsite' END AS remote_type FROM f
+""")
 def parse_location(spark, sf):
-    place = F.expr(_chosen(PLACES, 0, "o_orderkey"))
-    return Tables(spark, sf).orders.select("o_orderkey", enrich.parse_location(place).alias("p")).select("o_orderkey", "p.country", "p.city", "p.remote_type")
+    df = Tables(spark, sf).customer.select("c_custkey", F.concat(F.expr(_by("c_nationkey", CITIES)), F.expr(_by("c_mktsegment", MODES))).alias("p"))
+    return df.select("c_custkey", enrich.parse_location(F.col("p")).alias("p")).select("c_custkey", "p.country", "p.city", "p.remote_type")
+
 
+_INSIDE = _matched("t", [*(("out", "(?i)" + p) for p in vocabulary.OUT_TITLES), *(("in", "(?i)" + p) for p in vocabulary.IN_TITLES)])
 
-@query(f"SELECT o_orderkey, {_chosen(TITLES, 1, 'o_orderkey')} AS seniority, {_chosen(TITLES, 2, 'o_orderkey')} AS role, {_chosen(TITLES, 3, 'o_orderkey')} AS classification FROM orders")
+
+@query(f"""WITH l AS ({_TITLES}) SELECT o_orderkey, {_matched("lower(t)", vocabulary.SENIORITY)} AS seniority, {_matched("' ' || lower(t) || ' '", vocabulary.ROLES, "'Other'")} AS role, {_INSIDE} AS classification FROM l""")
 def classify_titles(spark, sf):
-    df = Tables(spark, sf).orders.select("o_orderkey", F.expr(_chosen(TITLES, 0, "o_orderkey")).alias("t"))
-    return df.select("o_orderkey", enrich.seniority(F.col("t")).alias("seniority"), enrich.role(F.col("t")).alias("role"), enrich.classify_title(F.col("t"))["classification"].alias("classification"))
+    return _titles(spark, sf).select("o_orderkey", enrich.seniority(F.col("t")).alias("seniority"), enrich.role(F.col("t")).alias("role"), enrich.classify_title(F.col("t"))["classification"].alias("classification"))
+
+
+def _named(skill: str) -> str:
+    return rf"regexp_matches(lower(t), '(^|[^a-z0-9]){re.escape(skill.lower())}([^a-z0-9]|$)')"
 
 
-TEXTS = [("RAG with C++ and go to market", "RAG,Go,C++", "rag,language"), ("cloud storage category", "", ""), ("Fine-tuning: LoRA/PEFT, PyTorch; CI/CD.", "LoRA,PEFT,PyTorch,CI/CD", "finetuning,core_ml,mlops"), ("azure ml on Azure", "Azure ML,Azure", "mlops,cloud")]
+_SKILLS = ", ".join(f"CASE WHEN {_named(s)} THEN '{s}' END" for _, _, skills in vocabulary.CLUSTERS for s in skills)
+_CLUSTERS = ", ".join(f"CASE WHEN {' OR '.join(map(_named, skills))} THEN '{c}' END" for c, _, skills in vocabulary.CLUSTERS)
 
 
-@query(f"SELECT o_orderkey, {_chosen(TEXTS, 1, 'o_orderkey')} AS skills, {_chosen(TEXTS, 2, 'o_orderkey')} AS clusters FROM orders")
+@query(f"""WITH l AS ({_TEXTS}) SELECT c_custkey, array_to_string(list_filter([{_SKILLS}], lambda x: x IS NOT NULL), ',') AS skills, array_to_string(list_filter([{_CLUSTERS}], lambda x: x IS NOT NULL), ',') AS clusters FROM l""")
 def tag_skills(spark, sf):
-    df = Tables(spark, sf).orders.select("o_orderkey", enrich.tag_skills(F.expr(_chosen(TEXTS, 0, "o_orderkey"))).alias("s"))
-    return df.select("o_orderkey", F.array_join("s", ",").alias("skills"), F.array_join(enrich.skill_clusters(F.col("s")), ",").alias("clusters"))
+    words = {"MACHINERY": "Python", "BUILDING": "on AWS", "AUTOMOBILE": "and RAG", "HOUSEHOLD": "go"}
+    df = Tables(spark, sf).customer.select("c_custkey", F.concat(F.expr(_by("c_nationkey", STACKS)), F.lit(" "), F.expr(_by("c_mktsegment", words))).alias("t"))
+    df = df.select("c_custkey", enrich.tag_skills(F.col("t")).alias("s"))
+    return df.select("c_custkey", F.array_join("s", ",").alias("skills"), F.array_join(enrich.skill_clusters(F.col("s")), ",").alias("clusters"))
 
 
 # ---- aggregates
@@ -627,9 +664,9 @@ def labels_of(spark, sf):
     return Tables(spark, sf).orders.select("o_orderkey", enrich.label(kind, vocabulary.REMOTE_LABELS).alias("remote"), enrich.label(level, vocabulary.SENIORITY_LABELS).alias("level"))
 
 
-@query(f"SELECT o_orderkey FROM (SELECT o_orderkey, {_chosen(TITLES, 0, 'o_orderkey')} AS t FROM orders) WHERE regexp_matches(t, '(?i){vocabulary.TECH_TITLE}')")
+@query(f"SELECT o_orderkey FROM ({_TITLES}) WHERE regexp_matches(t, '(?i){vocabulary.TECH_TITLE}')")
 def tech_gate(spark, sf):
-    return Tables(spark, sf).orders.select("o_orderkey", F.expr(_chosen(TITLES, 0, "o_orderkey")).alias("t")).where(feeds.tech(F.col("t"))).select("o_orderkey")
+    return _titles(spark, sf).where(feeds.tech(F.col("t"))).select("o_orderkey")
 
 
 @query("""
