@@ -20,7 +20,7 @@ def paid(jobs: DataFrame, rates: dict[str, float] | None = None) -> DataFrame:
 
 def exact_median(df: DataFrame, value: str, name: str = "median") -> DataFrame:
     """One row with the exact median of a column; 0 for no rows."""
-    return df.sparkSession.range(1).select().join(medians(df, [], value, name), how="left").select(F.coalesce(name, F.lit(0.0)).alias(name))
+    return df.sparkSession.range(1).select().join(F.broadcast(medians(df, [], value, name)), how="left").select(F.coalesce(name, F.lit(0.0)).alias(name))
 
 
 def median_by(df: DataFrame, key: str, value: str, least: int, k: int | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def headline(jobs: DataFrame, generated_at: Column, rates: dict[str, float] | No
         total.alias("roles"), F.countDistinct("company_slug").alias("companies"), kind("remote").alias("remote"), kind("hybrid").alias("hybrid"), kind("onsite").alias("onsite"),
         percent(kind("remote"), total).alias("remote_percent"), F.count_if(recent).alias("posted_this_week"),
     )
-    return got.crossJoin(exact_median(jobs.select(pay.alias("pay")), "pay", "median_pay"))
+    return got.crossJoin(F.broadcast(exact_median(jobs.select(pay.alias("pay")), "pay", "median_pay")))
 
 
 def company_names(df: DataFrame) -> DataFrame:

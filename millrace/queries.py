@@ -273,7 +273,7 @@ def price_summary(spark, sf):
 @query("SELECT coalesce(median(o_totalprice), 0.0) AS none, (SELECT coalesce(median(o_totalprice), 0.0) FROM orders) AS whole FROM orders WHERE o_totalprice < 0")
 def median_of_nothing(spark, sf):
     o = Tables(spark, sf).orders
-    return stats.exact_median(o.where("o_totalprice < 0"), "o_totalprice", "none").crossJoin(stats.exact_median(o, "o_totalprice", "whole"))
+    return stats.exact_median(o.where("o_totalprice < 0"), "o_totalprice", "none").crossJoin(F.broadcast(stats.exact_median(o, "o_totalprice", "whole")))
 
 
 @query("SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS orders_of, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS statuses FROM orders GROUP BY 1")

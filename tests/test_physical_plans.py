@@ -28,7 +28,7 @@ def test_top_k_is_a_take_ordered(spark, name):
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"theta_self"} - {n for n in entry.queries() if re.match(r"op\d+_|pipeline", n)}))
 def test_no_python_and_no_cartesian_product(spark, name):
     text = plan(entry.queries()[name](spark, SF))
-    assert not re.search(r"Python|Pandas|MapInArrow|ArrowEval|CartesianProduct", text)
+    assert not re.search(r"EvalPython|pythonUDF|Pandas|InArrow|ArrowEval|CartesianProduct", text)
 
 
 @pytest.mark.parametrize("name", ["facet_counts", "conditional_counts", "keep_first_dedupe", "keep_last_dedupe", "price_summary", "nest_collect"])
