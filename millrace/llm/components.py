@@ -15,10 +15,10 @@ from .shared import written
 
 
 def _is_star(edges: DataFrame) -> bool:
-    """Whether every node has one edge to a smaller root that has none itself."""
+    """Whether every node has one edge to a smaller root that has none itself. Every edge has its larger end first."""
     ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
     wrong = (F.sum("down") > 1) | ((F.max("down") == 1) & (F.max("up") == 1))
-    return edges.where("a <= b").isEmpty() and ends.groupBy("x").agg(wrong.alias("wrong")).where("wrong").isEmpty()
+    return ends.groupBy("x").agg(wrong.alias("wrong")).where("wrong").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def stars(links: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge that isn't itself the smallest of its component. ``edges``: two long columns."""
-    now = written(edges.toDF("a", "b").where("a <> b").distinct(), "edges")
+    down = edges.toDF("x", "y").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    now = written(down.distinct(), "edges")  # the half-steps keep the larger end first
     while not _is_star(now):
         now = written(_small_star(written(_large_star(now), "large-star")), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -15,7 +15,7 @@ A larger one is first split exactly (``split_clusters``): two sets at the thresh
 the other lack, and one more. So documents that have only a template in common part here, whatever buckets chained them. What is still large is confirmed
 in rounds over all tasks: every member is compared with a broadcast batch of pivots (together at most ``PIVOT_SHINGLES`` shingles, 32 MB, and their signatures, or one document's
 set if that is larger); the next pivots are the members outside
-the cluster's largest component, until each of them has been a pivot: one of a cluster at first, then eight times as many each round. A link between two components would have one end outside
+the cluster's largest component, until each of them has been a pivot: one of a cluster at first, then ``MORE_PIVOTS`` times as many each round, whose links are added to the components so far. A link between two components would have one end outside
 the largest, so no link is lost. Clusters of near copies need two or three rounds; else a round disposes of ``PIVOT_SHINGLES`` shingles of pivots, so rounds grow with the
 members that share a rare shingle and are still no near-duplicates.
 
@@ -46,6 +46,7 @@ PERCENT = 75
 SCREEN = 0.5  # least share of equal minima for an exact check: over six standard deviations under the threshold
 CLUSTER_DOCS, CLUSTER_SHINGLES = 500, 2_000_000
 PIVOT_SHINGLES, PIVOT_DOCS = 4_000_000, 50_000
+MORE_PIVOTS = 64  # how many times as many pivots of a cluster the next round has
 _RNG = np.random.default_rng(75)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -216,7 +217,7 @@ def _in_rounds(members: DataFrame) -> DataFrame:
     spark = members.sparkSession
     sizes = members.select("cluster", "_id", "n")
     done: DataFrame | None = None  # _id of all pivots so far
-    links: DataFrame | None = None
+    links: DataFrame | None = None  # the components so far and what the last pivots added
     each = 1  # pivots of one cluster: few at first, as they leave few others outside the largest component where copies are many
     while True:
         if links is None:  # nothing is known: the smallest id of each cluster goes first
@@ -229,7 +230,7 @@ def _in_rounds(members: DataFrame) -> DataFrame:
             todo = label.join(largest, "cluster").where("root <> top").select("cluster", "_id", "n").join(done, "_id", "left_anti")
         # as many pivots as the broadcast's bound allows, smallest ids first; at least one
         todo = todo.withColumn("place", F.row_number().over(W.partitionBy("cluster").orderBy("_id"))).where(F.col("place") <= each)
-        few, each = todo.orderBy("place", "_id").limit(PIVOT_DOCS).collect(), 8 * each
+        few, each = todo.orderBy("place", "_id").limit(PIVOT_DOCS).collect(), min(MORE_PIVOTS * each, PIVOT_DOCS)
         total, batch = 0, []
         for r in few:
             if batch and total + r["n"] > PIVOT_SHINGLES:
@@ -258,7 +259,7 @@ def _in_rounds(members: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
         new = members.select("cluster", "_id", "shingles").mapInArrow(run, "a long, b long")
-        links = written(new if links is None else links.union(new), "links")
+        links = written(new if links is None else roots.union(new), "links")
         done = tried if done is None else written(done.union(tried), "pivots")
 
 
