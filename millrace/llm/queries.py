@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and pipeline: each applies its operator to its whole table with production parameters."""
+"""The queries op1_ to op13_ and pipeline: each applies its operator to its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_pairs, line_dedup, lz_fingerprint, minhash, mixing, quality_rules, suffix_dedup, toxicity, url_filter
+from . import bpe, chat_pairs, decontaminate, line_dedup, lz_fingerprint, minhash, mixing, periodic_runs, quality_rules, spelling, suffix_dedup, toxicity, url_filter
 from .shared import public_id, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,9 +98,64 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(public_id().alias("doc_id"), "n_shingles", public_id("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_mixing, op4_lz_fingerprint, op5_toxicity, op6_url_filter, op7_bpe, op8_chat_pairs, op9_quality_rules, op10_minhash)}
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select(public_id().alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def tail_repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): from a word on that the id's crc32 tells, one text in ten repeats a stretch of its words to its end; such a text is given as its words joined by one space."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    drawn = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    cut = drawn.select("doc_id", "text", "g", words.alias("words")).select("*", F.size("words").cast("long").alias("n")).select("*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).alias("a"))
+    cut = cut.select("doc_id", "text", "words", "n", "a", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).alias("p"))
+    a, p = F.col("a").cast("int"), F.col("p").cast("int")
+    left = F.col("n").cast("int") - a
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil(left / p).cast("int"))), F.lit(1), left)
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.run_digests(tail_repeated(docs))
+    # (length, period) a and b compared by length_a * period_b and length_b * period_a, exactly; runs come by start and period, and the first of equals stays
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a))
+    told = found.select("*", best.alias("best"), F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "").alias("listed"))
+    return told.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"), damage=199)
+
+
+_OPS = (
+    op1_suffix_dedup, op2_line_dedup, op3_mixing, op4_lz_fingerprint, op5_toxicity, op6_url_filter, op7_bpe, op8_chat_pairs, op9_quality_rules, op10_minhash, op11_decontaminate, op12_periodic_runs, op13_spelling,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _OPS}
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_decontaminate": r"""
+WITH lowered AS (
+  SELECT 'd' AS side, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'i', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+told AS (SELECT side, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+items AS (SELECT id, w, least(len(w), 10) AS m FROM told WHERE side = 'i' AND len(w) > 0),
+wins AS (SELECT DISTINCT id AS item, m, array_to_string(w[s:s + m - 1], ' ') AS win FROM (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM items)),
+distinct_wins AS (SELECT DISTINCT m, win FROM wins),
+doc_wins AS (SELECT id, m, s, array_to_string(w[s:s + m - 1], ' ') AS win FROM (
+  SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM told, (SELECT DISTINCT m FROM wins) WHERE side = 'd' AND len(w) >= m)),
+found AS (SELECT id, m, s, win FROM doc_wins JOIN distinct_wins USING (m, win)),
+hit AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(s, s + m)) AS p FROM found) GROUP BY id),
+named AS (SELECT DISTINCT f.id, CAST(item AS VARCHAR) AS item FROM (SELECT DISTINCT id, m, win FROM found) f JOIN wins USING (m, win)),
+listed AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM named GROUP BY id)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM told LEFT JOIN hit USING (id) LEFT JOIN listed USING (id) WHERE side = 'd'
+""",
     "op2_line_dedup": r"""
 WITH split AS (
   SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),

@@ -113,12 +113,13 @@ SIEVE_BITS = 1 << 26
 class Sieve:
     """A Bloom filter over (_id, _th) pairs of at most ``SIEVE_BITS`` bits (8 MB): keeps rows that can't match out of a shuffle.
 
-    It lets every wanted pair through, and others at a rate that rises as the wanted ones outgrow it; a join follows it."""
+    It lets every wanted pair through, and others at a rate that rises as the wanted ones outgrow it; a join follows it.
+    own: two hashes of a row of ``wanted``, where it has other columns than the pair."""
 
-    def __init__(self, wanted: DataFrame) -> None:
+    def __init__(self, wanted: DataFrame, own: tuple[Column, Column] | None = None) -> None:
         n = wanted.count()
         self.bits = min(SIEVE_BITS, 1 << max(12, (16 * n).bit_length()))
-        h1, h2 = self.hashes()
+        h1, h2 = own or self.hashes()
         at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.pmod(h1.bitwiseAND(F.lit(2**40 - 1)) + k * h2.bitwiseAND(F.lit(2**40 - 1)), F.lit(self.bits))))
         words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
         self.words = np.zeros(self.bits >> 6, np.int64)

@@ -19,9 +19,9 @@ _WEIGHTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED496
 BLOCK = 250_000  # bytes hashed at once
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end bytes of the words of all texts; a text's bounds end a word."""
-    ink = _INK[data]
+def word_spans(data: np.ndarray, offs: np.ndarray, letters: np.ndarray = _INK) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end bytes of the words of all texts; a text's bounds end a word. letters: which of the 256 bytes stand in words."""
+    ink = letters[data]
     start = ink.copy()
     start[1:] &= ~ink[:-1]
     inner = offs[(offs > 0) & (offs < len(data))]
