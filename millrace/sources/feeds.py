@@ -1,7 +1,7 @@
 """Board feeds: one parser per provider from landed answers (sources.schemas.PAGES, DETAILS) to slug and RAW_POSTING columns.
 
-Fetching is apart (sources.boards); a feed that failed has no rows here and isn't among the polled sources, so its jobs don't close.
-Lists keep the order they were met in: (query, page, position).
+Fetching is apart (sources.crawl); a feed that failed has no rows here and isn't among the polled sources, so its jobs don't close.
+Lists keep the order they were met in, as ``ord``: query, page, position (and place in a list within). Of postings with one id the last one counts (plans.ingest).
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from .schemas import DETAIL, LIST, RAW_POSTING
 DETAIL_CAP = 50
 
 
-def postings(df: DataFrame, **cols: Column) -> DataFrame:
-    """slug and every RAW_POSTING column in its type, null where a feed hasn't it."""
-    return df.select("slug", *((cols.get(f.name) if f.name in cols else F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_POSTING))
+def postings(df: DataFrame, place: Column | None = None, **cols: Column) -> DataFrame:
+    """slug, ord (from ``place``, by default the entry's own) and every RAW_POSTING column in its type, null where a feed hasn't it."""
+    place = F.col("ord") if place is None else place
+    return df.select("slug", F.array(place["query"], place["page"], place["pos"]).alias("ord"), *((cols.get(f.name) if f.name in cols else F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_POSTING))
 
 
 def entries(pages: DataFrame, provider: str, field: str | None) -> DataFrame:
@@ -35,10 +36,10 @@ def entries(pages: DataFrame, provider: str, field: str | None) -> DataFrame:
     return pages.select("slug", "query", "page", F.posexplode(items)).select("slug", F.struct("query", "page", "pos").alias("ord"), F.col("col").alias("j"))
 
 
-def with_details(df: DataFrame, details: DataFrame, provider: str, key: Column) -> DataFrame:
-    """Each entry with its detail as ``d``; one that failed leaves it null."""
-    d = details.select("slug", F.col("key").alias("_key"), F.from_json("body", DETAIL[provider]).alias("d"))
-    return df.withColumn("_key", key).join(keep_first(d, ["slug", "_key"], [F.col("d").isNull()]), ["slug", "_key"], "left").drop("_key")
+def with_details(df: DataFrame, details: DataFrame, provider: str) -> DataFrame:
+    """Each listed entry with its detail (by ``key``) as ``d``; one that failed leaves it null."""
+    d = details.select("slug", "key", F.from_json("body", DETAIL[provider]).alias("d"))
+    return df.join(keep_first(d, ["slug", "key"], [F.col("d").isNull()]), ["slug", "key"], "left")
 
 
 def capped(df: DataFrame, cap: int = DETAIL_CAP, order: str = "place") -> DataFrame:
@@ -97,14 +98,18 @@ def ashby(pages: DataFrame, details: DataFrame | None = None) -> DataFrame:
     ))
 
 
-def workable(pages: DataFrame, details: DataFrame) -> DataFrame:
+def workable_listed(pages: DataFrame) -> DataFrame:
     url = F.coalesce("j.application_url", "j.shortlink", "j.url")
-    e = with_details(entries(pages, "workable", "jobs").where(present(url).isNotNull()), details, "workable", F.col("j.shortcode"))
+    return entries(pages, "workable", "jobs").where(present(url).isNotNull()).withColumns({"url": url, "place": F.col("ord"), "key": F.col("j.shortcode")})
+
+
+def workable(pages: DataFrame, details: DataFrame) -> DataFrame:
+    e = with_details(workable_listed(pages), details, "workable")
     html = joined("\n", F.col("d.description"), F.col("d.requirements"), F.col("d.benefits"))
     place = F.when(F.col("d.location").isNotNull(), joined(", ", *(F.col(f"d.location.{c}") for c in ("city", "region", "country")))).otherwise(joined(", ", *(F.col(f"j.{c}") for c in ("city", "state", "country"))))
     flag = F.coalesce("d.remote", "j.telecommuting")
     return postings(
-        e.withColumn("html", html), external_id=F.col("j.shortcode"), title=trim(F.col("j.title")), description_html=F.col("html"), description_text=text_of(F.col("html")), apply_url=url, location_raw=place,
+        e.withColumn("html", html), external_id=F.col("j.shortcode"), title=trim(F.col("j.title")), description_html=F.col("html"), description_text=text_of(F.col("html")), apply_url=F.col("url"), location_raw=place,
         remote_type=F.coalesce(mode(F.col("d.workplace"), **PLAIN_MODES), F.when(flag, "remote")), remote_hint=flag, employment_type=F.col("j.employment_type"), posted_at=timestamp(F.col("j.published_on")),
     )
 
@@ -138,8 +143,12 @@ def teamtailor(pages: DataFrame, details: DataFrame | None = None) -> DataFrame:
 SECTIONS = ["companyDescription", "jobDescription", "qualifications", "additionalInformation"]
 
 
+def smartrecruiters_listed(pages: DataFrame) -> DataFrame:
+    return entries(pages, "smartrecruiters", "content").withColumns({"place": F.col("ord"), "key": F.col("j.id")})
+
+
 def smartrecruiters(pages: DataFrame, details: DataFrame) -> DataFrame:
-    e = with_details(entries(pages, "smartrecruiters", "content"), details, "smartrecruiters", F.col("j.id"))
+    e = with_details(smartrecruiters_listed(pages), details, "smartrecruiters")
     e = e.withColumns({"html": joined("\n", *(F.try_element_at("d.jobAd.sections", F.lit(s))["text"] for s in SECTIONS)), "loc": F.coalesce("d.location", "j.location")})
     whole = present(F.array_join(F.filter(F.transform(F.split(F.coalesce("loc.fullLocation", F.lit("")), ","), trim), lambda x: x != ""), ", "))
     place = F.coalesce(whole, joined(", ", F.col("loc.city"), F.col("loc.region"), F.upper("loc.country")))
@@ -161,29 +170,36 @@ def slug_part(k: int, parts: int, what: str) -> Column:
     return F.when(ok, F.get(own, k)).otherwise(F.raise_error(F.concat(F.lit(f"slug must be {what}, got "), "slug")).cast("string"))
 
 
+def workday_listed(pages: DataFrame) -> DataFrame:
+    e = entries(pages, "workday", "jobPostings").withColumn("key", F.col("j.externalPath")).where(present(F.col("key")).isNotNull())
+    return capped(keep_last_in_first_place(e, ["slug", "key"], F.col("ord")).where(tech(F.col("j.title"))))
+
+
 def workday(pages: DataFrame, details: DataFrame) -> DataFrame:
     tenant, dc, site = (slug_part(k, 3, "tenant:dc:site") for k in range(3))
-    e = entries(pages, "workday", "jobPostings").withColumn("path", F.col("j.externalPath")).where(present(F.col("path")).isNotNull())
-    e = capped(keep_last_in_first_place(e, ["slug", "path"], F.col("ord")).where(tech(F.col("j.title"))))
-    e = with_details(e, details, "workday", F.col("path")).withColumn("d", F.col("d.jobPostingInfo"))
+    e = with_details(workday_listed(pages), details, "workday").withColumns({"d": F.col("d.jobPostingInfo"), "path": F.col("key")})
     base = F.concat(F.lit("https://"), tenant, F.lit("."), dc, F.lit(".myworkdayjobs.com/"), site)
     return postings(
-        e, external_id=F.coalesce(F.get("j.bulletFields", 0), F.col("d.jobReqId"), F.col("path")), title=trim(F.coalesce("d.title", "j.title")), description_html=present(F.col("d.jobDescription")),
+        e, F.col("place"), external_id=F.coalesce(F.get("j.bulletFields", 0), F.col("d.jobReqId"), F.col("path")), title=trim(F.coalesce("d.title", "j.title")), description_html=present(F.col("d.jobDescription")),
         description_text=text_of(F.col("d.jobDescription")), apply_url=F.coalesce(F.col("d.externalUrl"), F.concat(base, "path")), location_raw=F.coalesce("d.location", "j.locationsText"),
         employment_type=F.col("d.timeType"), posted_at=timestamp(F.col("d.startDate")),
     )
 
 
+def oracle_listed(pages: DataFrame) -> DataFrame:
+    outer = entries(pages, "oracle", "items").select("slug", "ord", F.posexplode("j.requisitionList").alias("n", "r"))
+    place = F.struct("ord.query", "ord.page", F.struct("ord.pos", "n").alias("pos")).alias("ord")
+    e = outer.select("slug", place, F.col("r").alias("j"), F.col("r.Id").alias("key")).where(present(F.col("key")).isNotNull())
+    return capped(keep_last_in_first_place(e, ["slug", "key"], F.col("ord")).where((present(F.col("j.Title")).isNotNull()) & tech(F.col("j.Title"))))
+
+
 def oracle(pages: DataFrame, details: DataFrame) -> DataFrame:
     host, site = (slug_part(k, 2, "host:site") for k in range(2))
-    outer = entries(pages, "oracle", "items").select("slug", "ord", F.posexplode("j.requisitionList").alias("n", "r"))
-    e = outer.select("slug", F.struct("ord", "n").alias("ord"), F.col("r").alias("j"), F.col("r.Id").alias("id")).where(present(F.col("id")).isNotNull())
-    e = capped(keep_last_in_first_place(e, ["slug", "id"], F.col("ord")).where((present(F.col("j.Title")).isNotNull()) & tech(F.col("j.Title"))))
-    e = with_details(e, details, "oracle", F.col("id")).withColumn("d", F.get("d.items", 0))
+    e = with_details(oracle_listed(pages), details, "oracle").withColumns({"d": F.get("d.items", 0), "id": F.col("key")})
     e = e.withColumn("html", joined("\n", F.col("d.ExternalDescriptionStr"), F.col("d.ExternalResponsibilitiesStr"), F.col("d.ExternalQualificationsStr")))
     more = F.array_join(F.filter(F.transform("j.secondaryLocations", lambda s: present(s["Name"])), lambda x: x.isNotNull()), "; ")
     return postings(
-        e, external_id=F.col("id"), title=trim(F.col("j.Title")), description_html=F.col("html"), description_text=text_of(F.col("html")),
+        e, F.struct("place.query", "place.page", F.col("place.pos.n").alias("pos")), external_id=F.col("id"), title=trim(F.col("j.Title")), description_html=F.col("html"), description_text=text_of(F.col("html")),
         apply_url=F.concat(F.lit("https://"), host, F.lit("/hcmUI/CandidateExperience/en/sites/"), site, F.lit("/job/"), "id"),
         location_raw=present(F.coalesce(F.col("j.PrimaryLocation"), F.col("d.PrimaryLocation"), more)), posted_at=timestamp(F.coalesce("j.PostedDate", "d.PostedDate")),
     )
@@ -195,21 +211,31 @@ def eightfold(pages: DataFrame, details: DataFrame | None = None) -> DataFrame:
     e = keep_last_in_first_place(e, ["slug", "id"], F.col("ord")).where((present(F.col("j.name")).isNotNull()) & tech(F.col("j.name")))
     when = lambda c: F.when(F.col(c) > 0, F.timestamp_seconds(c))
     return postings(
-        e, external_id=F.col("id"), title=trim(F.col("j.name")), description_html=present(F.col("j.job_description")), description_text=text_of(F.col("j.job_description")),
+        e, F.col("place"), external_id=F.col("id"), title=trim(F.col("j.name")), description_html=present(F.col("j.job_description")), description_text=text_of(F.col("j.job_description")),
         apply_url=F.coalesce(F.col("j.canonicalPositionUrl"), F.concat(F.lit("https://"), host, F.lit("/careers/job/"), "id")), location_raw=F.coalesce(F.col("j.location"), F.array_join("j.locations", "; ")),
         posted_at=when("j.t_create"), updated_at=when("j.t_update"), remote_type=mode(F.col("j.work_location_option"), remote="remote", hybrid="hybrid", on_site="onsite", onsite="onsite"),
     )
 
 
+LINK = r"/jobs/([0-9]+)/[A-Za-z0-9._~%-]+/job"
+
+
+def icims_host() -> Column:
+    return F.when(F.contains("slug", F.lit(".")), F.col("slug")).otherwise(F.concat("slug", F.lit(".icims.com")))
+
+
+def icims_listed(pages: DataFrame) -> DataFrame:
+    found = pages.select("slug", "query", "page", F.posexplode(F.regexp_extract_all("body", F.lit(LINK), F.lit(0))).alias("pos", "key"))
+    return capped(found.groupBy("slug", "key").agg(F.min(F.struct("query", "page", "pos")).alias("place")))
+
+
 def icims(pages: DataFrame, details: DataFrame) -> DataFrame:
     """Search pages name detail paths; a detail page that is missing or whose first posting isn't technical drops its row."""
-    host = F.when(F.contains("slug", F.lit(".")), F.col("slug")).otherwise(F.concat("slug", F.lit(".icims.com")))
-    found = pages.select("slug", "query", "page", F.posexplode(F.regexp_extract_all("body", F.lit(r"/jobs/([0-9]+)/[A-Za-z0-9._~%-]+/job"), F.lit(0))).alias("pos", "path"))
-    paths = capped(found.groupBy("slug", "path").agg(F.min(F.struct("query", "page", "pos")).alias("place")))
-    d = details.select("slug", F.col("key").alias("path"), F.get(job_postings(F.col("body")), 0).alias("j"))
-    e = paths.join(d, ["slug", "path"]).where((present(F.col("j.title")).isNotNull()) & tech(F.col("j.title")))
+    host = icims_host()
+    d = details.select("slug", "key", F.get(job_postings(F.col("body")), 0).alias("j"))
+    e = icims_listed(pages).join(d, ["slug", "key"]).withColumn("path", F.col("key")).where((present(F.col("j.title")).isNotNull()) & tech(F.col("j.title")))
     return postings(
-        e, external_id=F.coalesce(F.col("j.identifier"), F.split("path", "/")[2]), title=trim(F.col("j.title")), description_html=F.col("j.description_html"), description_text=text_of(F.col("j.description_html")),
+        e, F.col("place"), external_id=F.coalesce(F.col("j.identifier"), F.split("path", "/")[2]), title=trim(F.col("j.title")), description_html=F.col("j.description_html"), description_text=text_of(F.col("j.description_html")),
         apply_url=F.coalesce(F.col("j.url"), F.concat(F.lit("https://"), host, "path")), location_raw=F.col("j.location"), posted_at=F.col("j.date_posted"),
     )
 
@@ -219,12 +245,14 @@ def successfactors(pages: DataFrame, details: DataFrame | None = None) -> DataFr
     e = e.withColumn("key", F.coalesce("j.url", "j.identifier", "j.title"))
     e = keep_first(e, ["slug", "key"], [F.col("query"), F.col("page"), F.col("pos")])
     return postings(
-        e, external_id=F.coalesce("j.identifier", "key"), title=trim(F.col("j.title")), description_html=F.col("j.description_html"), description_text=text_of(F.col("j.description_html")),
+        e, F.struct("query", "page", "pos"), external_id=F.coalesce("j.identifier", "key"), title=trim(F.col("j.title")), description_html=F.col("j.description_html"), description_text=text_of(F.col("j.description_html")),
         apply_url=F.coalesce("j.url", "url"), location_raw=F.col("j.location"), posted_at=F.col("j.date_posted"),
     )
 
 
 Parser = Callable[..., DataFrame]
+#: What a provider's list pages name, as (slug, key, place, ...): the postings that need a detail request.
+LISTED: dict[str, Callable[[DataFrame], DataFrame]] = {"workable": workable_listed, "smartrecruiters": smartrecruiters_listed, "workday": workday_listed, "oracle": oracle_listed, "icims": icims_listed}
 #: Providers with a parser; a company of any other is skipped.
 PARSERS: dict[str, Parser] = {f.__name__: f for f in (greenhouse, lever, ashby, workable, recruitee, teamtailor, smartrecruiters, workday, oracle, eightfold, icims, successfactors)}
 

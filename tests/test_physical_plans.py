@@ -25,7 +25,7 @@ def test_top_k_is_a_take_ordered(spark, name):
     assert "TakeOrderedAndProject" in plan(q.QUERIES[name](spark, SF))
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"theta_self"} - {n for n in entry.queries() if re.match(r"op\d+_|pipeline", n)}))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"theta_self"} - {n for n in entry.queries() if re.match(r"op\d+_|pipeline|crawl_", n)}))
 def test_no_python_and_no_cartesian_product(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert not re.search(r"EvalPython|pythonUDF|Pandas|InArrow|ArrowEval|CartesianProduct", text)
