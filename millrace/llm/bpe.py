@@ -6,18 +6,23 @@ and merges there, leftmost first. Where merging a pair can't bring forth a pair
 vocabulary is loaded), all its occurrences in a word merge in one round; else only the leftmost does, as a heap ordered by rank
 and position would.
 
+A word of more than ``LONG`` bytes (a base64 line, minified code) is merged alone, by the same rounds: its pairs' places are listed by rank, a round takes the
+list of the lowest rank, and only pairs beside a merge are looked up again, so its work grows with its length and not with its square.
+
 Pre-tokenisation never joins over white space, so a text is split at white space and each different chunk is encoded
-once in a bounded per-worker cache; ids of texts are gathered from it. Texts of any length are encoded whole.
+once in a bounded per-worker cache; ids of texts are gathered from it. Texts of any length are encoded whole, in some 20 bytes of memory a character.
 
 The file is the tokenizers library's JSON, read on each worker from ``path`` (installed with the Python packages, so every
-executor has it). Special tokens that stand in a text become their own ids, as that library does.
+executor has it). Special tokens that stand in a text become their own ids, as that library does. The normaliser and the pre-tokeniser are built in (``NORMALIZER``,
+``PRE_TOKENIZER``); a file that names others is refused.
 
-Defined cases: null or empty text gives no ids and decodes to an empty text; other columns pass through; an empty table
-gives an empty result.
+Defined cases: null or empty text gives no ids and decodes to an empty text; other columns pass through, one named ids or decoded is replaced; each row is encoded alone, so repeated
+rows and ids change nothing; of equal pairs in a word the leftmost merges first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -40,6 +45,16 @@ CHUNK = regex.compile(rf"[^{SPACE}]+")
 NONE = np.iinfo(np.int32).max
 CACHE_ENTRIES, CACHE_IDS = 250_000, 2_500_000
 SLICE_CHARS = 1_000_000
+LONG = 4096
+#: The sections of a vocabulary file that this module implements.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def byte_symbols() -> list[str]:
@@ -69,9 +84,14 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        known = {"normalizer": NORMALIZER, "pre_tokenizer": PRE_TOKENIZER, "decoder": None}
+        odd = [k for k, own in known.items() if spec.get(k) != own] + [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+        if odd or not model.get("end_of_word_suffix"):
+            raise ValueError(f"{path}: this encoder knows other settings of " + ", ".join(odd or ["end_of_word_suffix"]))
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_begins = {t[0] for t in self.special}
         tokens = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in [*vocab.items(), *self.special.items()]:
             tokens[i] = token
@@ -106,6 +126,12 @@ class Vocabulary:
         sym[ends - 1] = self.final[data[ends - 1]]
         word = np.repeat(np.arange(len(raw)), length)
         done_sym, done_word = [], []
+        for k in np.flatnonzero(length > LONG).tolist():
+            done_sym.append(self.merged_alone(sym[ends[k] - length[k] : ends[k]]))
+            done_word.append(np.full(len(done_sym[-1]), k))
+        if done_sym:
+            short = np.repeat(length <= LONG, length)
+            sym, word = sym[short], word[short]
         while len(sym):
             key = (sym[:-1] << 32) | sym[1:]
             at = np.searchsorted(self.keys, key)
@@ -137,10 +163,67 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return sym[order].astype(np.int32), np.bincount(word, minlength=len(raw))
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs, ``NONE`` where they don't merge, and what they merge into."""
+        key = (left << 32) | right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.rank[at], NONE), self.into[at]
+
+    def merged_alone(self, sym: np.ndarray) -> np.ndarray:
+        """The symbols of one long word, merged."""
+        n = len(sym)
+        sym = np.append(sym, -1)
+        following, before = np.arange(1, n + 2), np.arange(-1, n)  # places of the neighbours; n is behind the last
+        rank = np.full(n + 1, NONE)  # of the pair that begins at a place
+        rank[: n - 1] = self.ranks(sym[: n - 1], sym[1:n])[0]
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            if not len(places):
+                return
+            own = rank[places]
+            order = np.argsort(own, kind="stable")
+            places, own = places[order], own[order]
+            cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            for a, b, r in zip(cuts.tolist(), np.append(cuts[1:], len(own)).tolist(), own[cuts].tolist(), strict=True):
+                if r != NONE:
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(heap, r)
+                    waiting[r].append(places[a:b])
+
+        put(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            hit = places[rank[places] == r]  # others were merged or have another pair by now
+            if not len(hit):
+                continue
+            if self.safe[r]:  # every other one of each run of overlapping hits
+                begins = np.append(True, following[hit[:-1]] != hit[1:])
+                in_run = np.arange(len(hit)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+                hit = hit[in_run % 2 == 0]
+            else:
+                put(hit[1:])
+                hit = hit[:1]
+            right = following[hit]
+            sym[hit] = self.ranks(sym[hit[:1]], sym[right[:1]])[1]
+            rank[right], alive[right] = NONE, False
+            after = following[right]
+            following[hit], before[after] = after, hit
+            left = before[hit]
+            changed = np.unique(np.concatenate([left[left >= 0], hit]))
+            rank[changed] = np.where(following[changed] < n, self.ranks(sym[changed], sym[np.minimum(following[changed], n - 1)])[0], NONE)
+            put(changed)
+        return sym[:n][alive]
+
     def pieces(self, chunk: str) -> list[str | int]:
         """Pieces of a chunk without white space; special tokens as their ids."""
         out: list[str | int] = []
-        for part in self.special_at.split(chunk) if self.special_at and "<" in chunk else [chunk]:
+        for part in self.special_at.split(chunk) if not self.special_begins.isdisjoint(chunk) else [chunk]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
