@@ -5,10 +5,13 @@ Every order is one entry of a board; a customer is a board where a feed caps or
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import content_hash, job_id
+from .operators.tables import Versions, shared_folder
 from .plans import ingest, pages, stats
 from .sources import feeds
 from .sources.schemas import JOB_SKILLS, JOBS, RAW_POSTING
@@ -330,3 +333,26 @@ WITH {_RUN} SELECT count(*) FILTER (posted) AS fetched, count(*) FILTER (changed
 """)
 def ingest_counters(spark, sf):
     return _run(spark, sf)[2]
+
+
+@query("""
+WITH o AS (SELECT 'j_' || substr(sha1(o_custkey || '|' || o_orderkey), 1, 16) AS id, o_orderstatus <> 'P' AS first, o_totalprice > 50000 AS second, 'AI Engineer ' || o_orderpriority AS t, o_orderpriority < '3' AS changes FROM orders)
+SELECT id, CASE WHEN second AND changes THEN t || ' II' ELSE t END AS title, NOT second AS is_closed, CAST(CASE WHEN NOT first THEN 2 ELSE 1 END AS INTEGER) AS ingested_day FROM o WHERE first OR second
+""")
+def committed_runs(spark, sf):
+    """Two runs published as versions one after the other, the second made twice; the latest version's jobs."""
+    o = orders(spark, sf)
+    store = Versions(spark, f"{shared_folder(spark)}/millrace-store-{uuid.uuid4().hex}")
+    title = text("=AI Engineer ", "o_orderpriority")
+    targets = o.select(F.col("c").alias("ats_token"), F.lit("lever").alias("ats_provider"), text("=c", "c").alias("company_id"), text("=s", "c").alias("source_id"), F.col("c").alias("slug")).distinct()
+
+    def postings(df: DataFrame, says: Column) -> DataFrame:
+        has = {"external_id": F.col("k"), "title": says, "description_text": F.lit("Python"), "apply_url": text("=u", "k")}
+        return df.select(F.col("c").alias("slug"), F.lit("lever").alias("ats_provider"), *(has.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_POSTING))
+
+    at = lambda day: F.to_timestamp(F.lit(f"2025-06-0{day} 00:00:00"))
+    second = postings(o.where("o_totalprice > 50000"), F.when(F.col("o_orderpriority") < "3", F.concat(title, F.lit(" II"))).otherwise(title))
+    ingest.commit(store, "first", postings(o.where(~is_("P")), title), targets, targets.select("source_id"), at(1))
+    for _ in range(2):
+        version = ingest.commit(store, "second", second, targets, targets.select("source_id"), at(2))
+    return store.read("jobs", JOBS, version).select("id", "title", "is_closed", F.dayofmonth("ingested_at").alias("ingested_day"))
