@@ -53,6 +53,13 @@ class Folder:
         finally:
             stream.close()
 
+    def move(self, draft, target, overwrite: bool) -> None:
+        """One rename within the file system; where the target is there, it replaces it or fails."""
+        kinds = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE if overwrite else kinds.NONE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(draft, target, how)
+
     def put(self, name: str, text: str) -> bool:
         """A file put in place whole; false if one of that name is there already."""
         draft = self.child(f".{uuid.uuid4().hex}")
@@ -61,11 +68,8 @@ class Folder:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        place = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
-        never = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        never[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
         try:
-            place.rename(draft, self.child(name), never)
+            self.move(draft, self.child(name), False)
             return True
         except Exception as e:
             self.fs.delete(draft, False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -10,6 +12,7 @@ from ..functions import enrich
 from ..functions import vocabulary as v
 from ..functions.text import present, strip_html
 from ..operators.relational import counts, with_default_lists
+from ..operators.tables import Folder
 
 NEW = "INTERVAL 7 DAYS"
 
@@ -61,3 +64,51 @@ def read_document(spark: SparkSession, path: str, jobs: StructType, companies: S
     """(jobs, companies) of a snapshot document, with the schemas given and ``ord`` the place in the document."""
     one = spark.read.schema(StructType([StructField("jobs", ArrayType(jobs)), StructField("companies", ArrayType(companies))])).option("multiLine", True).json(path)
     return tuple(one.select(F.posexplode(c).alias("ord", "r")).select("ord", "r.*") for c in ("jobs", "companies"))
+
+
+#: The arrays of a document written in slices; an element's line begins with as many blanks as its array's place, so that lines can be told apart wherever a split begins.
+ARRAYS = ["jobs", "companies", "clusters", "seniority", "remoteType"]
+
+
+def write_slices(open_: DataFrame, companies: DataFrame, rates: dict[str, float], generated_at: Column, path: str) -> None:
+    """The document of ``document`` as one file at ``path``, one element a line: each array is sorted by ranges and its tasks write slices of it; the driver then joins the slices,
+    a stream at a time, and puts the file in place by a rename, so that readers see the old document or the new one. Nothing is gathered in a task or the driver."""
+    spark = open_.sparkSession
+    facets = facet_counts(open_)
+    parts = [(open_, "ord"), (companies, "id"), (facets["clusters"], None), (facets["seniority"], "id"), (facets["remote_type"], "id")]
+    drafts = Folder(spark, f"{path}.{uuid.uuid4().hex}")
+    head = spark.range(1).select(F.to_json(F.struct(generated_at.alias("generatedAt"), F.create_map(*(F.lit(x) for kv in rates.items() for x in kv)).alias("fxRates"))).alias("h")).first()["h"]
+    try:
+        for name, (df, order) in zip(ARRAYS, parts, strict=True):
+            rows = df.orderBy(order) if order else df
+            row = F.to_json(F.struct(*[c for c in df.columns if c != "ord"]))
+            rows.select(F.concat(F.lit("," + " " * (1 + ARRAYS.index(name))), row).alias("value")).write.text(f"{drafts.path}/{name}")
+        own = drafts.child("document")
+        out = drafts.fs.create(own, False)
+        say = lambda text: out.write(bytearray(text.encode()))
+        say(head[:-1])
+        for name in ARRAYS:
+            say((',\n"facets":{\n' if name == "clusters" else ",\n") + f'"{name}":[\n')
+            first = True
+            folder = Folder(spark, f"{drafts.path}/{name}")
+            for slice_ in (n for n in folder.names() if n.startswith("part-")):
+                if folder.fs.getFileStatus(folder.child(slice_)).getLen():
+                    stream = folder.fs.open(folder.child(slice_))
+                    if first:
+                        stream.seek(1)  # the comma before the first element
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, folder.conf, False)
+                    stream.close()
+                    first = False
+            say("]")
+        say("}}\n")
+        out.close()
+        drafts.move(own, spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    finally:
+        drafts.delete()
+
+
+def read_slices(spark: SparkSession, path: str, array: str, schema: StructType) -> DataFrame:
+    """The elements of one array of a document that ``write_slices`` made, read in splits of the file."""
+    line = F.regexp_replace("value", "^,", "")
+    blanks = " " * (1 + ARRAYS.index(array))
+    return spark.read.text(path).select(line.alias("value")).where(F.startswith("value", F.lit(blanks + "{"))).select(F.from_json("value", schema).alias("r")).select("r.*")

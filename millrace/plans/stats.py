@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import enrich
 from ..functions import vocabulary as v
@@ -63,6 +64,11 @@ def stats(jobs: DataFrame, generated_at: Column, rates: dict[str, float] | None
     }
 
 
+def leaders(board: DataFrame, *order: Column) -> DataFrame:
+    """A leaderboard, of a page's length, with ``rank`` from 1."""
+    return board.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))
+
+
 def spread(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, low, median, high) of a column."""
     ends = df.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
