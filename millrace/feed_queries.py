@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import content_hash, job_id
-from .operators.tables import Versions, shared_folder
+from .operators.tables import Versions, settled, shared_folder
 from .plans import ingest, pages, stats
 from .sources import feeds
 from .sources.schemas import JOB_SKILLS, JOBS, RAW_POSTING
@@ -203,9 +203,9 @@ w AS (SELECT *, CASE WHEN raw BETWEEN 10000 AND 2000000 THEN raw END AS pay FROM
 RATES = {"GBP": 1.5}
 
 
-def jobs(spark, sf: str) -> DataFrame:
+def jobs(spark, sf: str, of: DataFrame | None = None) -> DataFrame:
     price, status, kind = F.col("o_totalprice"), F.col("o_orderstatus"), F.col("o_orderpriority")
-    return orders(spark, sf).select(
+    return (orders(spark, sf) if of is None else of).select(
         F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ord"), F.col("c").alias("company_slug"), text("=Customer ", "c").alias("company_name"), price.alias("salary_min"), F.when(~is_("P"), price * 1.5).alias("salary_max"),
         F.when(is_("F"), "GBP").when(is_("O"), "usd").alias("salary_currency"), F.when(kind == "1-URGENT", "month").when(kind == "2-HIGH", "year").alias("salary_period"),
         F.when(is_("F"), "remote").when(is_("O"), "hybrid").otherwise("onsite").alias("remote_type"), F.substring(kind, 3, 100).alias("country"),
@@ -262,6 +262,56 @@ def stats_countries(spark, sf):
     return _stats(spark, sf)["countries"]
 
 
+# ---- statistics moved by a run: some orders come with it, some close, some change their price; the SQL counts all of what is open after it
+
+_AFTER = "open AS (SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 7 <> 0), " + _JOBS.replace("FROM orders", "FROM open")
+
+
+def _moved(spark, sf: str) -> DataFrame:
+    old = orders(spark, sf)
+    new = old.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")))
+    state = lambda o, closed: o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("string").alias("content_hash"), closed.alias("is_closed"), F.lit("in").alias("classification"))
+    first, gone = old.where("o_orderkey % 5 <> 0"), F.col("o_orderkey") % 7 == 0
+    ids = stats.touched(state(first, F.lit(False)), state(new, gone))
+    return stats.moved(stats.tallies(jobs(spark, sf, first), RATES), jobs(spark, sf, first), jobs(spark, sf, new.where(~gone)), ids, RATES)
+
+
+def _moved_boards(spark, sf: str) -> dict[str, DataFrame]:
+    return stats.boards(settled(_moved(spark, sf), "tallies"), stats.company_names(jobs(spark, sf)), F.to_timestamp(F.lit("1998-01-01 00:00:00")))
+
+
+@query(f"""
+WITH {_AFTER}, s AS (SELECT pay, unnest(regexp_split_to_array(o_orderpriority, '[- ]')) AS skill FROM w JOIN orders ON o_orderkey = id)
+SELECT 'jobs' AS board, '' AS key, CAST(NULL AS DOUBLE) AS value, count(*) AS n FROM w UNION ALL SELECT 'company', company, NULL, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'remote', remote, NULL, count(*) FROM w GROUP BY 2
+UNION ALL SELECT 'seniority', seniority, NULL, count(*) FROM w WHERE seniority IS NOT NULL GROUP BY 2 UNION ALL SELECT 'country', country, NULL, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'skill', skill, NULL, count(*) FROM s GROUP BY 2
+UNION ALL SELECT 'posted', '', CAST(epoch_us(posted) AS DOUBLE), count(*) FROM w GROUP BY 3 UNION ALL SELECT 'pay', '', pay, count(*) FROM w WHERE pay IS NOT NULL GROUP BY 3
+UNION ALL SELECT 'company_pay', company, pay, count(*) FROM w WHERE pay IS NOT NULL GROUP BY 2, 3 UNION ALL SELECT 'skill_pay', skill, pay, count(*) FROM s WHERE pay IS NOT NULL GROUP BY 2, 3
+""")
+def moved_tallies(spark, sf):
+    return _moved(spark, sf)
+
+
+@query(f"""
+WITH {_AFTER} SELECT count(*) AS roles, count(DISTINCT company) AS companies, count(*) FILTER (remote = 'remote') AS remote, count(*) FILTER (remote = 'hybrid') AS hybrid, count(*) FILTER (remote = 'onsite') AS onsite,
+  CAST(floor(count(*) FILTER (remote = 'remote') * 100.0 / count(*) + 0.5) AS BIGINT) AS remote_percent, median(pay) AS median_pay, count(*) FILTER (TIMESTAMP '1998-01-01' - posted <= INTERVAL 7 DAY) AS posted_this_week FROM w
+""")
+def moved_headline(spark, sf):
+    return _moved_boards(spark, sf)["headline"].withColumn("remote_percent", F.col("remote_percent").cast("long"))
+
+
+@query(f"""
+WITH {_AFTER}, g AS (SELECT company, median(pay) AS value, count(pay) AS n FROM w WHERE pay IS NOT NULL GROUP BY 1 HAVING count(pay) >= 3 ORDER BY 2 DESC, 1 LIMIT 5)
+SELECT company AS company_slug, 'Customer ' || company AS company_name, value, n, value / greatest(1, max(value) OVER ()) AS share FROM g
+""")
+def moved_top_paying(spark, sf):
+    return _moved_boards(spark, sf)["top_paying"]
+
+
+@query(f"WITH {_AFTER}, g AS (SELECT country, count(*) AS n FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6) SELECT country, n, n / greatest(1, max(n) OVER ()) AS share FROM g")
+def moved_countries(spark, sf):
+    return _moved_boards(spark, sf)["countries"]
+
+
 @query(f"""
 WITH {_JOBS}, r AS (SELECT *, coalesce(hi, lo) * CASE per WHEN 'month' THEN 12.0 ELSE 1.0 END * CASE cur WHEN 'GBP' THEN 1.27 ELSE 1.0 END AS top FROM j), t AS (SELECT *, CASE WHEN top > 2000000 THEN 0.0 ELSE top END AS rank_pay FROM r)
 SELECT id, row_number() OVER (ORDER BY rank_pay DESC, ord) - 1 AS home_rank FROM t ORDER BY rank_pay DESC, ord LIMIT 50

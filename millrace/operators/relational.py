@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .tables import settled
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key: partial aggregation before the shuffle, no sort of a whole group."""
@@ -47,40 +49,43 @@ def facets(df: DataFrame, plain: list[str], exploded: list[str]) -> DataFrame:
     return df.select(F.explode(F.concat(*own)).alias("e")).select("e.*").where("value IS NOT NULL").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
-BINS = 4096
+def value_counts(df: DataFrame, keys: list[str], value: str, name: str = "n") -> DataFrame:
+    """(keys, value as double, name): how often each value occurs, nulls skipped. Counts of several inputs add up, so they may be kept and merged."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count("*").alias(name))
 
 
-def medians(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
-    """(keys, name): the exact median of ``value`` (double) for each key; keys without values are absent, no keys give one row or none.
+def spreads(counted: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
+    """(keys, n, low, median, high): exact, from rows that say how often (``n``) a value occurs; each value once a key. No keys give one row or none; null keys are a group.
 
-    No group's values are gathered: rows are counted by value first, values are dealt to ``BINS`` equal ranges between a key's least and largest,
-    the counts of the ranges tell where the middle is, and only the values of that range are ordered."""
+    The rows are dealt to ranges of keys and values of about equal numbers, whose borders Spark samples from them, and are written so, which reads the input once. Running counts of
+    the ranges tell which of them hold a key's middle, and only these are ordered. So a task never orders more than a range, however values crowd or stray."""
     ks = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
-    own = df.select(*(F.col(k).alias(a) for k, a in zip(keys or [None], ks, strict=True) if k), *([] if keys else [F.lit(0).alias("_k0")]), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    each = own.groupBy(*ks, "_v").agg(F.count("*").alias("_c"))
-    span = own.groupBy(*ks).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_all"))
-
-    def beside(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
-        """``a`` with the columns of ``b`` for the same values of ``cols``, null keys included."""
-        other = {c: f"{c}_" for c in cols}
-        return a.join(b.withColumnsRenamed(other), [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()]).drop(*other.values())
-
-    place = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
-    dealt = beside(each, span, ks).select(*ks, "_v", "_c", "_all", F.floor(F.coalesce(F.nanvl(place, F.lit(0.0)), F.lit(0.0)) * (BINS - 1)).alias("_bin"))
-    lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    named = [F.col(k).alias(a) for k, a in zip(keys, ks, strict=True)] if keys else [F.lit(0).alias("_k0")]
+    own = counted.select(*named, F.col(value).cast("double").alias("_v"), F.col(n).cast("long").alias("_c"))
+    dealt = settled(own.repartitionByRange(*ks, "_v").withColumn("_range", F.spark_partition_id()), "ranges")
+    whole, lower, upper = W.partitionBy(*ks), F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
 
     def middle(rows: DataFrame, by: list[str], order: str, before: Column) -> DataFrame:
         """The rows that hold the lower or the upper middle, by running counts."""
-        upto = before + F.sum("_c").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-        rows = rows.withColumn("_upto", upto)
+        rows = rows.withColumn("_upto", before + F.sum("_c").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
         held = lambda at: (F.col("_upto") >= at) & (F.col("_upto") - F.col("_c") < at)
         return rows.withColumns({"_lo": held(lower), "_hi": held(upper)}).where("_lo OR _hi")
 
-    found = middle(dealt.groupBy(*ks, "_bin").agg(F.sum("_c").alias("_c"), F.max("_all").alias("_all")), ks, "_bin", F.lit(0))
-    found = found.select(*ks, "_bin", (F.col("_upto") - F.col("_c")).alias("_before"))
-    near = beside(dealt, found, [*ks, "_bin"])
-    ends = middle(near, [*ks, "_bin"], "_v", F.col("_before")).groupBy(*ks).agg(F.max(F.when(F.col("_lo"), F.col("_v"))).alias("_a"), F.max(F.when(F.col("_hi"), F.col("_v"))).alias("_b"))
-    return ends.select(*(F.col(a).alias(k) for k, a in zip(keys, ks, strict=False)), ((F.col("_a") + F.col("_b")) / 2).alias(name))
+    sums = dealt.groupBy(*ks, "_range").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    sums = sums.withColumns({"_all": F.sum("_c").over(whole), "_low": F.min("_low").over(whole), "_high": F.max("_high").over(whole)})
+    found = middle(sums, ks, "_range", F.lit(0)).withColumn("_before", F.col("_upto") - F.col("_c")).drop("_c", "_upto", "_lo", "_hi")
+    found = found.withColumnsRenamed({c: f"{c}_" for c in [*ks, "_range"]})
+    near = dealt.join(found, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ks] + [F.col("_range") == F.col("_range_")])
+    ends = middle(near, [*ks, "_range"], "_v", F.col("_before")).groupBy(*ks).agg(
+        F.max(F.when(F.col("_lo"), F.col("_v"))).alias("_a"), F.max(F.when(F.col("_hi"), F.col("_v"))).alias("_b"), F.max("_all").alias("_all"), F.max("_low").alias("_low"), F.max("_high").alias("_high"),
+    )
+    back = [F.col(a).alias(k) for k, a in zip(keys, ks, strict=False)]
+    return ends.select(*back, F.col("_all").alias("n"), F.col("_low").alias("low"), ((F.col("_a") + F.col("_b")) / 2).alias("median"), F.col("_high").alias("high"))
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, name): the exact median of ``value`` (double) for each key; keys without values are absent, no keys give one row or none. See ``spreads``."""
+    return spreads(value_counts(df, keys, value, "_n"), keys, value, "_n").select(*keys, F.col("median").alias(name))
 
 
 def share_of_max(df: DataFrame, value: str, name: str = "share") -> DataFrame:

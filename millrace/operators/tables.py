@@ -141,6 +141,10 @@ class Versions:
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{folder}/{name}")
         named = (self.manifest(base)["tables"] if base else {}) | {name: f"{folder}/{name}" for name in tables}
+        return self.publish(run, folder, named, base)
+
+    def publish(self, run: str, folder: str, named: dict[str, str], base: int) -> int:
+        """Put the manifest after ``base`` in place, whose new files are in ``folder``; if that number is taken, they are deleted."""
         if not self.manifests.put(f"{base + 1:010d}.json", json.dumps({"run": run, "base": base, "tables": named})):
             Folder(self.spark, f"{self.root}/{folder}").delete()
             raise NotCommitted(f"version {base + 1} is taken; run {run} has to be made again from it")

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+from collections.abc import Iterator
+from functools import partial
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..functions import enrich
 from ..functions import vocabulary as v
 from ..functions.text import SPACE, display_text, joined, present, site_url, trim
 from ..operators.relational import containing, counts, ranked
+from ..operators.tables import Versions
 
 #: Topic pages: cluster id, path, heading.
 TOPICS = [
     ("llm", "llm-engineer-jobs", "LLM Engineer"), ("rag", "rag-engineer-jobs", "RAG / Retrieval"), ("agents", "ai-agent-jobs", "AI Agents"),
     ("evals", "ai-eval-jobs", "Evals & Quality"), ("inference", "inference-engineer-jobs", "Inference / Serving"), ("finetuning", "fine-tuning-jobs", "Fine-tuning"),
 ]
+FILES = "slug string, bytes long"
 HOME, LISTED, STACK, SKILL_WALL, CARD_SKILLS = 50, 50, 14, 16, 4
 _PAY = ("salary_min", "salary_max", "salary_currency", "salary_period")
 
@@ -108,6 +119,17 @@ def topic_pages(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     return got.withColumn("position", F.when(F.col("job_id").isNotNull(), F.row_number().over(W.partitionBy("id").orderBy(F.col("ord").asc_nulls_last())).cast("long")))
 
 
+def topic_heads(pages: DataFrame, jobs: DataFrame, k: int = LISTED) -> DataFrame:
+    """Every topic page with the number of its jobs (``n``) and its first ``k`` jobs with their position from 1; pages without jobs stay, with 0.
+
+    Each task keeps ``k`` jobs a topic before the shuffle, so a topic that holds most jobs sends no more than others."""
+    job = jobs.withColumnRenamed("id", "job_id") if "job_id" not in jobs.columns else jobs
+    every = job.withColumn("id", F.explode(F.array_distinct("clusters")))
+    first = every.withColumn("position", F.row_number().over(W.partitionBy("id").orderBy(F.col("ord").asc_nulls_last())).cast("long")).where(F.col("position") <= k)
+    sized = pages.join(every.groupBy("id").agg(F.count("*").alias("n")), "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return sized.join(first, "id", "left")
+
+
 def job_json(jobs: DataFrame) -> Column:
     """A job's structured-data object; absent fields are left out."""
     pay = F.struct(F.lit("MonetaryAmount").alias("@type"), F.coalesce("salary_currency", F.lit("USD")).alias("currency"),
@@ -126,9 +148,9 @@ def company_json() -> Column:
 
 
 def topic_json(pages: DataFrame, site: str) -> DataFrame:
-    """(id, json): the item list of each topic page: all jobs counted, the first listed."""
+    """(id, json): the item list of each topic page (of ``topic_heads``, or ``topic_pages``): all jobs counted, the first listed."""
     item = F.struct(F.lit("ListItem").alias("@type"), "position", site_url(F.lit(site), F.concat(F.lit("/jobs/"), "slug")).alias("url"), F.concat("title", F.lit(" — "), "company_name").alias("name"))
-    got = pages.groupBy("id", "label").agg(F.count("job_id").alias("n"), F.array_sort(F.collect_list(F.when(F.col("position") <= LISTED, F.struct("position", item.alias("i"))))).alias("items"))
+    got = pages.groupBy("id", "label").agg((F.max("n") if "n" in pages.columns else F.count("job_id")).alias("n"), F.array_sort(F.collect_list(F.when(F.col("position") <= LISTED, F.struct("position", item.alias("i"))))).alias("items"))
     doc = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("ItemList").alias("@type"), F.col("label").alias("name"), F.col("n").alias("numberOfItems"), F.transform("items", lambda x: x["i"]).alias("itemListElement"))
     return got.select("id", F.to_json(doc).alias("json"))
 
@@ -154,6 +176,59 @@ def sitemap(paths: DataFrame, site: str) -> DataFrame:
 ROBOTS = "User-agent: *\nAllow: /\n\nSitemap: {site}/sitemap.xml\n"
 
 
+def page_file(slug: str) -> str:
+    """Where a page lies: one of 4096 folders by its slug's crc32, so that no folder holds them all; signs other than letters, digits and ``_.-~`` are escaped as
+    in URLs, with ``=`` for ``%``, and so is a first ``.`` or ``_``, which would hide the file."""
+    name = quote(slug, safe="").replace("%", "=")
+    return f"{zlib.crc32(slug.encode()) & 0xFFF:03x}/{f'={ord(name[0]):X}{name[1:]}' if name[:1] in ('.', '_') else name}.json"
+
+
+def _write_files(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One file a row, each put in place whole: a task that runs twice writes the same files again."""
+    store, base = fs.FileSystem.from_uri(folder)
+    made: set[str] = set()
+    for batch in batches:
+        rows = batch.to_pylist()
+        for r in rows:
+            path = f"{base}/{page_file(r['slug'])}"
+            above = path.rsplit("/", 1)[0]
+            if above not in made:
+                store.create_dir(above, recursive=True)
+                made.add(above)
+            draft = f"{above}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(draft) as out:
+                out.write(r["payload"].encode())
+            store.move(draft, path)
+        yield pa.RecordBatch.from_pydict({"slug": pa.array([r["slug"] for r in rows], pa.string()), "bytes": pa.array([len(r["payload"].encode()) for r in rows], pa.int64())})
+
+
+def publish_pages(store: Versions, run: str, pages: DataFrame) -> int:
+    """Write (slug, payload) as one file a page and publish them as a version of ``store``; its number.
+
+    Tasks write many pages each. Until the manifest is in place readers see the version before; after it, pages that are gone are gone. A run that was published isn't written again.
+    Of several payloads of a slug the least is taken; pages without slug or payload are left out; a name too long for
+    the file system fails the run, and nothing is published. ``files`` lists every page with its size."""
+    done = store.of_run(run)
+    if done is not None:
+        return done
+    base, folder = store.latest(), f"data/{uuid.uuid4().hex}"
+    one = pages.where("slug <> '' AND payload IS NOT NULL").groupBy("slug").agg(F.min("payload").alias("payload"))
+    one.mapInArrow(partial(_write_files, f"{store.root}/{folder}/pages"), FILES).write.parquet(f"{store.root}/{folder}/files")
+    return store.publish(run, folder, {"pages": f"{folder}/pages", "files": f"{folder}/files"}, base)
+
+
+def read_pages(store: Versions, version: int | None = None) -> DataFrame:
+    """(slug, payload) of a version, the latest by default; none before the first."""
+    version = store.latest() if version is None else version
+    if not version:
+        return store.spark.createDataFrame([], "slug string, payload string")
+    if store.read("files", StructType.fromDDL(FILES), version).isEmpty():
+        return store.spark.createDataFrame([], "slug string, payload string")
+    got = store.spark.read.option("pathGlobFilter", "*.json").text(f"{store.root}/{store.manifest(version)['tables']['pages']}/*", wholetext=True)
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    return got.select(F.url_decode(F.replace(name, F.lit("="), F.lit("%"))).alias("slug"), F.col("value").alias("payload"))
+
+
 def write_pages(df: DataFrame, slug: str, path: str) -> None:
-    """One folder a page, JSON payloads."""
+    """One folder a page, JSON payloads: for a few pages. ``publish_pages`` writes many."""
     df.write.mode("overwrite").partitionBy(slug).json(path)

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .feed_queries import _JOBS, _stats, is_, orders, text
+from .functions import enrich
 from .operators import relational as rel
 from .operators import state
-from .operators.tables import shared_folder
+from .operators.tables import Versions, shared_folder
 from .plans import ingest, pages, snapshot, stats
-from .sources import seeds
+from .sources import scorer, seeds
 from .sources.schemas import COMPANIES, JOBS, SOURCES
 
 QUERIES: dict = {}
@@ -203,3 +204,45 @@ def document_jobs(spark, sf):
     snapshot.write_slices(open_, companies, {"GBP": 1.25}, F.to_timestamp(F.lit("1998-01-01 00:00:00")), path)
     got = snapshot.read_slices(spark, path, "jobs", open_.drop("ord").schema)
     return got.select("id", "title", F.array_join("skills", ",").alias("skills"), F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), "salary_min")
+
+
+# ---- pages as files, published twice; topics with their first jobs; a second scorer that fails at times
+
+
+@query("SELECT 'a page/' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '+é' ELSE '' END AS slug, '{\"name\":\"' || c_name || '\"}' AS payload FROM customer WHERE c_custkey % 3 <> 0")
+def published_pages(spark, sf):
+    """The second run has no pages of every third customer, and other payloads."""
+    store = Versions(spark, f"{shared_folder(spark)}/millrace-pages-{uuid.uuid4().hex}")
+    c, k = customers(spark, sf), F.col("c_custkey")
+    slug = F.concat(F.lit("a page/"), "c", F.when(k % 2 == 0, "+é").otherwise(""))
+    pages.publish_pages(store, "first", c.select(slug.alias("slug"), F.lit("{}").alias("payload")))
+    pages.publish_pages(store, "second", c.where(k % 3 != 0).select(slug.alias("slug"), F.to_json(F.struct(F.col("c_name").alias("name"))).alias("payload")))
+    return pages.read_pages(store)
+
+
+@query("""
+WITH j AS (SELECT o_orderkey, unnest(list_distinct(string_split(o_orderpriority, '-'))) AS id FROM orders), p AS (SELECT id, o_orderkey, row_number() OVER (PARTITION BY id ORDER BY o_orderkey) AS position, count(*) OVER (PARTITION BY id) AS n FROM j)
+SELECT t.id, coalesce(n, 0) AS n, o_orderkey AS job_id, position FROM (VALUES ('URGENT'), ('LOW'), ('NEVER')) t(id) LEFT JOIN p ON p.id = t.id AND position <= 50
+""")
+def topic_heads(spark, sf):
+    jobs = orders(spark, sf).select(F.col("o_orderkey").alias("job_id"), F.col("o_orderkey").alias("ord"), F.split("o_orderpriority", "-").alias("clusters"))
+    return pages.topic_heads(spark.createDataFrame([("URGENT",), ("LOW",), ("NEVER",)], "id string"), jobs).select("id", "n", "job_id", "position")
+
+
+def _model(rows: list[dict]) -> list[str]:
+    """A stand-in for a model: says yes to sizes that divide by 3; where 1 remains its confidence can't be, where 2 does it says something else; a batch with a size of 50 fails."""
+    if any(r["text"] == "50" for r in rows):
+        raise TimeoutError
+    said = ('{"inScope": true, "confidence": 0.75, "country": "de"}', '{"inScope": true, "confidence": 7}', "sorry")
+    return [said[int(r["text"]) % 3] for r in rows]
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN true END AS in_scope, CASE WHEN p_size % 3 = 0 THEN 0.75 END AS confidence, CASE WHEN p_size % 3 = 0 THEN 'DE' END AS country FROM part")
+def scorer_answers(spark, sf):
+    """Two runs: the second asks what the first had no answer to."""
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("title"), F.col("p_size").cast("string").alias("text"), F.lit("x").alias("location_raw"))
+    first = scorer.Remembered(scorer.client(_model, 1), spark.createDataFrame([], scorer.MEMO))
+    first(rows.where("p_partkey % 2 = 0"))
+    second = scorer.Remembered(scorer.client(_model, 1), first.after)
+    got = second(rows).select("id", enrich.scorer_record(F.col("record")).alias("x"))
+    return got.select(F.col("id").cast(rows.schema["p_partkey"].dataType).alias("id"), "x.in_scope", "x.confidence", "x.country")
