@@ -177,10 +177,10 @@ ROBOTS = "User-agent: *\nAllow: /\n\nSitemap: {site}/sitemap.xml\n"
 
 
 def page_file(slug: str) -> str:
-    """Where a page lies: one of 4096 folders by its slug's crc32, so that no folder holds them all; signs other than letters, digits and ``_.-~`` are escaped as
+    """Where a page lies: one of 256 folders by its slug's crc32, so that no folder holds them all; signs other than letters, digits and ``_.-~`` are escaped as
     in URLs, with ``=`` for ``%``, and so is a first ``.`` or ``_``, which would hide the file."""
     name = quote(slug, safe="").replace("%", "=")
-    return f"{zlib.crc32(slug.encode()) & 0xFFF:03x}/{f'={ord(name[0]):X}{name[1:]}' if name[:1] in ('.', '_') else name}.json"
+    return f"{zlib.crc32(slug.encode()) & 0xFF:02x}/{f'={ord(name[0]):X}{name[1:]}' if name[:1] in ('.', '_') else name}.json"
 
 
 def _write_files(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
