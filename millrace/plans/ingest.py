@@ -13,7 +13,8 @@ from ..functions import vocabulary as v
 from ..functions.text import content_hash, dedup_key, job_id, job_slug, normalized_title, number_text, present, slugify, strip_html
 from ..operators import state
 from ..operators.tables import Versions, settled
-from ..sources.schemas import JOB_SKILLS, JOBS, SKILLS
+from ..sources.schemas import JOB_SKILLS, JOBS, SKILLS, flat
+from ..sources.scorer import MEMO, Remembered
 
 #: A second scorer: (job id, title, description, location) rows in, id and a JSON object (enrich.scorer_record) out.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -105,13 +106,16 @@ def run(jobs: DataFrame, bridge: DataFrame, postings: DataFrame, targets: DataFr
 def commit(store: Versions, name: str, postings: DataFrame, targets: DataFrame, polled: DataFrame, run_start: Column, scorer: Scorer | None = None) -> int:
     """The version of the tables jobs, job_skills, skills and run_counters that the run ``name`` published: all of them, or none if it fails.
 
-    A run that was committed before is not made again; the version it published is returned. Earlier versions stay readable."""
+    A run that was committed before is not made again; the version it published is returned. Earlier versions stay readable. With a scorer, its answers are kept as the table
+    scorer_memo, and it is asked only for texts that have none there."""
     done = store.of_run(name)
     if done is not None:
         return done
     base = store.latest()
-    jobs, links, counters = run(store.read("jobs", JOBS, base), store.read("job_skills", JOB_SKILLS, base), postings, targets, polled, run_start, scorer)
+    memory = Remembered(scorer, store.read("scorer_memo", flat(MEMO), base)) if scorer else None
+    jobs, links, counters = run(store.read("jobs", JOBS, base), store.read("job_skills", JOB_SKILLS, base), postings, targets, polled, run_start, memory)
     links = settled(links, "links")
     named = links.select(F.col("skill_id").alias("id")).distinct().join(skills(store.spark), "id")
     known = state.insert_absent(store.read("skills", SKILLS, base), named, "id")
-    return store.commit(name, {"jobs": jobs, "job_skills": links, "skills": known, "run_counters": counters}, base)
+    asked = {"scorer_memo": memory.after} if memory else {}
+    return store.commit(name, {"jobs": jobs, "job_skills": links, "skills": known, "run_counters": counters, **asked}, base)

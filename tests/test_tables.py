@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators import tables
 from millrace.plans import ingest
 from millrace.sources.schemas import JOB_SKILLS, JOBS, RAW_POSTING, flat
+from millrace.sources.scorer import MEMO, client
 
 ROWS = flat("id string, n bigint")
 
@@ -74,6 +75,25 @@ def test_a_run_is_committed_once(spark, tmp_path):
     assert tuple(c) == (3, 1, 1, 1, 1, 0)
 
 
+def _yes(rows):
+    if any("Platform" in r["title"] for r in rows):
+        raise OSError
+    return ['{"inScope": true, "confidence": 0.9, "city": "Bonn"}'] * len(rows)
+
+
+def test_answers_of_the_scorer_are_kept(spark, tmp_path):
+    store = tables.Versions(spark, f"file://{tmp_path}/s")
+    targets = spark.createDataFrame([("acme", "lever", "c", "s", "acme")], "ats_token string, ats_provider string, company_id string, source_id string, slug string")
+    says, at = [("1", "Tools Engineer"), ("2", "Tools Engineer"), ("3", "Platform Engineer")], lambda d: F.lit(dt.datetime(2025, 1, d))
+    ingest.commit(store, "r1", posted(spark, *says), targets, targets.select("source_id"), at(1), client(_yes, 1, 1))
+    memo = store.read("scorer_memo", flat(MEMO)).collect()
+    assert len(memo) == 1 and {r.external_id: r.city for r in store.read("jobs", JOBS).collect()} == {"1": "Bonn", "2": "Bonn", "3": None}
+    never = lambda rows: ["no"] * len(rows)
+    ingest.commit(store, "r2", posted(spark, *says, ("4", "Tools Engineer")), targets, targets.select("source_id"), at(2), client(never, 1, 1))
+    assert store.read("scorer_memo", flat(MEMO)).collect() == memo
+    assert {r.external_id: r.city for r in store.read("jobs", JOBS).collect()} == {"1": "Bonn", "2": "Bonn", "3": None, "4": "Bonn"}
+
+
 def test_a_run_reads_each_input_once(spark, tmp_path):
     posted(spark, ("1", "AI Engineer")).write.parquet(f"{tmp_path}/postings")
     spark.createDataFrame([], JOBS).write.parquet(f"{tmp_path}/jobs")
