@@ -15,7 +15,7 @@ A larger one is first split exactly (``split_clusters``): two sets at the thresh
 the other lack, and one more. So documents that have only a template in common part here, whatever buckets chained them. What is still large is confirmed
 in rounds over all tasks: every member is compared with a broadcast batch of pivots (together at most ``PIVOT_SHINGLES`` shingles, 32 MB, and their signatures, or one document's
 set if that is larger); the next pivots are the members outside
-the cluster's largest component, until each of them has been a pivot: one of a cluster at first, then ``MORE_PIVOTS`` times as many each round, whose links are added to the components so far. A link between two components would have one end outside
+the cluster's largest component, until each of them has been a pivot: one of a cluster at first, then about ``MORE_PIVOTS`` times as many each round, chosen by hash without ordering a cluster, whose links are added to the components so far. A link between two components would have one end outside
 the largest, so no link is lost. Clusters of near copies need two or three rounds; else a round disposes of ``PIVOT_SHINGLES`` shingles of pivots, so rounds grow with the
 members that share a rare shingle and are still no near-duplicates.
 
@@ -34,7 +34,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .components import components, stars
 from .shared import Sieve, keyed, mix, packed, public_id, sieved, unpacked, unzip, written
@@ -228,9 +227,14 @@ def _in_rounds(members: DataFrame) -> DataFrame:
             count = label.groupBy("cluster", "root").agg(F.count("*").alias("c"))
             largest = count.groupBy("cluster").agg(F.max_by("root", F.struct("c", "root")).alias("top"))
             todo = label.join(largest, "cluster").where("root <> top").select("cluster", "_id", "n").join(done, "_id", "left_anti")
-        # as many pivots as the broadcast's bound allows, smallest ids first; at least one
-        todo = todo.withColumn("place", F.row_number().over(W.partitionBy("cluster").orderBy("_id"))).where(F.col("place") <= each)
-        few, each = todo.orderBy("place", "_id").limit(PIVOT_DOCS).collect(), min(MORE_PIVOTS * each, PIVOT_DOCS)
+        # as many pivots as the broadcast's bound allows, at least one; a cluster's own are its smallest id and about ``each`` others. Their
+        # turns are a cluster's size times an id's share of the hash range, about the places they had in a random order, so no cluster is ordered as a whole
+        todo = written(todo.select("cluster", "_id", "n"), "todo")
+        left = todo.groupBy("cluster").agg(F.count("*").alias("c"), F.min("_id").alias("first"))
+        share = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(2**31)) / 2**31
+        turn = F.when(F.col("_id") == F.col("first"), -1.0).otherwise(share * F.col("c"))
+        todo = todo.join(left, "cluster").select("_id", "n", turn.alias("turn")).where(F.col("turn") < each)
+        few, each = todo.orderBy("turn", "_id").limit(PIVOT_DOCS).collect(), min(MORE_PIVOTS * each, PIVOT_DOCS)
         total, batch = 0, []
         for r in few:
             if batch and total + r["n"] > PIVOT_SHINGLES:

@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs; components against union-find; large clusters against small ones."""
 
+import inspect
 import random
 import re
 
@@ -70,6 +71,15 @@ def test_against_all_pairs(spark, monkeypatch, limits):
     check(spark, made(rng, 200, 12) + [(200_000 + i, " ".join(template + [f"own{i}-{k}" for k in range(rng.randrange(15, 60))])) for i in range(50)])
 
 
+def test_rounds_without_an_order_of_the_cluster(spark, monkeypatch):
+    """Many chained near copies and no room for a cluster in one task: rounds with few pivots find the links of all pairs, and no plan numbers a cluster's rows."""
+    for name, v in (("CLUSTER_DOCS", 2), ("PIVOT_SHINGLES", 2_000), ("PIVOT_DOCS", 15), ("MORE_PIVOTS", 3)):
+        monkeypatch.setattr(minhash, name, v)
+    words = [f"w{k}" for k in range(400)]
+    check(spark, [(i, " ".join(words[i : i + 60])) for i in range(0, 120, 3)] + [(1000 + i, " ".join(words[200:300] + [f"z{i}"] * (i % 3))) for i in range(60)])
+    assert "row_number" not in inspect.getsource(minhash)
+
+
 def test_templates_are_split(spark):
     """One cluster of a template with own endings and a few copies: only the copies stay together."""
     rows = [(1, i, sorted([*range(100), *range(1000 * (i // 2), 1000 * (i // 2) + 40), 10**6 + i])) for i in range(1, 21)]
