@@ -114,9 +114,18 @@ def job_slug(slug: Column, title: Column, external_id: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """A double as a script prints it: no trailing ``.0``, no exponent below 1e21."""
-    whole = c.cast("decimal(38,0)").cast("string")
-    return F.when(c == F.floor(c), whole).when(c.isNotNull(), F.regexp_replace(F.format_string("%.12f", c), "0+$", ""))
+    """A double as a script prints it: the fewest digits that read back as the same number, no trailing ``.0``, exponents only under 1e-6 and from 1e21 (subnormal numbers may show more digits)."""
+    size = F.abs(c)
+    tries = [F.format_string(f"%.{digits}e", c) for digits in (14, 15, 16)]
+    short = F.coalesce(*(F.when(t.try_cast("double") == c, t) for t in tries))
+    exponent = F.regexp_replace(short, r"\.?0*e([+-])0*", "e$1")
+    fraction = F.regexp_replace(short.try_cast("decimal(38,22)").cast("string"), "0+$", "")
+    cases = [(c == 0, F.lit("0")), (F.isnan(c) | (size == float("inf")), c.cast("string")), ((size < 1e-6) | (size >= 1e21), exponent),
+             (F.rint(c) != c, fraction), (size < 1e15, c.cast("long").cast("string"))]
+    out = F.when(c.isNull(), None)
+    for case, shown in cases:
+        out = out.when(case, shown)
+    return out.otherwise(short.try_cast("decimal(38,0)").cast("string"))
 
 
 def content_hash(*parts: Column) -> Column:

@@ -88,7 +88,7 @@ def blocks(jobs: DataFrame, key: str = "id", text: str = "description_text") ->
     w = W.partitionBy(key).orderBy("pos")
     starts = ~F.col("bullet") | ~F.coalesce(F.lag("bullet").over(w), F.lit(False))
     runs = lines.withColumn("block", F.sum(starts.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    got = runs.groupBy(key, "block").agg(F.first("bullet").alias("list"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
+    got = runs.groupBy(key, "block").agg(F.bool_and("bullet").alias("list"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
     return got.select(key, "block", F.when(F.col("list"), "ul").otherwise("p").alias("type"), F.when(~F.col("list"), F.get("lines", 0)).alias("text"), F.when(F.col("list"), F.col("lines")).alias("items"))
 
 

@@ -184,36 +184,42 @@ def _matched(value: str, cases: list[tuple[str, str]], otherwise: str = "NULL")
     return "CASE " + " ".join(f"WHEN regexp_matches({value}, '{p}') THEN '{n}'" for n, p in cases) + f" ELSE {otherwise} END"
 
 
-_PLACES = f"SELECT c_custkey, {_by('c_nationkey', CITIES)} || {_by('c_mktsegment', MODES)} AS p FROM customer"
-_TITLES = f"SELECT o_orderkey, {_by('o_orderpriority', LEVELS)} || {_by('c_nationkey', NOUNS)} || {_by('c_mktsegment', FIELDS)} AS t FROM orders JOIN customer ON o_custkey = c_custkey"
-_TEXTS = f"SELECT c_custkey, {_by('c_nationkey', STACKS)} || ' ' || {_by('c_mktsegment', {'MACHINERY': 'Python', 'BUILDING': 'on AWS', 'AUTOMOBILE': 'and RAG', 'HOUSEHOLD': 'go'})} AS t FROM customer"
+PLACE = (("c_nationkey", CITIES), ("c_mktsegment", MODES))
+TITLE = (("o_orderpriority", LEVELS), ("c_nationkey", NOUNS), ("c_mktsegment", FIELDS))
+TEXT = (("c_nationkey", STACKS), ("c_mktsegment", {"MACHINERY": " Python", "BUILDING": " on AWS", "AUTOMOBILE": " and RAG", "HOUSEHOLD": " go"}))
 
 
-def _titles(spark: SparkSession, sf: str) -> DataFrame:
+def _spelt(parts: tuple) -> str:
+    """SQL for a text of every order."""
+    return f"SELECT o_orderkey, {' || '.join(_by(c, w) for c, w in parts)} AS t FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+def _texts(spark: SparkSession, sf: str, parts: tuple) -> DataFrame:
     t = Tables(spark, sf)
-    df = t.orders.select("o_orderkey", "o_orderpriority", F.col("o_custkey").alias("c_custkey")).join(t.customer.select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
-    return df.select("o_orderkey", F.concat(*(F.expr(_by(c, w)) for c, w in (("o_orderpriority", LEVELS), ("c_nationkey", NOUNS), ("c_mktsegment", FIELDS)))).alias("t"))
+    used = [c for c, _ in parts]
+    orders = t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), *(c for c in used if c[0] == "o"))
+    df = orders.join(t.customer.select("c_custkey", *(c for c in used if c[0] == "c")), "c_custkey")
+    return df.select("o_orderkey", F.concat(*(F.expr(_by(c, w)) for c, w in parts)).alias("t"))
 
 
 _COUNTRIES = [(n, "(?i)" + p) for n, p in vocabulary.COUNTRIES] + [("US", rf"\b({'|'.join(vocabulary.STATES)})\b")]
 
 
 @query(rf"""
-WITH l AS ({_PLACES}), f AS (SELECT *, trim(regexp_extract(p, '^[^,|/]*')) AS first FROM l)
-SELECT c_custkey, CASE WHEN trim(p) <> '' THEN {_matched("p", _COUNTRIES)} END AS country, CASE WHEN first <> '' AND NOT regexp_matches(first, '(?i)remote|hybrid|onsite|anywhere|global') THEN first END AS city,
+WITH l AS ({_spelt(PLACE)}), f AS (SELECT *, t AS p, trim(regexp_extract(t, '^[^,|/]*')) AS first FROM l)
+SELECT o_orderkey, CASE WHEN trim(p) <> '' THEN {_matched("p", _COUNTRIES)} END AS country, CASE WHEN first <> '' AND NOT regexp_matches(first, '(?i)remote|hybrid|onsite|anywhere|global') THEN first END AS city,
   CASE WHEN regexp_matches(lower(p), '\bhybrid\b') THEN 'hybrid' WHEN regexp_matches(lower(p), '\bremote\b') THEN 'remote' WHEN trim(p) <> '' THEN 'onsite' END AS remote_type FROM f
 """)
 def parse_location(spark, sf):
-    df = Tables(spark, sf).customer.select("c_custkey", F.concat(F.expr(_by("c_nationkey", CITIES)), F.expr(_by("c_mktsegment", MODES))).alias("p"))
-    return df.select("c_custkey", enrich.parse_location(F.col("p")).alias("p")).select("c_custkey", "p.country", "p.city", "p.remote_type")
+    return _texts(spark, sf, PLACE).select("o_orderkey", enrich.parse_location(F.col("t")).alias("p")).select("o_orderkey", "p.country", "p.city", "p.remote_type")
 
 
 _INSIDE = _matched("t", [*(("out", "(?i)" + p) for p in vocabulary.OUT_TITLES), *(("in", "(?i)" + p) for p in vocabulary.IN_TITLES)])
 
 
-@query(f"""WITH l AS ({_TITLES}) SELECT o_orderkey, {_matched("lower(t)", vocabulary.SENIORITY)} AS seniority, {_matched("' ' || lower(t) || ' '", vocabulary.ROLES, "'Other'")} AS role, {_INSIDE} AS classification FROM l""")
+@query(f"""WITH l AS ({_spelt(TITLE)}) SELECT o_orderkey, {_matched("lower(t)", vocabulary.SENIORITY)} AS seniority, {_matched("' ' || lower(t) || ' '", vocabulary.ROLES, "'Other'")} AS role, {_INSIDE} AS classification FROM l""")
 def classify_titles(spark, sf):
-    return _titles(spark, sf).select("o_orderkey", enrich.seniority(F.col("t")).alias("seniority"), enrich.role(F.col("t")).alias("role"), enrich.classify_title(F.col("t"))["classification"].alias("classification"))
+    return _texts(spark, sf, TITLE).select("o_orderkey", enrich.seniority(F.col("t")).alias("seniority"), enrich.role(F.col("t")).alias("role"), enrich.classify_title(F.col("t"))["classification"].alias("classification"))
 
 
 def _named(skill: str) -> str:
@@ -224,12 +230,10 @@ _SKILLS = ", ".join(f"CASE WHEN {_named(s)} THEN '{s}' END" for _, _, skills in
 _CLUSTERS = ", ".join(f"CASE WHEN {' OR '.join(map(_named, skills))} THEN '{c}' END" for c, _, skills in vocabulary.CLUSTERS)
 
 
-@query(f"""WITH l AS ({_TEXTS}) SELECT c_custkey, array_to_string(list_filter([{_SKILLS}], lambda x: x IS NOT NULL), ',') AS skills, array_to_string(list_filter([{_CLUSTERS}], lambda x: x IS NOT NULL), ',') AS clusters FROM l""")
+@query(f"""WITH l AS ({_spelt(TEXT)}) SELECT o_orderkey, array_to_string(list_filter([{_SKILLS}], lambda x: x IS NOT NULL), ',') AS skills, array_to_string(list_filter([{_CLUSTERS}], lambda x: x IS NOT NULL), ',') AS clusters FROM l""")
 def tag_skills(spark, sf):
-    words = {"MACHINERY": "Python", "BUILDING": "on AWS", "AUTOMOBILE": "and RAG", "HOUSEHOLD": "go"}
-    df = Tables(spark, sf).customer.select("c_custkey", F.concat(F.expr(_by("c_nationkey", STACKS)), F.lit(" "), F.expr(_by("c_mktsegment", words))).alias("t"))
-    df = df.select("c_custkey", enrich.tag_skills(F.col("t")).alias("s"))
-    return df.select("c_custkey", F.array_join("s", ",").alias("skills"), F.array_join(enrich.skill_clusters(F.col("s")), ",").alias("clusters"))
+    df = _texts(spark, sf, TEXT).select("o_orderkey", enrich.tag_skills(F.col("t")).alias("s"))
+    return df.select("o_orderkey", F.array_join("s", ",").alias("skills"), F.array_join(enrich.skill_clusters(F.col("s")), ",").alias("clusters"))
 
 
 # ---- aggregates
@@ -442,14 +446,18 @@ def pay_rank(spark, sf):
     return Tables(spark, sf).customer.select("c_custkey", enrich.pay_rank(F.col("c_acctbal"), none, F.lit("gbp"), F.lit("month")).alias("rank_pay"))
 
 
-@query("""
-WITH r AS (SELECT o_orderkey, o_totalprice AS p, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'GBP' WHEN 2 THEN 'EUR' ELSE 'CHF' END AS cur FROM orders WHERE o_totalprice >= 1000)
-SELECT o_orderkey, CASE cur WHEN 'USD' THEN '$' WHEN 'GBP' THEN '£' WHEN 'EUR' THEN '€' ELSE 'CHF ' END || CAST(CAST(floor(p / 1000 + 0.5) AS BIGINT) AS VARCHAR) || 'k–' || CAST(CAST(floor(p * 2 / 1000 + 0.5) AS BIGINT) AS VARCHAR) || 'k/yr' AS label FROM r
+def _shown(n: str) -> str:
+    return f"CASE WHEN {n} >= 1000 THEN CAST(CAST(floor({n} / 1000 + 0.5) AS BIGINT) AS VARCHAR) || 'k' ELSE regexp_replace(CAST({n} AS VARCHAR), '\\.0$', '') END"
+
+
+@query(f"""
+WITH r AS (SELECT o_orderkey, o_totalprice AS p, o_totalprice / 100 AS low, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'GBP' WHEN 2 THEN 'EUR' ELSE 'CHF' END AS cur FROM orders)
+SELECT o_orderkey, CASE WHEN p <> 0 THEN CASE cur WHEN 'USD' THEN '$' WHEN 'GBP' THEN '£' WHEN 'EUR' THEN '€' ELSE 'CHF ' END || {_shown("low")} || '–' || {_shown("p")} || '/yr' END AS label FROM r
 """)
 def format_pay(spark, sf):
     p, k = F.col("o_totalprice"), F.col("o_orderkey") % 4
     cur = F.when(k == 0, "USD").when(k == 1, "GBP").when(k == 2, "EUR").otherwise("CHF")
-    return Tables(spark, sf).orders.where(p >= 1000).select("o_orderkey", enrich.format_pay(p, p * 2, cur, F.lit("year")).alias("label"))
+    return Tables(spark, sf).orders.select("o_orderkey", enrich.format_pay(p / 100, p, cur, F.lit("year")).alias("label"))
 
 
 # ---- sets
@@ -664,9 +672,9 @@ def labels_of(spark, sf):
     return Tables(spark, sf).orders.select("o_orderkey", enrich.label(kind, vocabulary.REMOTE_LABELS).alias("remote"), enrich.label(level, vocabulary.SENIORITY_LABELS).alias("level"))
 
 
-@query(f"SELECT o_orderkey FROM ({_TITLES}) WHERE regexp_matches(t, '(?i){vocabulary.TECH_TITLE}')")
+@query(f"SELECT o_orderkey FROM ({_spelt(TITLE)}) WHERE regexp_matches(t, '(?i){vocabulary.TECH_TITLE}')")
 def tech_gate(spark, sf):
-    return _titles(spark, sf).where(feeds.tech(F.col("t"))).select("o_orderkey")
+    return _texts(spark, sf, TITLE).where(feeds.tech(F.col("t"))).select("o_orderkey")
 
 
 @query("""
@@ -702,9 +710,12 @@ def sitemap(spark, sf):
     return pages.sitemap(pages.sitemap_paths(jobs, small(spark, [("a", "a-jobs", "A")], "id string, path string, label string")), "https://site")
 
 
-@query("SELECT p_partkey, lower(p_name || ' ' || p_brand || ' ' || p_name || ' x ' || p_type) AS search, 'Other' AS role, 'x' AS first_skills FROM part WHERE NOT regexp_matches(lower(p_name), 'manager|lead|director|backend|data')")
+_ROLE = _matched("' ' || lower(p_name) || ' '", vocabulary.ROLES, "'Other'")
+
+
+@query(f"SELECT p_partkey, lower(p_name || ' ' || p_brand || ' ' || p_name || ' x ' || p_type) AS search, {_ROLE} AS role, 'x' AS first_skills FROM part")
 def search_cards(spark, sf):
-    part = Tables(spark, sf).part.where("NOT lower(p_name) RLIKE 'manager|lead|director|backend|data'")
+    part = Tables(spark, sf).part
     none, number = F.lit(None).cast("string"), F.lit(None).cast("double")
     jobs = part.select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("company_name"), F.array("p_name", F.lit("x")).alias("skills"), F.col("p_type").alias("location_raw"), F.lower("p_name").alias("normalized_title"),
                        number.alias("salary_min"), number.alias("salary_max"), none.alias("salary_currency"), none.alias("salary_period"))

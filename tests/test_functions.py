@@ -1,5 +1,7 @@
 """Hand-derived rows for the scalar functions."""
 
+import random
+from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,25 @@ def test_scorer_record(spark):
     assert got[1:] == [None, None, None]
     r = got[0]
     assert (r.in_scope, r.confidence, r.skills, r.country, r.city, r.salary_min, r.seniority) == (True, 0.6, ["RAG"], "US", None, 5.0, None)
+
+
+def test_number_text_is_the_shortest_round_trip(spark):
+    def script(x):
+        """From the shortest digits that Python prints, as a script lays them out."""
+        sign, digits, exponent = Decimal(repr(abs(x))).normalize().as_tuple()
+        digits, at = "".join(map(str, digits)), len(digits) + exponent
+        if x == 0:
+            return "0"
+        if at > 21 or at < -5:
+            shown = digits[0] + ("." + digits[1:] if digits[1:] else "") + f"e{at - 1:+d}"
+        elif at <= 0:
+            shown = "0." + "0" * -at + digits
+        else:
+            shown = digits.ljust(at, "0")[:at] + ("." + digits[at:] if digits[at:] else "")
+        return ("-" if x < 0 else "") + shown
+
+    rng = random.Random(4)
+    values = [0.0, -0.0, 0.1 + 0.2, 2e-3, 1e-6, 9.5e-7, 2.5e-300, 1e21, 1e20, 123456789012345680000.0, 2.0**53, 2.0**63, 1.7976931348623157e308, 85000.55, 1e15 + 0.5, -12.5, 0.000001234567890123]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-9, 24) for _ in range(400)] + [round(rng.uniform(1, 10**6), rng.randrange(5)) for _ in range(400)]
+    assert run(spark, text.number_text, *values, kind="double") == [script(x) for x in values]
+    assert run(spark, text.number_text, float("nan"), float("-inf"), None, kind="double") == ["NaN", "-Infinity", None]
