@@ -26,7 +26,7 @@ TOPICS = [
     ("llm", "llm-engineer-jobs", "LLM Engineer"), ("rag", "rag-engineer-jobs", "RAG / Retrieval"), ("agents", "ai-agent-jobs", "AI Agents"),
     ("evals", "ai-eval-jobs", "Evals & Quality"), ("inference", "inference-engineer-jobs", "Inference / Serving"), ("finetuning", "fine-tuning-jobs", "Fine-tuning"),
 ]
-FILES = "slug string, bytes long"
+FILES, PAGE = "slug string, bytes long", "slug string, payload string"
 HOME, LISTED, STACK, SKILL_WALL, CARD_SKILLS = 50, 50, 14, 16, 4
 _PAY = ("salary_min", "salary_max", "salary_currency", "salary_period")
 
@@ -217,16 +217,44 @@ def publish_pages(store: Versions, run: str, pages: DataFrame) -> int:
     return store.publish(run, folder, {"pages": f"{folder}/pages", "files": f"{folder}/files"}, base)
 
 
+READ_BYTES, READ_ROWS = 4 << 20, 1000  # handed on at once
+
+
+def _read_files(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The file of every listed slug; one that is missing fails the task."""
+    store, base = fs.FileSystem.from_uri(folder)
+    slugs: list[str] = []
+    payloads: list[str] = []
+    held = 0
+
+    def handed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"slug": pa.array(slugs, pa.string()), "payload": pa.array(payloads, pa.string())})
+
+    for batch in batches:
+        for slug in batch.column("slug").to_pylist():
+            with store.open_input_stream(f"{base}/{page_file(slug)}", compression=None) as page:
+                body = page.read()
+            slugs.append(slug)
+            payloads.append(body.decode())
+            held += len(body)
+            if held >= READ_BYTES or len(slugs) == READ_ROWS:
+                yield handed()
+                slugs, payloads, held = [], [], 0
+    if slugs:
+        yield handed()
+
+
 def read_pages(store: Versions, version: int | None = None) -> DataFrame:
-    """(slug, payload) of a version, the latest by default; none before the first."""
+    """(slug, payload) of a version, the latest by default; none before the first.
+
+    Tasks open the pages that ``files`` lists: the driver lists no folder of pages, so what it holds doesn't grow with them."""
     version = store.latest() if version is None else version
     if not version:
-        return store.spark.createDataFrame([], "slug string, payload string")
-    if store.read("files", StructType.fromDDL(FILES), version).isEmpty():
-        return store.spark.createDataFrame([], "slug string, payload string")
-    got = store.spark.read.option("pathGlobFilter", "*.json").text(f"{store.root}/{store.manifest(version)['tables']['pages']}/*", wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    return got.select(F.url_decode(F.replace(name, F.lit("="), F.lit("%"))).alias("slug"), F.col("value").alias("payload"))
+        return store.spark.createDataFrame([], PAGE)
+    tables = store.manifest(version)["tables"]
+    listed = store.read("files", StructType.fromDDL(FILES), version).select("slug")
+    tasks = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(tasks, "slug").mapInArrow(partial(_read_files, f"{store.root}/{tables['pages']}"), PAGE)
 
 
 def write_pages(df: DataFrame, slug: str, path: str) -> None:

@@ -7,6 +7,7 @@ import pytest
 from millrace.operators.tables import Versions
 from millrace.plans import pages
 
+PAGES_SCHEMA = "slug string, payload string"
 SLUGS = ["plain", "a b", "a/b", "../up", ".hidden", "_under", "é+%25=x", "a%20b", "ж" * 20]
 
 
@@ -62,3 +63,19 @@ def test_topic_heads_keep_k_rows_before_the_shuffle(spark):
     lists = {r.id: r.json for r in pages.topic_json(got, "https://s").collect()}
     full = {r.id: r.json for r in pages.topic_json(pages.topic_pages(pages.topics(spark), jobs), "https://s").collect()}
     assert lists == full and '"numberOfItems":200' in lists["rag"]
+
+
+def test_the_driver_lists_no_pages(spark, store, monkeypatch):
+    """What is planned and scanned is the table of the files, whose number doesn't grow with the pages; a page that is gone isn't passed over."""
+    rows = [(f"p{k}/é", f"{k}\n") for k in range(300)]
+    pages.publish_pages(store, "r1", spark.createDataFrame(rows, PAGES_SCHEMA).repartition(3))
+    got = pages.read_pages(store)
+    assert len(got.inputFiles()) < 20 and all("/files/" in f for f in got.inputFiles())
+    monkeypatch.setattr(pages, "READ_ROWS", 7)
+    assert sorted((r.slug, r.payload) for r in pages.read_pages(store).collect()) == sorted(rows)
+    folder = store.root.removeprefix("file://") + "/" + store.manifest(1)["tables"]["pages"]
+    batch = [pages.pa.RecordBatch.from_pydict({"slug": [s for s, _ in rows]})]
+    assert [b.num_rows for b in pages._read_files(f"file://{folder}", iter(batch))] == [7] * 42 + [6]
+    os.remove(f"{folder}/{pages.page_file('p7/é')}")
+    with pytest.raises(Exception, match="FileNotFound"):
+        pages.read_pages(store).collect()
