@@ -147,3 +147,26 @@ def test_training_is_bounded_in_words(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 3_000)
     fewer = toxicity.fit(df, df.select("doc_id", "toxic"))
     assert fewer is not None and len(fewer.known) < len(model.known)
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """Words of three texts each, over more rows than one block has: all of them are known, and how the table is dealt makes no difference."""
+    monkeypatch.setattr(toxicity, "SHARE", 1000)
+    n, rng = 12_000, random.Random(3)
+    learned = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    place = {i: k for k, i in enumerate(learned)}
+    rows = [(i, f"g{place.get(i, 0) // 15} " + " ".join(f"w{rng.randrange(300)}" for _ in range(6)) + (" vile" if i % 4 == 0 else " kind"), "en", int(i % 4 == 0)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    w, _, _ = toxicity.word_hashes(*flat(pa.array([f"g{k}" for k in range(len(learned) // 15)])))
+    assert np.isin(w, model.known).mean() > 0.999  # fifteen texts each, of which a fifth is kept for calibration
+    got = toxicity.score(docs, model).where(toxicity.held_out()).collect()
+    assert np.mean([(r.score >= 0.7) == (r.toxic == 1) for r in got]) > 0.99
+    again = toxicity.fit(docs.repartition(7, "text"), docs.select("doc_id", "toxic").repartition(3))
+    assert (again.known == model.known).all() and (again.table == model.table).all() and again.thresholds == model.thresholds and again.middle == model.middle
+
+
+def test_thresholds_from_counts():
+    z = np.array([-2.0, -1.0, 3.0, 4.0, 4.0, -1.0])
+    assert toxicity._best_cut(*toxicity._summed(z, np.array([0, 0, 1, 5, 2, 0]), np.array([9, 3, 0, 0, 0, 4]))) == 1.0
+    assert toxicity._middle(np.array([1.0, 2.0, 5.0]), np.array([1, 0, 1])) == 3.0 and toxicity._middle(np.array([1.0, 2.0, 5.0]), np.array([1, 1, 5])) == 5.0
