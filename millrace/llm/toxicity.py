@@ -9,7 +9,7 @@ fixed seed. A slice of the training rows is kept for calibration: the score is a
 output, set so that the best threshold over all languages lies at 0.7; each language with enough rows also gets a threshold of its own for
 ``flagged``. Language never enters a score.
 
-Scale. Every labelled row that isn't held out is learned from (``SAMPLE_WORDS`` lets a caller bound them; there is no bound by default). In how many texts a hash occurs is counted by Spark. The rows are dealt by a hash of their ids to
+Scale. Every labelled row that isn't held out is learned from (``SAMPLE_WORDS`` lets a caller bound them; there is no bound by default). In how many texts a hash occurs is counted by Spark. Their texts are kept apart from the others by a Bloom filter of at most 8 MB before they are moved. The rows are dealt by a hash of their ids to
 blocks of about ``SHARE`` rows, four bytes a word. In each epoch every block trains a copy of the model on its own minibatches, and the copies are brought together: the mean of the dense weights by rows, and of an embedding
 over the blocks that met its word; sums are of whole numbers, so the order they come in doesn't matter. One block is plain training. Thresholds are set from all rows kept for calibration, counted by their outputs in steps of 1/``GRID``. The driver
 holds the model (about 2 MB, broadcast, with as much for Adagrad's sums) and these counts, whatever the rows. Scoring is one pass without shuffle over whole texts: words are hashed ``BLOCK`` bytes at a time, a very long
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .shared import BYTE_CODES, Rolling, flat, mix, pieces, row_id, small_batches, unpacked, written
+from .shared import BYTE_CODES, Rolling, Sieve, flat, mix, pieces, row_id, small_batches, unpacked, written
 
 SAMPLE_WORDS: int | None = None  # no bound; else as many rows as have so many words together are learned from, none with over an eighth of that
 SHARE, SHARE_WORDS = 3000, 4_000_000  # of a block: rows on average, words at most (but for one text's)
@@ -305,6 +305,19 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _labelled(own: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``own`` whose id is known, and few others: the join that follows moves no other texts."""
+    hashes = F.xxhash64("_id"), F.xxhash64(F.lit(7), "_id")
+    shared = own.sparkSession.sparkContext.broadcast(Sieve(known.select("_id"), hashes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            ok = shared.value.passes(batch.column("h1").to_numpy(), batch.column("h2").to_numpy())
+            yield batch.select(["_id", "_t", "_l"]).filter(pa.array(ok))
+
+    return own.withColumns({"h1": hashes[0], "h2": hashes[1]}).mapInArrow(run, own.schema)
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, BATCH):
         n = word_hashes(*flat(batch.column("_t")))[2]
@@ -450,7 +463,7 @@ def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_co
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     own = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(row_id(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"), lang.alias("_l"))
     one = F.min_by(F.struct("_l", "_t"), F.struct(F.sha2("_t", 256), "_l"))  # a row an id and label
-    every = written(own.join(known, "_id").groupBy("_id", "_y").agg(one.alias("r")).select("_id", "_y", "r.*", F.xxhash64("_id", F.lit(5)).alias("_o")), "training")
+    every = written(_labelled(own, known).join(known, "_id").groupBy("_id", "_y").agg(one.alias("r")).select("_id", "_y", "r.*", F.xxhash64("_id", F.lit(5)).alias("_o")), "training")
     if SAMPLE_WORDS is not None:
         sizes = every.mapInArrow(_sizes, "_id long, _y int, n long").where(F.col("n") <= SAMPLE_WORDS // 8)
         upto = F.sum(F.greatest("n", F.lit(1))).over(W.orderBy(F.xxhash64("_id", F.lit(5)), "_id", "_y").rowsBetween(W.unboundedPreceding, 0))
